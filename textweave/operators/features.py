@@ -202,3 +202,18 @@ def train_test_split(df: DataFrame, test_share: float = 0.2, seed: int = 42, row
     """Split by a hash of the key: the same record always falls on the same side."""
     in_test = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(10_000)) < int(round(test_share * 10_000))
     return df.filter(~in_test), df.filter(in_test)
+
+
+def scaler_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, min, max, mean, std_pop): what the scalers use, from one pass."""
+    wide = df.agg(
+        *[e for c in columns for e in (
+            F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}"),
+            F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"d_{c}"))]
+    )
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.col(f"lo_{c}").alias("min"), F.col(f"hi_{c}").alias("max"),
+                 F.col(f"m_{c}").alias("mean"), F.col(f"d_{c}").alias("std_pop"))
+        for c in columns
+    ]
+    return wide.select(F.explode(F.array(*cells)).alias("e")).select("e.*")

@@ -1,4 +1,4 @@
 """Every registered query with its SQL counterpart."""
 
-from textweave.registry import filter_queries, ingest_queries, link_queries  # noqa: F401
+from textweave.registry import filter_queries, ingest_queries, link_queries, stat_queries  # noqa: F401
 from textweave.registry.frames import ORACLES, QUERIES  # noqa: F401
