@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from textweave.operators.filters import numeric_columns
 from textweave.plans.concordance import concordant_pairs
-from textweave.plans.ordering import average_ranks, exact_quantiles
+from textweave.plans.lineage import cut_lineage
+from textweave.plans.ordering import average_ranks, exact_quantiles, running_totals
 from textweave.plans.skew import salted_join
 
 
@@ -77,27 +79,47 @@ def _pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def _counted_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     x, y = F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")
     kept = df.select(x, y).dropna("any").filter(~F.isnan("x") & ~F.isnan("y"))
-    return kept.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(kept.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson on average ranks, over value pairs counted once."""
-    pairs = _counted_pairs(df, a, b)
-    marginal = lambda c: pairs.groupBy(c).agg(F.sum("n").alias("_m"))
-    expand = lambda c: _ranks(marginal(c), c)
-    ranked = salted_join(salted_join(pairs, expand("x"), ["x"], ["y"]), expand("y"), ["y"], ["x"])
-    n = F.sum("n")
-    mean = (n + 1) / 2
-    cov = F.sum(F.col("n") * F.col("rx") * F.col("ry")) - n * mean * mean
-    var = lambda r: F.sum(F.col("n") * F.col(r) * F.col(r)) - n * mean * mean
-    return ranked.agg((cov / F.nullif(F.sqrt(var("rx") * var("ry")), F.lit(0.0))).alias("correlation"))
-
+def _spearman_complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson on average ranks for columns without gaps: each column is ranked once, equal records count once."""
+    keys = [f"x{i}" for i in range(len(columns))]
+    base = cut_lineage(
+        df.select(*[F.col(c).cast("double").alias(k) for c, k in zip(columns, keys)]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    )
+    counted = base
+    for k in keys:
+        values = base.groupBy(k).agg(F.sum("n").alias("_m"))
+        rank = (F.col("before") + (F.col("_m") + 1) / 2).alias(f"r_{k}")
+        ranks = running_totals(values, k, "_m").select(k, rank)
+        counted = salted_join(counted, ranks, [k], keys, counted=base)
+    n, pairs = F.col("n"), list(combinations(range(len(columns)), 2))
+    r = lambda i: F.col(f"r_x{i}")
+    sums = [F.sum(n * r(i) * r(j)).alias(f"s{i}_{j}") for i, j in [*pairs, *((i, i) for i in range(len(columns)))]]
+    wide = counted.agg(F.sum("n").alias("total"), *sums)
+    level = F.col("total") * (F.col("total") + 1) * (F.col("total") + 1) / 4  # total * mean rank squared
+    spread = lambda i, j: F.col(f"s{i}_{j}") - level
+    cells = [
+        F.struct(
+            F.lit(columns[i]).alias("variable_1"), F.lit(columns[j]).alias("variable_2"),
+            (spread(i, j) / F.nullif(F.sqrt(spread(i, i) * spread(j, j)), F.lit(0.0))).alias("correlation"),
+        )
+        for i, j in pairs
+    ]
+    return wide.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
 
-def _ranks(weighted: DataFrame, column: str) -> DataFrame:
-    from textweave.plans.ordering import running_totals
 
-    totals = running_totals(weighted, column, "_m")
-    return totals.select(column, (F.col("before") + (F.col("_m") + 1) / 2).alias(f"r{column}"))
+def _spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns with gaps are ranked per pair, on the records both columns have; the others once for all pairs."""
+    missing = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    gaps = df.agg(*[F.count_if(missing(c)).alias(f"g{i}") for i, c in enumerate(columns)]).first()
+    full = [c for i, c in enumerate(columns) if gaps[f"g{i}"] == 0]
+    parts = [_spearman_complete(df, full)] if len(full) > 1 else []
+    for a, b in combinations(columns, 2):
+        if a not in full or b not in full:
+            parts.append(_spearman_complete(df.filter(~missing(a) & ~missing(b)), [a, b]))
+    return reduce(lambda p, q: p.unionByName(q), parts)
 
 
 def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -125,14 +147,14 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, metho
     pairs = list(combinations(columns, 2))
     if method == "pearson":
         return _pearson(df, pairs)
-    if method not in ("spearman", "kendall"):
+    if method == "spearman":
+        return _spearman(df, columns)
+    if method != "kendall":
         raise ValueError(f"unknown method {method!r}")
-    one = {"spearman": _spearman, "kendall": _kendall}[method]
-    out = None
-    for a, b in pairs:  # one plan per pair of columns: each pair has its own complete cases
-        part = one(df, a, b).select(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), "correlation")
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [  # one plan per pair of columns: each pair has its own complete cases
+        _kendall(df, a, b).select(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), "correlation") for a, b in pairs
+    ]
+    return reduce(lambda p, q: p.unionByName(q), parts)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:

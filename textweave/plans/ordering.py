@@ -23,10 +23,9 @@ def cut_points(df: DataFrame, column: str, buckets: int | None = None) -> list[f
     Only the balance of later tasks depends on these values, never a result.
     """
     n = buckets or bucket_count(df)
-    values = df.select(F.col(column).cast("double").alias(column)).approxQuantile(
-        column, [i / n for i in range(1, n)], max(1e-4, 1.0 / (4 * n))
-    )
-    return sorted(set(values))
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
+    row = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, F.lit(max(1000, 8 * n))).alias("cuts")).first()
+    return sorted(set(row["cuts"] or []))
 
 
 def add_bucket(df: DataFrame, column: str, cuts: list[float], name: str = "_b") -> DataFrame:
@@ -115,7 +114,9 @@ def exact_quantiles(
     """
     groups = groups or []
     clean = df.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
-    counts = clean.groupBy(*groups, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
+    counts = cut_lineage(  # read four times below
+        clean.groupBy(*groups, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
+    )
     totals = counts.groupBy(*groups).agg(F.sum("_w").alias("_n"))
     wanted = (
         totals.filter(F.col("_n") > 0)

@@ -34,12 +34,14 @@ def salted_join(
     spread_by: list[str],
     how: str = "inner",
     rows_per_salt: int = ROWS_PER_SALT,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which a hot key of ``big`` is cut into salts and ``other`` is repeated per salt.
 
-    ``spread_by`` names columns of ``big`` whose hash picks the salt. ``how`` is inner or left.
+    ``spread_by`` names columns of ``big`` whose hash picks the salt. ``how`` is inner or left. ``counted`` is a
+    cheaper frame with the same keys, equally often, to count them in.
     """
-    hot = F.broadcast(hot_keys(big, keys, rows_per_salt))
+    hot = F.broadcast(hot_keys(big if counted is None else counted, keys, rows_per_salt))
     left = big.join(hot, keys, "left").withColumn(
         "_salt",
         F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
