@@ -36,9 +36,10 @@ def validate(df: DataFrame, y: str, xs: Sequence[str]) -> None:
 
 def point_cloud(df: DataFrame, y: str, xs: Sequence[str], row_id: str = "row_id") -> DataFrame:
     """(row_id, vec, y): complete records, every variable scaled to [0, 1]."""
-    complete = df.select(row_id, y, *[x for x in xs if x != y]).dropna("any")
-    scaled = min_max(complete, list(dict.fromkeys([y, *xs])))
-    return scaled.select(F.col(row_id).alias("row_id"), F.array(*xs).alias("vec"), F.col(y).alias("y"))
+    used = list(dict.fromkeys([y, *xs]))
+    complete = df.select(F.col(row_id).alias("_row"), *used).dropna("any")
+    scaled = min_max(complete, used)
+    return scaled.select(F.col("_row").alias("row_id"), F.array(*xs).alias("vec"), F.col(y).alias("y"))
 
 
 def default_order() -> Column:

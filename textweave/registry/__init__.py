@@ -5,6 +5,7 @@ from textweave.registry import (  # noqa: F401
     graph_queries,
     ingest_queries,
     link_queries,
+    model_queries,
     stat_queries,
     text_queries,
 )

@@ -198,13 +198,20 @@ def connections(spark, d):
     return bm.connection_lists(_balls(spark, d).edges)
 
 
+GRID = f"""{COVER.split('pts AS')[0].rstrip().rstrip(',')}, steps AS (SELECT unnest(range(0, 5)) AS i),
+grid AS (SELECT 'G' || a.i || b.i AS ball_id, a.i / 4.0 AS x1, b.i / 4.0 AS x2 FROM steps a, steps b),
+members AS (SELECT g.ball_id, p.row_id FROM grid g JOIN scaled p ON sqrt((p.x1 - g.x1) * (p.x1 - g.x1) + (p.x2 - g.x2) * (p.x2 - g.x2)) <= {RADIUS})"""
+
+
 @query(
     "jn11_overlaps",
-    "WITH b AS (SELECT l_suppkey AS ball, l_partkey AS point FROM lineitem) SELECT DISTINCT a.ball AS a, c.ball AS b FROM b a JOIN b c ON a.point = c.point AND a.ball < c.ball",
+    f"WITH {GRID} SELECT DISTINCT a.ball_id AS a, b.ball_id AS b FROM members a JOIN members b ON a.row_id = b.row_id AND a.ball_id < b.ball_id",
 )
 def overlaps(spark, d):
-    members = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("ball_id"), F.col("l_partkey").alias("row_id"))
-    return bm.connections(members)
+    points = bm.point_cloud(table(spark, d, "customer"), "c_acctbal", ["c_nationkey", "c_custkey"], "c_custkey")
+    centres = [(f"G{i}{j}", 5 * i + j, -1, [i / 4.0, j / 4.0]) for i in range(5) for j in range(5)]
+    grid = spark.createDataFrame(centres, bm.LANDMARKS)
+    return bm.connections(bm.membership(points, grid, RADIUS))
 
 
 @query(

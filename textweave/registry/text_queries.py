@@ -255,12 +255,12 @@ qt AS (SELECT unnest({sql_white('text')}) AS term FROM benchmark WHERE item_id =
 s AS (SELECT c.doc_id, c.chunk_no, round(sum(q.n * c.n) / any_value(qn.norm) / any_value(cn.norm), 9) AS similarity FROM qc q JOIN cc c USING (term) JOIN cn ON cn.doc_id = c.doc_id AND cn.chunk_no = c.chunk_no, qn GROUP BY 1, 2),
 best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, chunk_no) <= 10)
 SELECT CAST(b.doc_id AS VARCHAR) AS doc_id, CAST(b.chunk_no AS INTEGER) AS chunk_no, md5(chunk) AS chunk_md5, round(similarity, 6) AS similarity
-FROM best b JOIN chunks k ON k.doc_id = b.doc_id AND k.chunk_no = b.chunk_no WHERE similarity >= 0.5""",
+FROM best b JOIN chunks k ON k.doc_id = b.doc_id AND k.chunk_no = b.chunk_no WHERE similarity >= 0.1""",
 )
 def search_chunks(spark, d):
     bench = table(spark, d, "benchmark")
     first = bench.orderBy("item_id").limit(1).select(F.lit("q").alias("query_id"), "text")
-    found = semantic.search_chunks(documents(spark, d), first, None, 0.5, 10)
+    found = semantic.search_chunks(documents(spark, d), first, None, 0.1, 10)
     return found.select("doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"), F.round("similarity", 6).alias("similarity"))
 
 
