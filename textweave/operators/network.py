@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textweave.functions.text import edit_similarity
+from textweave.plans.lineage import cut_lineage
 from textweave.plans.skew import salted_join
 
 
@@ -37,67 +37,61 @@ def adjacency(edges: DataFrame) -> DataFrame:
     )
 
 
-def _segments(length, pieces):
-    """Start (0-based) and size of each of ``pieces`` nearly equal parts of a string."""
-    return F.transform(
-        F.sequence(F.lit(0), pieces - 1),
-        lambda i: F.struct(
-            i.alias("i"),
-            F.floor(i * length / pieces).cast("int").alias("start"),
-            (F.floor((i + 1) * length / pieces) - F.floor(i * length / pieces)).cast("int").alias("size"),
-        ),
-    )
+def _gram_length(min_similarity: float, longest: int = 5) -> int:
+    """Largest gram length for which similar texts of any length must share a gram."""
+    for q in range(longest, 1, -1):
+        edits = [int((1 - min_similarity) * n + 1e-9) for n in range(1, 400)]
+        if all(n - q + 1 - q * e >= 1 for n, e in enumerate(edits, 1) if e):
+            return q
+    return 1
 
 
 def similarity_edges(texts: DataFrame, min_similarity: float = 0.8, text: str = "sentence") -> DataFrame:
     """(source, target, weight): distinct texts whose edit similarity is at least ``min_similarity`` (above 0.5).
 
-    Exact without comparing all pairs: two texts within e edits share one of any e+1 pieces of the shorter one, near
-    its place. The shorter text is cut into one piece more than that and its most frequent piece is left out, so a
-    phrase that many texts share never becomes a join key that pairs them all.
+    Exact without comparing all pairs. e edits change at most q*e of the q-grams of a text, so with all grams in one
+    fixed order two texts within e edits share one of their first q*e + 1 grams. Rare grams come first in that order:
+    a phrase that many texts share is met last and hardly ever becomes a join key. Texts only meet others of similar
+    length, and a gram that is still frequent is salted.
     """
     if not 0.5 < min_similarity <= 1:
         raise ValueError("min_similarity must be above 0.5 and at most 1")
-    s = F.lit(min_similarity)
-    distinct = texts.select(F.col(text).alias("t")).filter(F.length("t") > 0).distinct().withColumn("len", F.length("t"))
-    # edits allowed for the longest partner of a text of this length
+    s, q = F.lit(min_similarity), _gram_length(min_similarity)
     edits = lambda n: F.floor((1 - s) * n + 1e-9).cast("int")
-    longest = lambda n: F.floor(n / s + 1e-9).cast("int")
-    pieces = lambda n: F.least(edits(longest(n)) + 2, n)
-    cut = distinct.select("t", "len", F.explode(_segments(F.col("len"), pieces(F.col("len")))).alias("g")).select(
-        "t", "len", F.col("g.i").alias("i"), F.expr("substring(t, g.start + 1, g.size)").alias("piece")
-    )
-    frequency = cut.groupBy("len", "i", "piece").agg(F.count(F.lit(1)).alias("f"))
-    common = Window.partitionBy("t").orderBy(F.col("f").desc(), "i")
-    spare = pieces(F.col("len")) > edits(longest(F.col("len"))) + 1
-    index = (
-        salted_join(cut, frequency, ["len", "i", "piece"], ["t"])
-        .withColumn("r", F.row_number().over(common))
-        .filter((F.col("r") > 1) | ~spare)
-        .select(F.col("t").alias("short"), "len", "i", "piece")
+    distinct = cut_lineage(
+        texts.select(F.col(text).alias("t")).distinct().select("t", F.md5("t").alias("id"), F.length("t").alias("n"))
+        .filter(edits(F.floor(F.col("n") / s + 1e-9)) > 0)  # a shorter text is only similar to itself
     )
-    shortest = F.ceil(s * F.col("n") - 1e-9).cast("int")
-    probe = distinct.select("t", F.col("len").alias("n")).select(
-        "t", "n", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), F.col("n"))).alias("len")
+    starts = F.sequence(F.lit(1), F.col("n") - (q - 1))
+    cells = distinct.filter(F.col("n") >= q).select("id", "n", F.explode(F.transform(starts, lambda i: F.substring("t", i, F.lit(q)))).alias("gram"))
+    grams = cells.groupBy("id", "n", "gram").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    tokens = grams.select("id", "n", "gram", F.explode(F.sequence(F.lit(1), "c")).alias("k"))
+    frequency = tokens.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("f"))
+    order = Window.partitionBy("id").orderBy("f", "gram", "k")
+    most = q * edits(F.floor(F.col("n") / s + 1e-9)) + 1  # enough for the longest partner
+    first = cut_lineage(
+        salted_join(tokens, frequency, ["gram", "k"], ["id"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
+        .select("id", "n", "gram", "k", "r")
     )
-    gap = F.col("n") - F.col("len")
-    e = edits(F.col("n"))
-    probe = probe.select("t", "n", "len", F.explode(_segments(F.col("len"), pieces(F.col("len")))).alias("g"))
-    first = F.greatest(F.col("g.start") - F.floor((e - gap) / 2).cast("int"), F.lit(0))
-    last = F.least(F.col("g.start") + F.floor((e + gap) / 2).cast("int"), F.col("n") - F.col("g.size"))
-    probe = (
-        probe.withColumns({"first": first, "last": last})
-        .filter(F.col("first") <= F.col("last"))
-        .select("t", "len", "g", F.explode(F.sequence("first", "last")).alias("at"))
-        .select("t", "len", F.col("g.i").alias("i"), F.expr("substring(t, at + 1, g.size)").alias("piece"))
-        .distinct()
+    if min_similarity < 1:
+        scale = F.log(F.col("n")) / F.log(1 / s)
+        level, levels = F.floor(scale), F.array_distinct(F.array(F.floor(scale), F.floor(scale) + 1, F.floor(scale + 1 + 1e-9)))
+    else:
+        level, levels = F.col("n").cast("bigint"), F.array(F.col("n").cast("bigint"))
+    longer = first.filter(F.col("r") <= q * edits(F.col("n")) + 1).select(
+        level.alias("level"), "gram", "k", F.col("id").alias("long_id"), F.col("n").alias("long_n")
     )
-    pairs = salted_join(index, probe, ["len", "i", "piece"], ["short"]).filter(
-        (F.col("short") != F.col("t")) & ((F.length("short") < F.length("t")) | (F.col("short") < F.col("t")))
+    shorter = first.select(F.explode(levels).alias("level"), "gram", "k", F.col("id").alias("short_id"), F.col("n").alias("short_n"))
+    candidates = (
+        salted_join(longer, shorter, ["level", "gram", "k"], ["long_id"])
+        .filter((F.col("short_n") < F.col("long_n")) | ((F.col("short_n") == F.col("long_n")) & (F.col("short_id") < F.col("long_id"))))
+        .filter(F.col("long_n") - F.col("short_n") <= edits(F.col("long_n")))
+        .select("short_id", "long_id").distinct()
     )
-    similar = edit_similarity("short", "t")
-    return (
-        pairs.select(F.least("short", "t").alias("source"), F.greatest("short", "t").alias("target"), similar.alias("weight"))
-        .filter(F.col("weight") >= s - 1e-9)
-        .distinct()
+    named = lambda side: distinct.select(F.col("id").alias(f"{side}_id"), F.col("t").alias(f"{side}_t"))
+    pairs = candidates.join(named("short"), "short_id").join(named("long"), "long_id").withColumn("e", edits(F.length("long_t")))
+    near = pairs.withColumn("d", F.expr("levenshtein(short_t, long_t, e)")).filter(F.col("d") >= 0)
+    return near.select(
+        F.least("short_t", "long_t").alias("source"), F.greatest("short_t", "long_t").alias("target"),
+        (1 - F.col("d") / F.length("long_t")).alias("weight"),
     )
