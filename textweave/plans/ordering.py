@@ -89,7 +89,8 @@ def values_at_ranks(
     if groups:
         wanted = ranks.join(buckets, groups).filter(in_bucket)
     else:
-        wanted = buckets.join(F.broadcast(ranks), in_bucket)  # a handful of ranks against one row per bucket
+        one = F.lit(0)  # a handful of ranks against one row per bucket
+        wanted = buckets.withColumn("_k", one).join(F.broadcast(ranks.withColumn("_k", one)), "_k").filter(in_bucket)
     wanted = wanted.select(*groups, "_b", "_lo", rank)
     inside = Window.partitionBy(*groups, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     needed = wanted.select(*groups, "_b").distinct()
