@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +27,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def non_blank(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: t != "")
 
@@ -104,6 +109,23 @@ def edit_similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(x, y) / longest)
 
 
+def token_counts(tokens: Column) -> Column:
+    """Array of (token, n) with each distinct token once: run lengths of the sorted tokens, inside the record."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+        lengths = let(
+            begins,
+            lambda b: F.transform(
+                b, lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(b, k + 1), n) - i).alias("n"))
+            ),
+        )
+        return F.when(n > 0, lengths).otherwise(F.array().cast("array<struct<token:string,n:int>>"))
+
+    return let(F.sort_array(tokens), runs)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined n-grams of a token array."""
     count = F.size(tokens) - (n - 1)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textweave.functions.text import let
+
 # What counts as a date inside free text.
 ISO_DATE = r"\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2}(?:\.\d{3})?(?:Z|[+-]\d{2}:\d{2})?)?"
 SLASH_DATE = r"\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}"
@@ -19,11 +19,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` worked out once, however often the body mentions it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _from_iso(text: Column) -> Column:
     return F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text))
 
@@ -33,12 +28,12 @@ def _from_slashes(text: Column) -> Column:
     out = F.regexp_replace(text, r"^(\d{1,2})[-/](\d{1,2})[-/](\d{2,4})$", "$1/$2/$3")
     out = F.regexp_replace(out, r"^(\d+/\d+)/(69|[7-9]\d)$", "$1/19$2")
     out = F.regexp_replace(out, r"^(\d+/\d+)/([0-6]\d)$", "$1/20$2")
-    return _let(out, lambda d: F.coalesce(F.try_to_timestamp(d, F.lit("M/d/yyyy")), F.try_to_timestamp(d, F.lit("d/M/yyyy"))))
+    return let(out, lambda d: F.coalesce(F.try_to_timestamp(d, F.lit("M/d/yyyy")), F.try_to_timestamp(d, F.lit("d/M/yyyy"))))
 
 
 def parse_timestamp(text: Column | str) -> Column:
     """Timestamp (no zone, UTC) or null: ISO forms first, then month/day/year, then day/month/year."""
-    parsed = _let(F.trim(_col(text).cast("string")), lambda v: F.coalesce(_from_iso(v), _from_slashes(v)))
+    parsed = let(F.trim(_col(text).cast("string")), lambda v: F.coalesce(_from_iso(v), _from_slashes(v)))
     return parsed.cast("timestamp_ntz")
 
 
@@ -46,7 +41,7 @@ def timestamp_in_text(text: Column | str) -> Column:
     """First ISO date in the text, else the first slash or dash date; null when neither parses."""
     iso = F.regexp_extract(_col(text), ISO_DATE, 0)
     other = F.regexp_extract(_col(text), SLASH_DATE, 0)
-    return F.coalesce(_let(iso, _from_iso), _from_slashes(other)).cast("timestamp_ntz")
+    return F.coalesce(let(iso, _from_iso), _from_slashes(other)).cast("timestamp_ntz")
 
 
 def period_start(ts: Column | str, period: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textweave.functions.text import ngrams, sentences, whitespace_tokens, words
+from textweave.functions.text import ngrams, sentences, token_counts, whitespace_tokens, words
 from textweave.plans.skew import salted_join
 
 NOUN, VERB = ["NOUN"], ["VERB"]
@@ -148,8 +148,8 @@ def categories(lemmas: DataFrame, n: int = 10, longest: int = 3) -> DataFrame:
 
 def category_baskets(lemmas: DataFrame, n: int = 10, longest: int = 3) -> DataFrame:
     """(doc_id, category, n, rank): the ``n`` commonest categories of each document."""
-    cells = lemmas.select("doc_id", F.explode(_grams(F.col("lemmas"), longest)).alias("category"))
-    counted = cells.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    counts = F.inline(token_counts(_grams(F.col("lemmas"), longest)))
+    counted = lemmas.select("doc_id", counts).select("doc_id", F.col("token").alias("category"), F.col("n").cast("bigint").alias("n"))
     rank = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "category")
     return counted.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.functions.text import words
+from textweave.functions.text import token_counts, words
 from textweave.session import apply_settings
-from textweave.sources.ingest import as_documents
+from textweave.sources.ingest import as_documents, spread_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,8 +33,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# Tables whose records are texts, and a key to spread them by.
+TEXTS = {"documents": "doc_id", "pages": "page_id", "benchmark": "item_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_scan(df, TEXTS[name]) if name in TEXTS else df
 
 
 # -- documents -----------------------------------------------------------------------------------------------------
@@ -143,7 +148,7 @@ def keyworded(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     from pyspark.sql import Window
 
-    counted = docs.select("id", F.explode(words("text")).alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"))
+    counted = docs.select("id", F.inline(token_counts(words("text")))).withColumnRenamed("token", "w")
     best = Window.partitionBy("id").orderBy(F.col("n").desc(), "w")
     top = counted.withColumn("r", F.row_number().over(best)).filter("r <= 3")
     lists = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "w"))).alias("k"))

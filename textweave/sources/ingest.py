@@ -32,6 +32,15 @@ def as_documents(df: DataFrame, doc_id: Column, text: Column, ts: Column, metada
     )
 
 
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Hand the records of a scan with fewer splits than cores to all cores; larger scans stay as they are.
+
+    Text work is done record by record, so a table in one small file would otherwise keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 # -- text files and pages ------------------------------------------------------------------------------------------
 
 
