@@ -228,6 +228,8 @@ def text_outcome(documents: DataFrame, links: DataFrame | HubLinks, field: str,
     per_hub = (
         links.doc_side.join(valued, "doc_id").groupBy("hub", "value").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("order"))
     )
+    if links.link_type == "sequence":  # a row has one period, so the period's value is the row's value
+        return links.row_side.join(reduce_values(per_hub, ["hub"], how, weight="n"), "hub").select("row_id", "value")
     return reduce_values(links.row_side.join(per_hub, "hub"), ["row_id"], how, weight="n")
 
 

@@ -102,9 +102,9 @@ def filtered_documents(spark, d):
     return flt.apply_filters(documents(spark, d), label_rows(spark, d), ["lang=fr", "source:src3"])[0].select(*SHORT)
 
 
-@query("flt09_id_filter", "SELECT doc_id AS row_id, quality FROM labels WHERE doc_id = 12")
+@query("flt09_id_filter", "SELECT doc_id AS row_id, quality FROM labels WHERE doc_id = 4")
 def id_filter(spark, d):
-    _, rows = flt.apply_filters(documents(spark, d), label_rows(spark, d), ["id=12"])
+    _, rows = flt.apply_filters(documents(spark, d), label_rows(spark, d), ["id=4"])
     return rows.select("row_id", "quality")
 
 

@@ -123,9 +123,49 @@ def discussed_topics(spark, d):
     return topics.discussed_topics(fitted.scored, topics.topic_words(fitted, 8))
 
 
-@query("jn12_word_importance")
+@query(
+    "jn12_word_importance",
+    f"""WITH tw(topic, rank, word) AS (VALUES {FIXED_SQL}), cells AS (SELECT unnest({sql_words('text')}) AS word FROM documents),
+counted AS (SELECT word, count(*) AS n FROM cells GROUP BY word)
+SELECT topic, word, CAST(rank AS DOUBLE) AS weight, coalesce(n, 0) AS word_count FROM tw LEFT JOIN counted USING (word)""",
+)
 def word_importance(spark, d):
-    return topics.word_importance(topics.topic_words(_fitted(spark, d), 8), word_lists(spark, d))
+    words = spark.createDataFrame(FIXED, "topic string, rank int, word string").withColumn("weight", F.col("rank").cast("double"))
+    return topics.word_importance(words, word_lists(spark, d))
+
+
+# document weights that SQL can repeat: one per language, from the length and the number of the document
+GIVEN = """given AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, n_chars % 7 + 1 AS a, doc_id % 5 + 1 AS b, n_chars % 3 + 1 AS c FROM documents),
+weights AS (SELECT doc_id, a / CAST(a + b + c AS DOUBLE) AS w0, b / CAST(a + b + c AS DOUBLE) AS w1, c / CAST(a + b + c AS DOUBLE) AS w2 FROM given),
+main AS (SELECT doc_id, CAST(CASE WHEN w0 >= w1 AND w0 >= w2 THEN 0 WHEN w1 >= w2 THEN 1 ELSE 2 END AS INTEGER) AS topic, round(greatest(w0, w1, w2), 4) AS weight, greatest(w0, w1, w2) AS exact FROM weights)"""
+
+
+def _given_weights(spark, d):
+    a, b, c = F.col("n_chars") % 7 + 1, F.col("doc_id") % 5 + 1, F.col("n_chars") % 3 + 1
+    parts = F.array(*[(x / (a + b + c).cast("double")) for x in (a, b, c)])
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), parts.alias("weights"))
+
+
+@query("win01_dominant_of_given_weights", f"WITH {GIVEN} SELECT doc_id, topic, weight FROM main")
+def dominant_given(spark, d):
+    return topics.dominant_topics(_given_weights(spark, d))
+
+
+@query("top06_well_separated_given_weights", f"WITH {GIVEN} SELECT doc_id, topic, weight FROM main WHERE exact > 0.35")
+def separated_given(spark, d):
+    return topics.well_separated(_given_weights(spark, d))
+
+
+@query(
+    "agg14_discussed_given_weights",
+    f"""WITH {GIVEN}, long AS (SELECT 0 AS topic, w0 AS w FROM weights UNION ALL SELECT 1, w1 FROM weights UNION ALL SELECT 2, w2 FROM weights),
+summed AS (SELECT topic, sum(w) AS s FROM long GROUP BY topic), counted AS (SELECT topic, count(*) AS n FROM main GROUP BY topic)
+SELECT CAST(s.topic AS INTEGER) AS topic, coalesce(n, 0) AS documents, round(s, 6) AS total_weight, CASE s.topic WHEN 0 THEN 'the, of' WHEN 1 THEN 'de, la' END AS words FROM summed s LEFT JOIN counted c USING (topic)""",
+)
+def discussed_given(spark, d):
+    listed = [(0, 1, "the"), (0, 2, "of"), (1, 1, "de"), (1, 2, "la")]
+    words = spark.createDataFrame(listed, "topic int, rank int, word string")
+    return topics.discussed_topics(_given_weights(spark, d), words).withColumn("total_weight", F.round("total_weight", 6))
 
 
 # -- vectors -------------------------------------------------------------------------------------------------------
