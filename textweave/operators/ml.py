@@ -64,9 +64,11 @@ def kmeans(df: DataFrame, columns: Sequence[str], clusters: int = 3, seed: int =
 def nearest_rows(df: DataFrame, columns: Sequence[str], record: int, n: int = 3, row_id: str = "row_id") -> DataFrame:
     """(row_id, distance): the ``n`` rows nearest to row ``record``, itself included."""
     vec = F.array(*[F.col(c).cast("double") for c in columns])
-    probe = df.filter(F.col(row_id) == record).select(vec.alias("_probe"), F.lit(1).alias("_k")).limit(1)
-    rows = df.select(row_id, vec.alias("_vec"), F.lit(1).alias("_k")).join(F.broadcast(probe), "_k")
-    return rows.select(row_id, euclidean_distance("_vec", "_probe").alias("distance")).orderBy("distance", row_id).limit(n)
+    probe = df.filter(F.col(row_id) == record).select(vec.alias("v")).first()  # one record, used as a constant
+    if probe is None:
+        raise ValueError(f"no record {record}")
+    target = F.array(*[F.lit(x) for x in probe["v"]])
+    return df.select(row_id, euclidean_distance(vec, target).alias("distance")).orderBy("distance", row_id).limit(n)
 
 
 # -- classifiers ---------------------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textweave.functions.text import ngrams, sentences, token_counts, whitespace_tokens, words
+from textweave.plans.lineage import cut_lineage
 from textweave.plans.skew import salted_join
 
 NOUN, VERB = ["NOUN"], ["VERB"]
@@ -64,9 +65,10 @@ def term_counts(documents: DataFrame, n: int | None = 20) -> DataFrame:
 
 def sentences_with_nouns(documents: DataFrame, tokens: DataFrame, n: int = 10) -> DataFrame:
     """(doc_id, sent, sentence, noun): every sentence once per top noun it contains as a substring."""
-    nouns = common_lemmas(tokens, n, NOUN).agg(F.array_sort(F.collect_list("lemma")).alias("nouns"))  # at most n
-    hits = sentence_table(documents).withColumn("_k", F.lit(1)).join(F.broadcast(nouns.withColumn("_k", F.lit(1))), "_k")
-    found = F.filter("nouns", lambda w: F.contains(F.lower("sentence"), w))
+    nouns = [r["lemma"] for r in common_lemmas(tokens, n, NOUN).collect()]  # at most n words
+    listed = F.array(*[F.lit(w) for w in nouns]).cast("array<string>")
+    found = F.filter(listed, lambda w: F.contains(F.lower("sentence"), w))
+    hits = sentence_table(documents)
     return hits.select("doc_id", "sent", "sentence", F.explode(found).alias("noun"))
 
 
@@ -105,6 +107,7 @@ def dimensions(tokens: DataFrame, word: str, n: int = 3) -> DataFrame:
 
 def coding_dictionary(tokens: DataFrame, n_verbs: int = 10, top_n: int = 5) -> DataFrame:
     """(category, property, dimension): top verbs, their nouns, and what describes those nouns."""
+    tokens = cut_lineage(tokens.select("doc_id", "sent", "form", "lemma", "tag"))  # read five times below
     verbs = common_lemmas(tokens, n_verbs, VERB).select("lemma")
     nouns = _companions(tokens, verbs, NOUN, top_n).select(F.col("lemma").alias("category"), F.col("companion").alias("property"))
     listed = nouns.select(F.col("property").alias("lemma")).distinct()  # at most n_verbs * top_n
