@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textweave.llm import linededup, quality
+from textweave.llm import decontam, linededup, packing, quality, simhash
 from textweave.llm.common import documents, written
 from textweave.session import apply_settings
 
@@ -19,8 +19,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.drop_repeated_lines(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays; five-word shingles, fingerprints that agree in 58 of 64 bits or more (0.9)."""
+    return simhash.keep_one(docs, words=5, most=6)
 
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a benchmark item go."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents left, each with its bin and its place in it."""
+    return packing.pack_documents(docs).drop("text_hash")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+
+# Fingerprints, tiling and tokens are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

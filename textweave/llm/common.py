@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +69,23 @@ def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once per application, as --py-files would."""
+    context = spark.sparkContext
+    if getattr(context, "_textweave_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="textweave-"), "textweave"), "zip", root, "textweave")
+    context.addPyFile(archive)
+    context._textweave_shipped = True
+
+
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package within the executors' reach."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

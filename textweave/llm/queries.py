@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.llm import linededup, quality
+from textweave.llm import decontam, linededup, packing, quality, simhash
 from textweave.llm.common import documents, query
 
 # -- 5: quality rules ----------------------------------------------------------------------------------------------
@@ -95,3 +95,30 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id", F.col("lines")["n_lines"].alias("n_lines"), F.col("lines")["n_dropped"].alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+# -- 2: SimHash near-dedup -----------------------------------------------------------------------------------------
+
+
+@query("op2_pigeonring_simhash")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, folder), words=4, most=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# -- 7: benchmark decontamination ----------------------------------------------------------------------------------
+
+
+@query("op7_greedy_string_tiling")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per leak: a document and the benchmark item that its tiles cover."""
+    found = decontam.contaminations(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "coverage", F.size("tiles").cast("bigint").alias("n_tiles"), F.lit(True).alias("contaminated"))
+
+
+# -- 10: best-fit packing ------------------------------------------------------------------------------------------
+
+
+@query("op10_variable_best_fit")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, folder)).drop("text_hash")
