@@ -83,7 +83,7 @@ def packed_sequences(
     total = lengths.agg(F.sum("n_tokens")).first()[0] or 0
     groups = int(total // group_tokens) + 1
     cut = lengths.filter(F.col("n_tokens") > 0).select(
-        "doc_id", "text_hash", F.col("n_tokens").alias("_n"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_tokens") / longest) - 1)).cast("int").alias("piece")
+        "doc_id", "text_hash", F.col("n_tokens").alias("_n"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n_tokens") / longest) - 1).cast("int"))).alias("piece")
     )
     first = F.col("piece").cast("bigint") * longest
     pieces = cut.select("doc_id", "text_hash", "piece", first.alias("first_token"), F.least(F.lit(longest), F.col("_n") - first).cast("int").alias("n_tokens"))
