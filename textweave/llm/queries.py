@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.llm import decontam, linededup, packing, quality, simhash
+from textweave.llm import decontam, linededup, packing, quality, rans, simhash
 from textweave.llm.common import documents, query
+from textweave.session import new_folder
 
 # -- 5: quality rules ----------------------------------------------------------------------------------------------
 
@@ -122,3 +123,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_variable_best_fit")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder)).drop("text_hash")
+
+
+# -- 8: token-id output --------------------------------------------------------------------------------------------
+
+
+@query("op8_rans_token_files")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    out = new_folder(spark, "token-files")
+    rans.write_token_file(documents(spark, folder), out)
+    return rans.read_token_file(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
