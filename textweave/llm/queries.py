@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.llm import decontam, linededup, packing, quality, rans, simhash
+from textweave.llm import decontam, langid, linededup, packing, quality, rans, simhash, substring
 from textweave.llm.common import documents, query
 from textweave.session import new_folder
 
@@ -133,3 +133,23 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     out = new_folder(spark, "token-files")
     rans.write_token_file(documents(spark, folder), out)
     return rans.read_token_file(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+# -- 6: substring dedup --------------------------------------------------------------------------------------------
+
+
+@query("op6_unit_hashing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """The spans to remove, one row each."""
+    return substring.repeated_spans(documents(spark, folder)).drop("text_hash")
+
+
+# -- 4: language identification ------------------------------------------------------------------------------------
+
+
+@query("op4_hashed_naive_bayes")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    held_out = langid.remainder(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.filter(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
