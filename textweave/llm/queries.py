@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.llm import decontam, langid, linededup, packing, quality, rans, simhash, substring
+from textweave.llm import decontam, langid, linededup, lm, packing, quality, rans, simhash, substring
 from textweave.llm.common import documents, query
 from textweave.session import new_folder
 
@@ -153,3 +153,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     held_out = langid.remainder(F.col("doc_id"), 4) == 2
     model = langid.train(docs.filter(~held_out))
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+# -- 1: language-model scoring -------------------------------------------------------------------------------------
+
+
+@query("op1_causal_attention")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    held_out = langid.remainder(F.col("doc_id"), 5) == 1
+    return lm.score(docs, docs.filter(~held_out)).withColumn("held_out", held_out)
