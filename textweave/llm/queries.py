@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.llm import decontam, langid, linededup, lm, packing, quality, rans, simhash, substring
+from textweave.llm import decontam, langid, linededup, lm, packing, pii, quality, rans, simhash, substring
 from textweave.llm.common import documents, query
 from textweave.session import new_folder
 
@@ -163,3 +163,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     held_out = langid.remainder(F.col("doc_id"), 5) == 1
     return lm.score(docs, docs.filter(~held_out)).withColumn("held_out", held_out)
+
+
+# -- 3: PII --------------------------------------------------------------------------------------------------------
+
+
+@query("op3_feistel_pseudonyms")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, folder).select("doc_id", "text"))
