@@ -17,7 +17,7 @@ from textweave.llm.common import map_arrow
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
-SMOOTHING = 0.5
+SMOOTHING = 0.05
 CELLS = 1 << 22  # n-grams times languages scored at once
 UNKNOWN = "und"
 MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
