@@ -70,9 +70,9 @@ def test_topics_prefer_listed_ones(spark):
     docs = docs_of(spark, [("1", "alpha alpha beta", "2025-01-15", {}), ("2", "gamma", "2025-01-16", {})]).withColumn(
         "topics", F.when(F.col("id") == "2", F.array(F.lit("listed")))
     )
-    got = {r.period: r.topics for r in temporal.topic_lists(docs, "W", 3, "topics").collect()}
+    got = {r.period: r.topics for r in temporal.topic_lists(docs, [], "W", 3, "topics").collect()}
     assert got == {"2025-01-13/2025-01-19": ["listed"]}
-    plain = {r.period: r.topics for r in temporal.topic_lists(docs, "D", 1).collect()}
+    plain = {r.period: r.topics for r in temporal.topic_lists(docs, ["with"], "D", 1).collect()}
     assert plain == {"2025-01-15": ["alpha"], "2025-01-16": ["gamma"]}
 
 
@@ -209,13 +209,13 @@ def test_graph(spark):
         graph.build_graph(docs.withColumn("keywords", F.lit(None).cast("array<string>")), rows)
 
 
-def test_ball_cover_does_not_depend_on_the_batch(spark):
+def test_ball_cover_does_not_depend_on_the_round(spark):
     rng = np.random.default_rng(9)
     rows = [(i, *map(float, rng.uniform(0, 10, 3))) for i in range(400)] + [(1000, None, 1.0, 2.0)]
     df = spark.createDataFrame(rows, "row_id bigint, a double, b double, y double")
     balls = ballmapper.ball_map(df, "y", ["a", "b"], 0.2)
     assert {r.row_id for r in balls.members.collect()} == set(range(400))
-    small = ballmapper.cover(balls.points, 0.2, batch=7)
+    small = ballmapper.cover(balls.points, 0.2, per_cell=1)
     assert [tuple(r) for r in small.orderBy("ball_no").collect()] == [tuple(r) for r in balls.landmarks.orderBy("ball_no").collect()]
     where = np.array([r.location for r in balls.landmarks.collect()])
     apart = np.sqrt(((where[:, None] - where[None]) ** 2).sum(-1))
@@ -252,3 +252,29 @@ def test_topics_weights_sum_to_one(spark):
     main = topics.dominant_topics(fitted.scored, words)
     assert main.filter("keywords is not null").count() == 20
     assert topics.coherence(words, lists).count() == 2
+
+
+def test_no_cut_where_the_data_is_large(spark):
+    from textweave.functions import metadata, text
+    from textweave.operators import features
+    from textweave.sources import ingest
+
+    one = spark.createDataFrame([("Straße groß Привет 日本. Really?! Yes.", '{"a":"[note] x","b":[1],"c":{"d":1},"e":null,"f":2}')], "t string, j string")
+    got = one.select(text.words("t").alias("w"), text.sentences("t").alias("s"), metadata.json_scalars("j").alias("j")).first()
+    assert got.w == ["straße", "groß", "привет", "日本", "really", "yes"]
+    assert got.s == ["Straße groß Привет 日本.", "Really?!", "Yes."] and got.j == {"a": "[note] x", "f": "2"}
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("x").alias("text"))
+    assert [len(r.text) for r in ingest.conversations_to_documents(turns).collect()] == [39_999]
+    names = [f"w{i:02d}" for i in range(70)]
+    words = spark.createDataFrame([(0, i, w) for i, w in enumerate(names)] + [(1, i, w) for i, w in enumerate(names[:50])], "topic int, rank int, word string")
+    shared = spark.createDataFrame([("a", names), ("b", ["other"])], "doc_id string, lemmas array<string>")
+    npmi = {r.topic: r.npmi for r in topics.coherence(words, shared).collect()}
+    assert npmi[0] == pytest.approx(npmi[1]) and npmi[0] == pytest.approx(1)
+    docs = spark.createDataFrame([("1", {"mood": "sad"}), ("2", {"mood": "glad"}), ("3", {"mood": "glad"})], "id string, metadata map<string,string>")
+    rows = spark.createDataFrame([(i, float(i)) for i in range(3)], "row_id bigint, v double")
+    links = spark.createDataFrame([("1", 0), ("2", 1), ("3", 2)], "doc_id string, row_id bigint")
+    try:
+        x, outcome = features.linked_xy(docs, rows, links, "mood")
+    except Exception as e:  # the message names the missing column
+        raise AssertionError(str(e)[:500]) from e
+    assert sorted(r.outcome for r in outcome.collect()) == [0.0, 0.0, 1.0]

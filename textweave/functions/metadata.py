@@ -36,7 +36,10 @@ def prefixed_scalars(metadata: Column | str, prefix: str = "doc_") -> Column:
 def json_scalars(text: Column | str) -> Column:
     """JSON object text -> map of its scalar members as text (nested members and nulls dropped)."""
     parsed = F.from_json(_col(text), "map<string,string>")
-    return F.map_filter(parsed, lambda k, v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]"))
+    # the type decides, not the first character: a string may begin with a bracket
+    typed = F.try_variant_get(F.try_parse_json(_col(text)), "$", "map<string,variant>")
+    nested = lambda k: F.coalesce(F.schema_of_variant(F.try_element_at(typed, k)).rlike("^(OBJECT|ARRAY)<"), F.lit(False))
+    return F.map_filter(parsed, lambda k, v: v.isNotNull() & ~nested(k))
 
 
 def collection_metadata(metadata: Column | str, doc_id: Column | str) -> Column:

@@ -7,10 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters kept by the word tokeniser, white space as the language's own split() sees it.
-NOT_WORD = "[^0-9a-zà-ÿ]+"
+# What separates words (letters, their marks and numbers of any script), and white space as the
+# language's own split() sees it.
+NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 WHITE_SPACE = r"(?U)[\s\x1c-\x1f]+"
-SENTENCE_END = r"[.!?]+\s+"
+SENTENCE_END = r"(?<=[.!?])\s+"
 
 # Placeholder for each kind of span, in the order the replacements are applied.
 PLACEHOLDERS = (
@@ -37,7 +38,7 @@ def non_blank(tokens: Column) -> Column:
 
 
 def words(text: Column | str) -> Column:
-    """Lower-cased words: runs of digits and Latin letters."""
+    """Lower-cased words: runs of letters and digits of any script."""
     return non_blank(F.split(F.lower(_col(text)), NOT_WORD))
 
 
@@ -47,7 +48,7 @@ def whitespace_tokens(text: Column | str) -> Column:
 
 
 def sentences(text: Column | str) -> Column:
-    """Sentences cut after closing punctuation followed by white space."""
+    """Sentences cut at the white space after closing punctuation, which stays with its sentence."""
     return F.filter(F.transform(F.split(_col(text), SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +15,9 @@ from textweave.functions.vectors import euclidean_distance
 from textweave.operators.features import min_max
 from textweave.operators.linkage import project
 from textweave.plans.lineage import cut_lineage
+from textweave.plans.ordering import with_dense_index
 
-BATCH = 4096  # points looked at per round on the driver
+PER_CELL = 64  # candidates of a grid cell that a round looks at
 GRID_DIMENSIONS = 3
 LANDMARKS = "ball_id string, ball_no int, landmark_row bigint, location array<double>"
 
@@ -46,48 +46,58 @@ def default_order() -> Column:
     return F.md5(F.col("row_id").cast("string"))
 
 
-def cover(points: DataFrame, radius: float, order: Column | None = None, batch: int = BATCH) -> DataFrame:
+def cover(points: DataFrame, radius: float, order: Column | None = None, per_cell: int = PER_CELL) -> DataFrame:
     """Landmarks of the greedy cover: in a fixed order, a point no earlier ball holds becomes a landmark.
 
-    Landmarks lie more than a radius apart, so in the unit cube there are at most ceil(sqrt(d)/radius)^d of them,
-    whatever the number of points. Each round takes the first uncovered points in order; which of them become landmarks
-    depends only on points before them, so a short prefix decides exactly and one scan drops what the new balls cover.
+    Decided in rounds on Spark. The candidates of a round are the first ``per_cell`` undecided points of each grid cell,
+    one for each fine cell (whose points all hold each other). A candidate with no earlier undecided point within the
+    radius is a landmark of the greedy order; the points its ball holds are decided too. Each round writes what is left,
+    and only whether that is empty reaches the driver; the first undecided point always becomes a landmark.
     """
     rank = default_order() if order is None else order
-    cloud = cut_lineage(points.select("row_id", "vec", rank.alias("_order")))
-    found: list[tuple[int, np.ndarray]] = []
-    remaining = cloud
-    while True:
-        head = remaining.orderBy("_order", "row_id").limit(batch).collect()
-        centres = np.array([v for _, v in found], dtype=float) if found else None
-        for row in head:
-            vec = np.asarray(row["vec"], dtype=float)
-            if centres is None or np.sqrt(((centres - vec) ** 2).sum(1)).min() > radius:
-                found.append((row["row_id"], vec))
-                centres = vec[None, :] if centres is None else np.vstack([centres, vec])
-        if len(head) < batch:
-            break
-        fixed = centres
-
-        def uncovered(batches: Iterator[pd.DataFrame], centres: np.ndarray = fixed) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                if not len(part):
-                    continue
-                x = np.asarray(part["vec"].tolist(), dtype=float)
-                free = np.ones(len(x), dtype=bool)
-                for c in centres:
-                    free &= np.sqrt(((x - c) ** 2).sum(1)) > radius
-                yield part[free]
-
-        remaining = cloud.mapInPandas(uncovered, cloud.schema)
-    rows = [(f"B{i}", i, int(r), [float(x) for x in v]) for i, (r, v) in enumerate(found)]
-    return points.sparkSession.createDataFrame(rows, LANDMARKS)
+    ranked = points.select("row_id", "vec", F.struct(rank.alias("o"), F.col("row_id").alias("r")).alias("_order"))
+    first = points.select(F.size("vec").alias("d")).first()
+    d = first["d"] if first else 1
+    g = min(d, GRID_DIMENSIONS)
+    fine = radius / d**0.5 * (1 - 1e-9)
+    left = cut_lineage(ranked.withColumns({"cell": _cell(F.col("vec"), radius, g), "fine": _cell(F.col("vec"), fine, d)}))
+    found: list[DataFrame] = []
+
+    def near(some: DataFrame, hit: Column, what: str) -> DataFrame:
+        """Column ``what`` of the pairs of an undecided point and one of ``some`` within the radius for which ``hit``."""
+        around = _around(some.select(F.col("row_id").alias("_row"), F.col("vec").alias("_vec"), F.col("_order").alias("_theirs")), "_vec", radius, g)
+        pairs = left.join(around, "cell").filter(hit & (euclidean_distance("vec", "_vec") <= radius))
+        return pairs.select(F.col(what).alias("row_id")).distinct()
+
+    while not left.isEmpty():
+        heads = left.groupBy("cell", "fine").agg(F.min_by(F.struct("row_id", "vec", "_order"), "_order").alias("h")).select("cell", "h.*")
+        early = Window.partitionBy("cell").orderBy("_order")
+        candidates = cut_lineage(heads.withColumn("_n", F.row_number().over(early)).filter(F.col("_n") <= per_cell).drop("_n"))
+        blocked = near(candidates, F.col("_order") < F.col("_theirs"), "_row")
+        new = cut_lineage(candidates.join(blocked, "row_id", "left_anti").select("row_id", "vec", "_order"))
+        found.append(new)
+        held = near(new, F.lit(True), "row_id")
+        left = cut_lineage(left.join(held, "row_id", "left_anti"))
+    if not found:
+        return points.sparkSession.createDataFrame([], LANDMARKS)
+    numbered = with_dense_index(reduce(DataFrame.unionByName, found).withColumns({"_o": F.col("_order.o")}), ["_o", "row_id"], "ball_no")
+    return numbered.select(
+        F.concat(F.lit("B"), F.col("ball_no").cast("string")).alias("ball_id"), F.col("ball_no").cast("int").alias("ball_no"),
+        F.col("row_id").alias("landmark_row"), F.col("vec").cast("array<double>").alias("location"),
+    )
 
 
 def _cell(vector: Column, radius: float, dimensions: int) -> Column:
     return F.array(*[F.floor(F.get(vector, F.lit(i)) / radius).cast("bigint") for i in range(dimensions)])
 
 
+def _around(some: DataFrame, vector: str, radius: float, dimensions: int) -> DataFrame:
+    """Each record once for every grid cell around that of its ``vector``, as ``cell``."""
+    shifts = F.array(*[F.array(*[F.lit(s).cast("bigint") for s in shift]) for shift in product((-1, 0, 1), repeat=dimensions)])
+    placed = some.withColumns({"_home": _cell(F.col(vector), radius, dimensions), "_shift": F.explode(shifts)})
+    return placed.withColumn("cell", F.zip_with("_home", "_shift", lambda a, b: a + b)).drop("_home", "_shift")
+
+
 def membership(points: DataFrame, landmarks: DataFrame, radius: float) -> DataFrame:
     """(ball_id, row_id, y) of the points within the radius of each landmark.
 
@@ -95,9 +105,7 @@ def membership(points: DataFrame, landmarks: DataFrame, radius: float) -> DataFr
     """
     first = landmarks.select(F.size("location").alias("d")).first()
     g = min(first["d"] if first else 1, GRID_DIMENSIONS)
-    shifts = F.array(*[F.array(*[F.lit(s).cast("bigint") for s in shift]) for shift in product((-1, 0, 1), repeat=g)])
-    around = landmarks.select("ball_id", "location", _cell(F.col("location"), radius, g).alias("home"), F.explode(shifts).alias("shift"))
-    near = around.select("ball_id", "location", F.zip_with("home", "shift", lambda a, b: a + b).alias("cell"))
+    near = _around(landmarks.select("ball_id", "location"), "location", radius, g)
     placed = points.withColumn("cell", _cell(F.col("vec"), radius, g))
     return placed.join(near, "cell").filter(euclidean_distance("vec", "location") <= radius).select("ball_id", "row_id", "y")
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from textweave.functions.text import whitespace_tokens
 from textweave.operators.filters import drop_missing, split_xy
 from textweave.operators.linkage import HubLinks, rows_with_outcome, text_outcome
-from textweave.plans.ordering import values_at_ranks
+from textweave.plans.ordering import values_at_ranks, with_dense_index
 
 MAX_LEVELS = 1000  # widest one-hot encoding
 VOCABULARY = 10_000  # fixed value: words of a sequence vocabulary
@@ -173,9 +173,18 @@ def linked_xy(
     documents: DataFrame, rows: DataFrame, links: DataFrame | HubLinks, field: str, how: str = "majority",
     balance: bool = False, booleans: bool = False,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Features and a text outcome: linked rows only, prepared like any other frame."""
+    """Features and a text outcome: linked rows only, prepared like any other frame.
+
+    An outcome with any value that is no number is a class: its values are numbered from 0 in alphabetical order.
+    """
     joined = rows_with_outcome(rows, text_outcome(documents, links, field, how), "outcome")
-    return prepare(joined.withColumn("outcome", F.col("outcome").try_cast("double")), "outcome", balance, booleans, "row_id")
+    number = F.col("outcome").try_cast("double")
+    if _fit(joined, [F.coalesce(F.bool_or(F.col("outcome").isNotNull() & number.isNull()), F.lit(False)).alias("v")])["v"]:
+        labels = joined.filter(F.col("outcome").isNotNull()).select("outcome").distinct()
+        numbered = with_dense_index(labels, ["outcome"], "_class").select(F.col("outcome").alias("_label"), F.col("_class").cast("double"))
+        joined = joined.join(numbered, F.col("outcome") == F.col("_label"), "left").drop("outcome", "_label").withColumnRenamed("_class", "outcome")
+        return prepare(joined, "outcome", balance, booleans, "row_id")
+    return prepare(joined.withColumn("outcome", number), "outcome", balance, booleans, "row_id")
 
 
 def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, HashingTF, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, HashingTF, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
@@ -90,14 +90,15 @@ def _classified(model, data: DataFrame, row_id: str) -> Classified:
 
 def neural_net(df: DataFrame, columns: Sequence[str], outcome: str, iterations: int = 100, seed: int = 42, row_id: str = "row_id") -> tuple[object, DataFrame]:
     """Feed-forward net (12 and 8 hidden units for two classes, 64 and 32 for more) and training accuracy."""
-    values = [r[0] for r in df.select(outcome).distinct().orderBy(outcome).limit(1001).collect()]
-    if not 2 <= len(values) <= 1000:
-        raise ValueError("a class outcome with 2 to 1000 values is needed")
-    index = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(outcome)) - 1
-    data = assemble(standardise(df, columns), columns).withColumn("target", index.cast("int"))
-    hidden = [12, 8] if len(values) == 2 else [64, 32]
+    index = StringIndexer(inputCol=outcome, outputCol="_class", stringOrderType="alphabetAsc").fit(df)
+    classes = len(index.labels)
+    if classes < 2:
+        raise ValueError("a class outcome with at least 2 values is needed")
+    indexed = index.transform(standardise(df, columns))
+    data = assemble(indexed, columns).withColumn("target", F.col("_class").cast("int"))
+    hidden = [12, 8] if classes == 2 else [64, 32]
     net = MultilayerPerceptronClassifier(
-        layers=[len(columns), *hidden, len(values)], maxIter=iterations, seed=seed, labelCol="target", featuresCol="features"
+        layers=[len(columns), *hidden, classes], maxIter=iterations, seed=seed, labelCol="target", featuresCol="features"
     )
     model = net.fit(data)
     scored = model.transform(data).select(row_id, "target", F.col("prediction").cast("int").alias("prediction"))

@@ -20,7 +20,7 @@ BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 ALPHA = 15.0
 EXCLAMATION, MOST_EXCLAMATIONS = 0.292, 4
 QUESTION, MANY_QUESTIONS = 0.18, 0.96
-EDGE_PUNCTUATION = "^[^0-9A-Za-zÀ-ÿ]+|[^0-9A-Za-zÀ-ÿ]+$"
+EDGE_PUNCTUATION = r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$"
 
 NEGATORS = tuple("not no never none nor neither nobody nothing nowhere cannot without hardly".split())
 BOOSTERS = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +12,6 @@ from textweave.functions.text import whitespace_tokens
 from textweave.functions.time import period_label, period_start
 from textweave.operators.filters import numeric_columns
 
-# Words that never count as a topic.
-STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is was are were be been being have has had do does did "
-    "will would should could may might can"
-).split()
 SHORTEST_TOPIC = 4  # characters
 
 
@@ -62,13 +59,13 @@ def sentiment_trend(documents: DataFrame, period: str = "D", how: str = "mean",
     return with_label(trend, period)
 
 
-def topic_counts(documents: DataFrame, period: str = "W", topics: str | None = None) -> DataFrame:
+def topic_counts(documents: DataFrame, stop_words: Sequence[str], period: str = "W", topics: str | None = None) -> DataFrame:
     """Topic occurrences per period: listed topics where any document of the period has them, else its words.
 
-    ``topics`` names an ARRAY<STRING> column.
+    ``topics`` names an ARRAY<STRING> column; ``stop_words``, lower case, never count as topics.
     """
     listed = F.col(topics) if topics else F.lit(None).cast("array<string>")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    stop = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
     own = F.filter(
         whitespace_tokens("text"), lambda w: (F.length(w) >= SHORTEST_TOPIC) & ~F.array_contains(stop, w)
     )
@@ -87,14 +84,14 @@ def topic_counts(documents: DataFrame, period: str = "W", topics: str | None = N
     return named.unionByName(words)
 
 
-def top_topics(documents: DataFrame, period: str = "W", n: int = 5, topics: str | None = None) -> DataFrame:
+def top_topics(documents: DataFrame, stop_words: Sequence[str], period: str = "W", n: int = 5, topics: str | None = None) -> DataFrame:
     """The ``n`` most frequent topics per period as ranked rows; ties by name."""
     rank = Window.partitionBy("_start").orderBy(F.col("n").desc(), "topic")
-    ranked = topic_counts(documents, period, topics).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
+    ranked = topic_counts(documents, stop_words, period, topics).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
     return with_label(ranked.select("_start", "rank", "topic", "n"), period)
 
 
-def topic_lists(documents: DataFrame, period: str = "W", n: int = 5, topics: str | None = None) -> DataFrame:
+def topic_lists(documents: DataFrame, stop_words: Sequence[str], period: str = "W", n: int = 5, topics: str | None = None) -> DataFrame:
     """The same as one list of at most ``n`` topics per period."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "topic")))
-    return top_topics(documents, period, n, topics).groupBy("period").agg(F.transform(ordered, lambda t: t["topic"]).alias("topics"))
+    return top_topics(documents, stop_words, period, n, topics).groupBy("period").agg(F.transform(ordered, lambda t: t["topic"]).alias("topics"))

@@ -30,12 +30,13 @@ class TopicModel:
 
 
 def fit_topics(
-    lemmas: DataFrame, topics: int = 8, passes: int = 15, vocabulary_size: int = 1 << 15, min_documents: int = 1,
+    lemmas: DataFrame, topics: int = 8, passes: int = 15, vocabulary_size: int | None = None, min_documents: int = 1,
     seed: int = 42, tokens: str = "lemmas",
 ) -> TopicModel:
-    """Online LDA on ``lemmas(doc_id, lemmas)``."""
+    """Online LDA on ``lemmas(doc_id, lemmas)``, over every word unless ``vocabulary_size`` limits them."""
     base = lemmas.select("doc_id", F.col(tokens).alias("tokens"))
-    vectoriser = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary_size, minDF=float(min_documents))
+    size = vocabulary_size or max(1, base.select(F.explode("tokens").alias("word")).distinct().count())
+    vectoriser = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=size, minDF=float(min_documents))
     fitted = vectoriser.fit(base)
     counts = fitted.transform(base)
     model = LDA(k=topics, maxIter=passes, optimizer="online", seed=seed, featuresCol="features").fit(counts)
@@ -97,7 +98,7 @@ def discussed_topics(scored: DataFrame, words: DataFrame, n_words: int = 3) -> D
 def word_importance(words: DataFrame, lemmas: DataFrame, tokens: str = "lemmas") -> DataFrame:
     """(topic, word, weight, word_count): topic words with their corpus counts, 0 when absent."""
     wanted = words.select("word").distinct()
-    counted = lemmas.select(F.explode(tokens).alias("word")).join(F.broadcast(wanted), "word").groupBy("word").agg(F.count(F.lit(1)).alias("word_count"))
+    counted = lemmas.select(F.explode(tokens).alias("word")).join(wanted, "word").groupBy("word").agg(F.count(F.lit(1)).alias("word_count"))
     return words.join(counted, "word", "left").select("topic", "word", "weight", F.coalesce("word_count", F.lit(0)).alias("word_count"))
 
 
@@ -136,8 +137,8 @@ def with_topics(documents: DataFrame, dominant: DataFrame) -> DataFrame:
 def coherence(words: DataFrame, lemmas: DataFrame, window: int = CORPUS_WINDOW, tokens: str = "lemmas") -> DataFrame:
     """(topic, npmi): mean normalised pointwise mutual information of the topic's word pairs (Roeder et al., 2015).
 
-    A window of a topic is stored as a bit set of the topic's words and equal windows are counted together, so what
-    remains to be paired does not grow with the text. A topic may have at most 60 words.
+    A window of a topic is stored as the set of the topic's words and equal windows are counted together, so what
+    remains to be paired does not grow with the text.
     """
     bits = words.select("topic", "word", (F.row_number().over(Window.partitionBy("topic").orderBy("rank")) - 1).alias("bit"))
     sized = lemmas.select("doc_id", tokens, F.size(tokens).alias("n")).filter(F.col("n") > 0)
@@ -146,9 +147,9 @@ def coherence(words: DataFrame, lemmas: DataFrame, window: int = CORPUS_WINDOW,
     cells = sized.select("doc_id", last.alias("last"), F.posexplode(tokens).alias("pos", "word")).join(F.broadcast(bits), "word")
     starts = F.sequence(F.greatest(F.col("pos") - (window - 1), F.lit(0)), F.least("pos", "last"))
     placed = cells.withColumn("start", F.explode(starts))
-    sets = placed.groupBy("topic", "doc_id", "start").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set"))
+    sets = placed.groupBy("topic", "doc_id", "start").agg(F.sort_array(F.collect_set("bit")).alias("set"))
     counted = sets.groupBy("topic", "set").agg(F.count(F.lit(1)).alias("c"))
-    held = F.filter(F.sequence(F.lit(0), F.lit(59)), lambda b: F.getbit("set", b) == 1)
+    held = F.col("set")
     single = counted.select("topic", "c", F.explode(held).alias("bit")).groupBy("topic", "bit").agg(F.sum("c").alias("c"))
     low = counted.select("topic", "set", "c", F.explode(held).alias("a"))
     pair = low.select("topic", "a", "c", F.explode(F.filter(held, lambda b: b > F.col("a"))).alias("b")).groupBy("topic", "a", "b").agg(F.sum("c").alias("c"))

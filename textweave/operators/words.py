@@ -119,9 +119,9 @@ def coding_dictionary(tokens: DataFrame, n_verbs: int = 10, top_n: int = 5) -> D
     ).select("category", "property", "dimension")
 
 
-def summary(documents: DataFrame, tokens: DataFrame, weight: int = 10, n_words: int = 10) -> DataFrame:
-    """(sentence, word_rank): sentences with a top word, each text once, by word rank and then position."""
-    top = common_lemmas(tokens, min(weight, n_words))
+def summary(documents: DataFrame, tokens: DataFrame, weight: int = 10) -> DataFrame:
+    """(sentence, word_rank): sentences with one of the ``weight`` top words, each text once, by word rank and then position."""
+    top = common_lemmas(tokens, weight)
     ranked = top.select("lemma", F.row_number().over(Window.orderBy(F.col("n").desc(), "lemma")).alias("word_rank"))
     hits = tokens.join(F.broadcast(ranked), "lemma").groupBy("doc_id", "sent").agg(F.min("word_rank").alias("word_rank"))
     found = sentence_table(documents).join(hits, ["doc_id", "sent"])

@@ -103,7 +103,7 @@ WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\
 
 
 def sql_words(text: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({text}), '[^0-9a-zà-ÿ]+'), lambda x: x <> '')"
+    return f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
 def sql_white(text: str) -> str:
@@ -112,7 +112,7 @@ def sql_white(text: str) -> str:
 
 def sql_sentences(text: str) -> str:
     return (
-        f"list_filter(list_transform(regexp_split_to_array({text}, '[.!?]+\\s+'), lambda s: trim(s, ' ')), lambda s: s <> '')"
+        f"list_filter(list_transform(string_split(regexp_replace({text}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')"
     )
 
 

@@ -166,14 +166,20 @@ def category_baskets(spark, d):
 
 @query(
     "txt11_category_association",
-    f"""WITH {BASKETS}, total AS (SELECT count(DISTINCT doc_id) AS t FROM baskets),
-one AS (SELECT category AS items, count(*) AS freq FROM baskets GROUP BY 1),
-two AS (SELECT a.category || '|' || b.category AS items, count(*) AS freq FROM baskets a JOIN baskets b ON a.doc_id = b.doc_id AND a.category < b.category GROUP BY 1)
-SELECT items, freq, round(freq / CAST(t AS DOUBLE), 6) AS support FROM (SELECT * FROM one UNION ALL SELECT * FROM two), total WHERE freq >= ceil(0.1 * t)""",
+    f"""WITH RECURSIVE {BASKETS}, total AS (SELECT count(DISTINCT doc_id) AS t FROM baskets),
+one AS (SELECT category, count(*) AS freq FROM baskets GROUP BY 1 HAVING count(*) >= (SELECT ceil(0.1 * t) FROM total)),
+lists AS (SELECT doc_id, list(category) AS items FROM baskets SEMI JOIN one USING (category) GROUP BY 1),
+sets AS (
+  SELECT [category] AS s, freq FROM one
+  UNION ALL
+  SELECT list_append(s, category) AS s, freq FROM (
+    SELECT sets.s, one.category, (SELECT count(*) FROM lists WHERE list_has_all(items, list_append(sets.s, one.category))) AS freq
+    FROM sets JOIN one ON one.category > sets.s[-1]) WHERE freq >= (SELECT ceil(0.1 * t) FROM total))
+SELECT array_to_string(s, '|') AS items, freq, round(freq / CAST(t AS DOUBLE), 6) AS support FROM sets, total""",
 )
 def category_association(spark, d):
     lists = wd.basket_lists(wd.category_baskets(word_lists(spark, d), 10))
-    found = wd.frequent_itemsets(lists, 0.1).filter(F.size("items") <= 2)
+    found = wd.frequent_itemsets(lists, 0.1)
     return found.select(F.array_join("items", "|").alias("items"), "freq", F.round("support", 6).alias("support"))
 
 
@@ -289,14 +295,14 @@ NEGATORS, BOOSTERS = ("of", "un", "nicht"), {"and": 0.293, "la": -0.293}
 
 SENTIMENT = rf"""raw AS (
   SELECT CAST(doc_id AS VARCHAR) AS doc_id, text,
-         list_filter(list_transform(regexp_split_to_array(text, '{WHITE}'), lambda t: regexp_replace(t, '^[^0-9A-Za-zÀ-ÿ]+|[^0-9A-Za-zÀ-ÿ]+$', '', 'g')), lambda t: t <> '') AS ts
+         list_filter(list_transform(regexp_split_to_array(text, '{WHITE}'), lambda t: regexp_replace(t, '^[^\p{{L}}\p{{M}}\p{{N}}]+|[^\p{{L}}\p{{M}}\p{{N}}]+$', '', 'g')), lambda t: t <> '') AS ts
   FROM documents),
 cells AS (SELECT doc_id, len(ts) AS n, i, ts[i] AS t, lower(ts[i]) AS low, upper(ts[i]) = ts[i] AND lower(ts[i]) <> ts[i] AS cap FROM (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM raw)),
 facts AS (SELECT doc_id, count(*) FILTER (cap) > 0 AND count(*) FILTER (cap) < count(*) AS mixed, min(CASE WHEN low = 'that' THEN i END) AS but_at FROM cells GROUP BY doc_id),
 base AS (SELECT c.*, f.but_at, cap AND mixed AS shout,
          CASE low WHEN 'and' THEN 0.293::DOUBLE WHEN 'la' THEN -0.293::DOUBLE ELSE 0::DOUBLE END AS b,
          CASE WHEN low IN ('of', 'un', 'nicht') THEN -0.74::DOUBLE ELSE 1::DOUBLE END AS neg,
-         CASE WHEN regexp_full_match(low, '[0-9a-zà-ÿ]+') AND low NOT IN ('of', 'un', 'nicht', 'and', 'la') THEN CAST(length(low) % 5 - 2 AS DOUBLE) ELSE 0::DOUBLE END AS valence
+         CASE WHEN regexp_full_match(low, '[\p{{L}}\p{{M}}\p{{N}}]+') AND low NOT IN ('of', 'un', 'nicht', 'and', 'la') THEN CAST(length(low) % 5 - 2 AS DOUBLE) ELSE 0::DOUBLE END AS valence
   FROM cells c JOIN facts f USING (doc_id)),
 steps AS (SELECT *, CASE WHEN shout AND b <> 0 THEN b + sign(b) * 0.733 ELSE b END AS s FROM base),
 near AS (SELECT *, coalesce(lag(s, 1) OVER w, 0) AS s0, coalesce(lag(s, 2) OVER w, 0) * 0.95 AS s1, coalesce(lag(s, 3) OVER w, 0) * 0.9 AS s2,

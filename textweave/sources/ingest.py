@@ -190,14 +190,13 @@ def first_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def conversations_to_documents(
-    turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text", turns_per_document: int = 10_000
+    turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text", turns_per_document: int | None = None
 ) -> DataFrame:
     """One document per conversation: texts in turn order, joined by one space.
 
-    A conversation longer than ``turns_per_document`` continues in documents ``<id>#1``, ``<id>#2``, ... so that no
-    single record or task has to hold an unbounded conversation.
+    With ``turns_per_document`` (off by default) a longer conversation continues in documents ``<id>#1``, ``<id>#2``, ...
     """
-    part = F.floor(F.col(turn) / turns_per_document)
+    part = F.floor(F.col(turn) / turns_per_document) if turns_per_document else F.lit(0)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.coalesce(text, F.lit("")).alias("text"))))
     joined = turns.groupBy(F.col(conversation).alias("conv"), part.alias("part")).agg(
         F.array_join(F.transform(ordered, lambda t: t["text"]), " ").alias("text"), F.count(F.lit(1)).alias("turns")
