@@ -276,6 +276,8 @@ def keep_one(docs: DataFrame, words: int = 5, most: int = 4, bucket: int = BUCKE
     entry = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = found.groupBy("root").agg(F.min(entry).alias("best"))
     same_row = found.groupBy("doc_id", "text_hash", "root").agg(F.count(F.lit(1)).alias("copies"))
+    # written apart, so that the join's copies of one group can be split or the smaller side be sent to all
+    best = sized_broadcast(written(best, "best-of-component"), HOT_BROADCAST)
     marked = same_row.join(best, "root").select(
         F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "copies", (entry == F.col("best")).alias("stays")
     )
