@@ -278,3 +278,13 @@ def test_no_cut_where_the_data_is_large(spark):
     except Exception as e:  # the message names the missing column
         raise AssertionError(str(e)[:500]) from e
     assert sorted(r.outcome for r in outcome.collect()) == [0.0, 0.0, 1.0]
+
+
+def test_keywords_given_as_comma_text(spark):
+    docs = spark.createDataFrame([("keyword:odd", "n", "t", {"cluster": "0"}, "k1, k2,,k1")], "id string, name string, text string, metadata map<string,string>, keywords string")
+    dated = docs.withColumn("ts", F.lit("2025-01-02").cast("timestamp_ntz"))
+    built = graph.build_graph(dated)
+    assert {r.target for r in built.edges.filter("label = 'HAS_KEYWORD'").collect()} == {"keyword:k1", "keyword:k2"}
+    members, edges = graph.temporal_subgraphs(built, dated, "M")  # an id that looks like a keyword is still a document
+    assert {r.id for r in members.collect()} == {"keyword:odd", "keyword:k1", "keyword:k2", "cluster:0"}
+    assert {(r.source, r.target) for r in edges.collect()} >= {("keyword:odd", "keyword:k1"), ("cluster:0", "keyword:k2")}

@@ -1,7 +1,7 @@
 """Property graph of documents, keywords, clusters and records.
 
-Nodes are (id, label, properties); edges are (source, target, label, properties), undirected. Documents carry an array
-column ``keywords`` and ``cluster`` in their metadata; records are rows with an id column.
+Nodes are (id, label, properties); edges are (source, target, label, properties), undirected. Documents carry ``keywords``
+(an array or comma text) and ``cluster`` in their metadata; records are rows with an id column.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textweave.functions.metadata import prefixed_scalars
+from textweave.functions.metadata import keyword_list, prefixed_scalars
 from textweave.functions.time import period_label, period_start
 
 # Id columns looked up in this order, node labels, length of the text kept on a node.
 ID_COLUMNS = ("id", "ID", "doc_id", "document_id", "index")
 NODE_LABELS = ("document", "keyword", "cluster", "metadata")
+DOCUMENT_EDGES = ("HAS_KEYWORD", "BELONGS_TO_CLUSTER", "HAS_METADATA", "TEMPORAL_LINK")  # those that start from a document
 TEXT_LENGTH = 500
 
 
@@ -54,8 +55,11 @@ def document_nodes(documents: DataFrame) -> DataFrame:
 
 
 def document_keywords(documents: DataFrame) -> DataFrame:
-    """(id, keyword), each pair once."""
-    return documents.select("id", F.explode(F.array_distinct("keywords")).alias("keyword"))
+    """(id, keyword), each pair once; ``keywords`` is an array or comma text."""
+    listed = F.col("keywords")
+    if dict(documents.dtypes)["keywords"] == "string":
+        listed = F.filter(keyword_list("keywords"), lambda k: k != "")
+    return documents.select("id", F.explode(F.array_distinct(listed)).alias("keyword"))
 
 
 def document_clusters(documents: DataFrame) -> DataFrame:
@@ -218,13 +222,16 @@ def temporal_subgraphs(
     """
     dated = documents.filter(F.col("ts").isNotNull()).select("id", period_label(period_start("ts", period), period).alias("period"))
     docs = dated.withColumnRenamed("id", "source")
-    own = graph.edges.filter(~F.col("source").rlike("^(keyword|cluster):"))
+    # the label tells what an edge starts from; an id may look like anything
+    from_document = F.col("label").isin(*DOCUMENT_EDGES)
+    own = graph.edges.filter(from_document)
     outgoing = own.join(docs, "source")
     members = dated.unionByName(outgoing.select(F.col("target").alias("id"), "period")).distinct()
+    # targets are many and sources few: a cluster with a large share of the edges never is a join key of its own
     shared = (
-        graph.edges.filter(F.col("source").rlike("^(keyword|cluster):"))
-        .join(members.withColumnRenamed("id", "source"), "source")
-        .join(members.withColumnRenamed("id", "target"), ["period", "target"], "left_semi")
+        graph.edges.filter(~from_document)
+        .join(members.withColumnRenamed("id", "target"), "target")
+        .join(members.withColumnRenamed("id", "source"), ["period", "source"], "left_semi")
     )
     columns = ["period", "source", "target", "label", "properties"]
     edges = outgoing.select(*columns).unionByName(shared.select(*columns))
