@@ -84,11 +84,14 @@ def test_probabilities_sum_to_one(tiny_classes):
 def test_attention_is_causal_and_windows_agree(tiny_classes):
     rng = np.random.default_rng(2)
     p = {k: rng.standard_normal(s).astype(np.float32) * 0.3 for k, s in lm.shapes().items()}
-    x, row = rng.integers(0, lm.CLASSES, (2, 40)), rng.integers(0, 50, (2, 40))
+    x, row = rng.integers(0, lm.CLASSES, (2, 24)), rng.integers(0, 50, (2, 24))
     whole = lm.forward(p, tiny_classes.start, x, row, 0)["log"]
-    assert np.allclose(lm.forward(p, tiny_classes.start, x[:, :25], row[:, :25], 0)["log"], whole[:, :25], atol=1e-4)
-    padded = np.concatenate([x, np.full((2, 9), lm.CLASSES + 1)], axis=1)
-    assert np.allclose(lm.forward(p, tiny_classes.start, padded, np.pad(row, ((0, 0), (0, 9))), 30)["log"][:, :10], whole[:, 30:], atol=1e-4)
+    assert np.allclose(lm.forward(p, tiny_classes.start, x[:, :15], row[:, :15], 0)["log"], whole[:, :15], atol=1e-4)
+    y = rng.integers(0, lm.CLASSES, (2, 24))
+    quick = lm.target_log(p, tiny_classes.start, x, row, y[:, 10:], 10)
+    assert np.allclose(quick, np.take_along_axis(whole, y[:, :, None], 2)[:, 10:, 0], atol=1e-4)
+    padded = np.concatenate([x, np.full((2, 8), lm.CLASSES + 1)], axis=1)
+    assert np.allclose(lm.forward(p, tiny_classes.start, padded, np.pad(row, ((0, 0), (0, 8))), 20)["log"][:, :4], whole[:, 20:], atol=1e-4)
 
 
 def test_gradients(tiny_classes):

@@ -14,8 +14,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "word_bpe_49k.json"
-MEMORY = 1_000_000  # words a worker remembers; about 40 MB
-STEMS = 150_000  # the same for word stems, which are Python objects
+MEMORY = 2_000_000  # words a worker remembers; about 80 MB
+STEMS = 300_000  # the same for word stems, which are Python objects
 TEXT_BYTES = 1 << 20
 JOINED = 500  # stems that are encoded as one text
 
