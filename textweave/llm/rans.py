@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,13 +141,23 @@ def decode_block(block: bytes, table: Table, checkpoint: int = 0, most_steps: in
     return out
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ids for the way between two steps: a byte for their width, then zstd over 16 bits each where that is enough."""
+    width = 2 if len(ids) == 0 or int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(ids.astype(f"<u{width}").tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype("<u4")
+
+
 # -- on Spark ------------------------------------------------------------------------------------------------------
 
 
 def tokenized(docs: DataFrame, file: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """(shard, nth, doc_id, n_tokens, ids) written in ascending doc_id order; shard is the range a document falls into.
 
-    ``ids`` are little-endian uint32, zlib-packed. Null ids come first; repeated ids are ordered by text.
+    ``ids`` are packed. Null ids come first; repeated ids are ordered by text.
     """
     # the range partitioner samples its input, so ranges are cut before texts go through the tokenizer
     ordered = docs.select("doc_id", "text").repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -157,10 +168,10 @@ def tokenized(docs: DataFrame, file: str = VOCABULARY, end_id: int = END_ID) ->
             ids, at = encoder(file).encode(batch.column("text").to_pylist())
             ids = ids.astype("<u4")
             end = np.array([end_id], "<u4")
-            packed = [zlib.compress(np.r_[ids[a:b], end].astype("<u4").tobytes(), 1) for a, b in zip(at, at[1:])]
-            n = len(packed)
+            parts = [packed(np.r_[ids[a:b], end]) for a, b in zip(at, at[1:])]
+            n = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(nth, nth + n)), batch.column("doc_id"), pa.array(np.diff(at) + 1), pa.array(packed, pa.binary())],
+                [pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(nth, nth + n)), batch.column("doc_id"), pa.array(np.diff(at) + 1), pa.array(parts, pa.binary())],
                 ["shard", "nth", "doc_id", "n_tokens", "ids"],
             )
             nth += n
@@ -175,8 +186,8 @@ def token_table(tokens: DataFrame, bits: int = BITS) -> Table:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for batch in batches:
-            for packed in batch.column("ids"):
-                part = np.bincount(np.frombuffer(zlib.decompress(packed.as_py()), "<u4"), minlength=len(seen))
+            for data in batch.column("ids"):
+                part = np.bincount(unpacked(data.as_py()), minlength=len(seen))
                 part[: len(seen)] += seen
                 seen = part
         used = np.flatnonzero(seen)
@@ -225,13 +236,13 @@ def write_token_file(
 
         for batch in batches:
             key = batch.column("doc_id").type
-            for s, d, packed in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
+            for s, d, data in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
                 if ids and (s != shard or size >= block_tokens):
                     yield out()
                     start, block, ids, who, size = start + size, block + 1, [], [], 0
                 if s != shard:
                     shard, block, start = s, 0, bases[s]
-                ids.append(np.frombuffer(zlib.decompress(packed.as_py()), "<u4"))
+                ids.append(unpacked(data.as_py()))
                 who.append(d)
                 size += len(ids[-1])
         if ids:
