@@ -17,10 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from textweave.llm.common import map_arrow, sized_broadcast, written
+from textweave.llm.common import map_arrow, written
 
 MIN_WORDS = 15
-REPEATED_BROADCAST = 300_000
 UNIT_END = {"sentence": re.compile(r"\n|[.!?][ \t]+"), "line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t]*\n\s*")}
 
 
@@ -75,7 +74,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "sen
     rows = unit_rows(docs, unit)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")
     grouped = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
-    again = sized_broadcast(written(grouped.filter("n > 1").drop("n"), "repeated-units"), REPEATED_BROADCAST)
+    # as many repeated units as the corpus has: a shuffled join at any size, whose hot digests Spark can split
+    again = written(grouped.filter("n > 1").drop("n"), "repeated-units")
     marked = rows.join(again, ["h1", "h2"]).filter(rank != F.col("first"))
     marked = marked.select("doc_id", "text_hash", "pos", "start", "stop", "words", F.col("first")["doc_id"].alias("first_doc_id")).distinct()
     own = Window.partitionBy("doc_id", "text_hash").orderBy("pos")
