@@ -110,6 +110,25 @@ def test_gradients(tiny_classes):
         assert math.isclose((loss[0] - loss[1]) / 2e-4, g[name][at], rel_tol=2e-2, abs_tol=1e-6)
 
 
+def test_training_holds_every_token_once(spark):
+    """All tokens of a long text and every real end are targets once, and its parts come to more than one task."""
+    long = "  ".join(f"word{i} of" for i in range(3000)) + " \n"
+    docs = spark.createDataFrame([(long,), ("short text",), (None,), ("",)], "text string").coalesce(1)
+    v = lm.encoder().tokenizer.get_vocab_size() + 1
+    rng = np.random.default_rng(5)
+    by = rng.integers(0, 9, (v, lm.BEFORE)).astype(float)
+    classes = lm.Classes(v, by, np.array([v]), np.array([1]))
+    ids, at = lm.sequences([long, "short text", None, ""], lm.VOCABULARY, v - 1)
+    want = collections.Counter()
+    for a, b in zip(at, at[1:]):
+        want.update(zip([lm.CLASSES, *classes.of[ids[a : b - 1]]], classes.row[[v - 1, *ids[a : b - 1]]], classes.of[ids[a:b]]))
+    for size in (1 << 20, 2000):
+        parts = lm.training_parts(docs, size).withColumn("task", F.spark_partition_id()).collect()
+        assert len({r.task for r in parts}) > 2 or size > len(long)
+        x, row, y = lm.training_windows([r.before for r in parts], [r.text for r in parts], [r["last"] for r in parts], classes, lm.VOCABULARY)
+        assert collections.Counter(zip(x[y >= 0], row[y >= 0], y[y >= 0])) == want and (y == lm.SINGLE).sum() >= 4
+
+
 def test_scores_of_edges(spark):
     docs = corpus(spark).withColumn("uid", F.lit("own"))
     got = lm.score(docs, docs, lm.train(docs, rounds=1)).collect()
