@@ -110,6 +110,18 @@ def test_gradients(tiny_classes):
         assert math.isclose((loss[0] - loss[1]) / 2e-4, g[name][at], rel_tol=2e-2, abs_tol=1e-6)
 
 
+def test_pairs_that_tasks_do_not_hold_are_joined(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    whole, few, none = (lm.train(docs, most_pairs=most) for most in (lm.PAIRS, 300, 0))
+    assert whole.rest is None and 0 < len(few.classes.codes) <= 300 and not len(none.classes.codes)
+    assert few.rest.count() + len(few.classes.codes) == none.rest.count() == len(whole.classes.codes)
+    assert np.array_equal(few.classes.start, whole.classes.start)  # class probabilities of every id are of all pairs
+    want = {r.doc_id: r.score for r in lm.score(docs, docs, whole).collect()}
+    for model in (few, none):
+        model.params = whole.params
+        assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-6) for r in lm.score(docs, docs, model).collect())
+
+
 def test_training_holds_every_token_once(spark):
     """All tokens of a long text and every real end are targets once, and its parts come to more than one task."""
     long = "  ".join(f"word{i} of" for i in range(3000)) + " \n"
