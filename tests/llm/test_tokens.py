@@ -108,6 +108,26 @@ def test_pack_is_best_fit():
     assert packing.pack([], (8,)) == ([], [])
 
 
+def test_larger_bins_are_opened_and_cut_down():
+    rng = np.random.default_rng(6)
+    lengths = [600] * 1001 + np.minimum(rng.lognormal(6, 1.2, 2000), 4096).astype(int).clip(1).tolist()
+    cost = lambda size: sum(packing.size_cost(s) for s in size)
+    bins, size = packing.pack_ahead(lengths, packing.SIZES)
+    fill = np.bincount(bins, weights=lengths, minlength=len(size))
+    assert (fill <= size).all() and all(min(s for s in packing.SIZES if s >= f) == z for f, z in zip(fill, size))
+    assert cost(size) < 0.97 * cost(packing.pack(lengths, packing.SIZES)[1])
+    # copies alone: several to a bin, and the last bin is cut down to what is left
+    bins, size = packing.pack_ahead([600] * 7, packing.SIZES)
+    assert sorted(np.bincount(bins).tolist()) == [1, 3, 3] and sorted(size) == [1024, 2048, 2048]
+    assert packing.pack_ahead([], (8,)) == ([], [])
+
+
+def test_groups_are_packed_ahead(spark):
+    rows = spark.range(3001).select(F.col("id").alias("doc_id"), F.col("id").alias("text_hash"), F.lit(600).cast("bigint").alias("n_tokens"))
+    got = packing.packed_sequences(rows).groupBy("bin_id", "bin_size").agg(F.sum("n_tokens").alias("n")).collect()
+    assert sum(r.n for r in got) == 600 * 3001 and sum(r.bin_size for r in got) < 1.2 * 600 * 3001 and len({r.bin_size for r in got}) > 1
+
+
 def test_packing_keeps_every_token(spark):
     docs = corpus(spark).withColumn("piece", F.lit("own"))
     lengths = {}

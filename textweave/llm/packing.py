@@ -2,12 +2,14 @@
 
 Documents are cut into pieces no longer than the largest permitted sequence, dealt at random into groups of a bounded
 number of tokens, and packed group by group, longest piece first: a piece goes into the open bin with the least room that
-still holds it; where none does, a bin of the size with the least cost per token it can expect to hold is opened. At the
-end every bin is cut down to the smallest permitted size that holds its contents.
+still holds it; where none does, a bin of the size chosen for pieces of its length is opened. At the end every bin is cut down
+to the smallest permitted size that holds its contents. Which size pieces of a length open is chosen for the whole group:
+the group is packed ahead with each size, and the one that costs least in the end, all bins and cuts counted, stays.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,7 @@ from textweave.llm.tokens import VOCABULARY, encoder
 
 SIZES = (512, 1024, 2048, 4096)
 GROUP_TOKENS = 4_000_000
+QUARTERS = 4  # classes of lengths between two sizes
 
 
 def size_cost(size: int) -> float:
@@ -39,8 +42,12 @@ def token_lengths(docs: DataFrame, file: str = VOCABULARY) -> DataFrame:
     return map_arrow(source, count, f"doc_id {dict(source.dtypes)['doc_id']}, text_hash bigint, n_tokens bigint")
 
 
-def pack(lengths: list[int], sizes: tuple[int, ...], cost=size_cost) -> tuple[list[int], list[int]]:
-    """(bin of each piece, size of each bin) for pieces of at most max(sizes) tokens; equal inputs, equal bins."""
+def pack(lengths: list[int], sizes: tuple[int, ...], cost=size_cost, opens=None) -> tuple[list[int], list[int]]:
+    """(bin of each piece, size of each bin) for pieces of at most max(sizes) tokens; equal inputs, equal bins.
+
+    ``opens(n)`` is the size of the bin that a piece of n tokens opens; without it, the one with the least cost per token
+    if all room could be filled, which is the smallest that holds the piece.
+    """
     sizes = tuple(sorted(sizes))
     order = sorted(range(len(lengths)), key=lambda k: -lengths[k])
     left = sum(lengths)  # tokens not yet packed
@@ -57,7 +64,7 @@ def pack(lengths: list[int], sizes: tuple[int, ...], cost=size_cost) -> tuple[li
             if not room_bins[room]:
                 rooms &= ~(1 << room)
         else:
-            room = min((s for s in sizes if s >= n), key=lambda s: (cost(s) / max(1, min(s, left)), s))
+            room = opens(n) if opens else min((s for s in sizes if s >= n), key=lambda s: (cost(s) / max(1, min(s, left)), s))
             b = len(used)
             used.append(0)
         bins[k] = b
@@ -69,6 +76,30 @@ def pack(lengths: list[int], sizes: tuple[int, ...], cost=size_cost) -> tuple[li
     return bins, [next(s for s in sizes if s >= u) for u in used]
 
 
+def pack_ahead(lengths: list[int], sizes: tuple[int, ...], cost=size_cost) -> tuple[list[int], list[int]]:
+    """``pack`` with the opening size of every class of lengths chosen by packing all pieces ahead with each size.
+
+    A class is a quarter of the way from one size to the next. Classes are settled one after the other, long pieces first;
+    a choice stays if all bins cost less than before, so the result never costs more than the smallest sizes.
+    """
+    sizes = tuple(sorted(sizes))
+    bounds = sorted({p + (s - p) * j // QUARTERS for p, s in zip((0, *sizes), sizes) for j in range(1, QUARTERS + 1)})
+    opening = [next(s for s in sizes if s >= b) for b in bounds]
+    opens = lambda n: opening[bisect_left(bounds, n)]
+    total = lambda packed: sum(cost(s) for s in packed[1])
+    best = pack(lengths, sizes, cost, opens)
+    least = total(best)
+    for c in sorted({bisect_left(bounds, n) for n in set(lengths)}, reverse=True):
+        kept = opening[c]
+        for s in sizes[sizes.index(kept) + 1 :]:
+            opening[c] = s
+            tried = pack(lengths, sizes, cost, opens)
+            if (now := total(tried)) < least:
+                best, least, kept = tried, now, s
+        opening[c] = kept
+    return best
+
+
 def packed_sequences(
     lengths: DataFrame, sizes: tuple[int, ...] = SIZES, group_tokens: int = GROUP_TOKENS, cost=size_cost
 ) -> DataFrame:
@@ -96,7 +127,7 @@ def packed_sequences(
     def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
         n = table.column("n_tokens").to_pylist()
         grp = table.column("grp")[0].as_py()
-        bins, size = pack(n, sizes, cost)
+        bins, size = pack_ahead(n, sizes, cost)
         fill = [0] * len(size)
         offset = []
         for k, b in enumerate(bins):
