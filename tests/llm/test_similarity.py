@@ -118,3 +118,12 @@ def test_contaminations(spark):
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(["0", "1", "2", "None", "6", "7", "51", "52"])
     assert decontam.contaminations(docs.limit(0), items).collect() == [] and decontam.contaminations(docs, items.limit(0)).collect() == []
     assert decontam.clean(docs, items.limit(0)).count() == docs.count()
+
+
+def test_short_items_are_found_whole(spark):
+    docs = corpus(spark, [(50, "so What is\nit again, what is it", "en", "a", 1), (51, "what is", "en", "a", 1), (52, "it what is", "en", "a", 1), (53, "a b c d e f g h", "en", "a", 1)])
+    items = spark.createDataFrame([(1, "What is it"), (2, "again,"), (3, "a b c d e f g"), (4, "a b c d e x g"), (5, "h it"), (6, PASSAGE), (7, " ")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminations(docs, items).collect()}
+    assert set(got) == {(50, 1), (50, 2), (53, 3), *((d, 6) for d in (3, 4, 5))}  # neither parts nor runs over two documents
+    assert [tuple(t) for t in got[50, 1].tiles] == [(1, 0, 3)] and got[50, 1].coverage == 1
+    assert {50, 53}.isdisjoint({r.doc_id for r in decontam.clean(docs, items).collect()})

@@ -3,7 +3,8 @@
 Token hashes and the hashes of all runs of ``min_match`` tokens are rolled over a whole batch of texts at once. Runs that
 also occur in a benchmark item are the seeds that join a document with an item. For each such pair the longest common
 runs are marked first, never overlapping, until none of ``min_match`` tokens is left; marks may lie in any order, so
-reordered passages count. A document is contaminated if its tiles cover at least ``min_coverage`` of an item's tokens.
+reordered passages count. A document is contaminated if its tiles cover at least ``min_coverage`` of an item's tokens. An
+item of fewer than ``min_tokens`` tokens is one required tile: it is found where all its tokens stand in a row.
 """
 
 from __future__ import annotations
@@ -101,27 +102,32 @@ def tile(text: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int,
 
 
 class Items:
-    """Benchmark items of one block: token hashes, and the seeds that lead to them."""
+    """Benchmark items of one block: token hashes, and the seeds that lead to them by their length."""
 
     def __init__(self, rows: list[tuple], min_match: int, min_tokens: int):
-        self.ids, self.tokens, at = [], [], []
+        self.ids, self.tokens, self.whole = [], [], []
         for item_id, text in rows:
             tokens, _ = token_hashes(np.frombuffer((text or "").encode(), np.uint8))
-            if len(tokens) >= max(min_tokens, 1):
+            if len(tokens):
                 self.ids.append(item_id)
                 self.tokens.append(tokens)
-        runs = [np.unique(run_hashes(t, min(min_match, len(t)))) for t in self.tokens]
-        seeds = np.concatenate([*runs, np.empty(0, np.uint64)])
-        at = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.at = seeds[order], at[order]
-
-    def found(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in runs, item) for every seed that occurs."""
-        low, high = np.searchsorted(self.seeds, runs, "left"), np.searchsorted(self.seeds, runs, "right")
+                self.whole.append(len(tokens) < min_tokens)
+        length = np.array([len(t) if w else min_match for t, w in zip(self.tokens, self.whole)], np.int64)
+        self.seeds = {}
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            runs = [np.unique(run_hashes(self.tokens[i], n)) for i in own]
+            seeds, at = np.concatenate(runs), np.repeat(own, [len(r) for r in runs])
+            order = np.argsort(seeds, kind="stable")
+            self.seeds[n] = seeds[order], at[order]
+
+    def found(self, runs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in runs of ``length`` tokens, item) for every seed that occurs."""
+        seeds, at = self.seeds[length]
+        low, high = np.searchsorted(seeds, runs, "left"), np.searchsorted(seeds, runs, "right")
         many = high - low
         place = np.repeat(np.arange(len(runs)), many)
-        return place, self.at[np.repeat(low, many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)]
+        return place, at[np.repeat(low, many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)]
 
 
 def contaminations(
@@ -133,8 +139,7 @@ def contaminations(
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. ``tiles`` lists (token in document, token in item,
     tokens) of each match. The benchmark is a query set: it is read in blocks of about ``block_bytes`` that tasks hold
     whole, each block against all documents. Null and blank texts match nothing; items with fewer than ``min_tokens``
-    tokens are not looked for (too short to tell a leak from chance; min_match is the shortest tile). Repeated
-    documents are each reported, repeated items under their own ids. Empty tables give an empty result.
+    tokens are looked for whole (coverage 1, the first place in the document as the tile). Repeated documents are each reported, repeated items under their own ids. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     whole = dict(benchmark.dtypes)["item_id"] in ("tinyint", "smallint", "int")
@@ -180,19 +185,20 @@ def contaminations(
             sizes = np.array([len(t) + 1 for t in texts])
             first = np.searchsorted(start, np.r_[0, np.cumsum(sizes)])  # first token of each text
             owner = np.repeat(np.arange(len(texts)), np.diff(first))
-            runs = run_hashes(tokens, min_match)
-            if not len(runs) or not len(known.seeds):
-                return []
-            place, item = known.found(runs)
-            inside = owner[place] == owner[place + min_match - 1]
-            found = np.unique(np.stack([owner[place[inside]], item[inside]], axis=1), axis=0)
             out = []
-            for d, i in found.tolist():
-                target = known.tokens[i]
-                tiles = tile(tokens[first[d] : first[d + 1]], target, min_match)
-                coverage = sum(n for _, _, n in tiles) / len(target)
-                if coverage >= min_coverage:
-                    out.append((d, known.ids[i], coverage, tiles))
+            for length in known.seeds:
+                place, item = known.found(run_hashes(tokens, length), length)
+                inside = owner[place] == owner[place + length - 1]
+                pairs, at = np.unique(np.stack([owner[place[inside]], item[inside]], axis=1), axis=0, return_index=True)
+                for (d, i), start_at in zip(pairs.tolist(), place[inside][at].tolist()):
+                    target = known.tokens[i]
+                    if known.whole[i]:
+                        tiles = [(start_at - int(first[d]), 0, length)]
+                    else:
+                        tiles = tile(tokens[first[d] : first[d + 1]], target, min_match)
+                    coverage = sum(n for _, _, n in tiles) / len(target)
+                    if coverage >= min_coverage:
+                        out.append((d, known.ids[i], coverage, tiles))
             return out
 
         return map_arrow(source, scan, schema)
