@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +86,18 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def pieces(text: str, size: int) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters, each cut before a blank or line end; longer runs stay whole."""
+    at = 0
+    while len(text) - at > size:
+        cut = min((c for c in (text.find(w, at + size) for w in " \n") if c >= 0), default=-1)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

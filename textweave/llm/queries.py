@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.llm import decontam, langid, linededup, lm, packing, pii, quality, rans, simhash, substring
+from textweave.llm import bpe, decontam, langid, linededup, lm, packing, pii, quality, rans, simhash, substring
 from textweave.llm.common import documents, query
 from textweave.session import new_folder
 
@@ -171,3 +171,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_feistel_pseudonyms")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, folder).select("doc_id", "text"))
+
+
+# -- 13: BPE encoding and decoding ---------------------------------------------------------------------------------
+
+
+@query("op13_linked_list_bpe")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode(documents(spark, folder).select("doc_id", F.col("text").alias("ids")), "ids")
+    digests = ["doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")]
+    texts = bpe.decode(coded.select(*digests, F.col("ids").alias("decoded")), "decoded")
+    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
