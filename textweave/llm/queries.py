@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.llm import bpe, decontam, langid, linededup, lm, packing, pii, quality, rans, simhash, substring
+from textweave.llm import bpe, decontam, langid, linededup, lm, packing, pii, quality, rans, simhash, spelling, substring
 from textweave.llm.common import documents, query
 from textweave.session import new_folder
 
@@ -173,6 +173,14 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, folder).select("doc_id", "text"))
 
 
+# -- 12: spelling variants -----------------------------------------------------------------------------------------
+
+
+@query("op12_variable_grams")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, folder), typo_every=97))
+
+
 # -- 13: BPE encoding and decoding ---------------------------------------------------------------------------------
 
 
