@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.llm import bpe, decontam, langid, linededup, lm, packing, pii, quality, rans, simhash, spelling, substring
-from textweave.llm.common import documents, query
+from textweave.llm import bpe, convrepair, decontam, langid, linededup, lm, packing, pii, quality, rans, simhash, spelling, substring
+from textweave.llm.common import documents, query, written
 from textweave.session import new_folder
 
 # -- 5: quality rules ----------------------------------------------------------------------------------------------
@@ -173,6 +173,34 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, folder).select("doc_id", "text"))
 
 
+# -- 11: conversation structure repair -----------------------------------------------------------------------------
+
+
+def damaged(talks: DataFrame) -> DataFrame:
+    """Conversations with the faults that crc32 of ``conv_id:turn`` deals out; nulls read as one space."""
+    blank = F.lit(" ")
+    text, role = F.coalesce("text", blank), F.coalesce("role", blank)
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    rows = talks.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key.cast("binary")) % 20).alias("fault")).filter("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(times).alias("_")).drop("_")
+
+
+@query("op11_four_russians_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    talks = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = damaged(talks)
+    found = written(convrepair.audits(rows), "audits")
+    texts = convrepair.digests(convrepair.repaired(rows, found)).withColumnRenamed("conv_id", "t_conv")
+    every = talks.select("conv_id").distinct()
+    f = found.withColumnRenamed("conv_id", "f_conv")
+    out = every.join(f, F.col("conv_id").eqNullSafe(F.col("f_conv")), "left").join(texts, F.col("conv_id").eqNullSafe(F.col("t_conv")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
 # -- 12: spelling variants -----------------------------------------------------------------------------------------
 
 
