@@ -126,4 +126,16 @@ def test_short_items_are_found_whole(spark):
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminations(docs, items).collect()}
     assert set(got) == {(50, 1), (50, 2), (53, 3), *((d, 6) for d in (3, 4, 5))}  # neither parts nor runs over two documents
     assert [tuple(t) for t in got[50, 1].tiles] == [(1, 0, 3)] and got[50, 1].coverage == 1
-    assert {50, 53}.isdisjoint({r.doc_id for r in decontam.clean(docs, items).collect()})
+    assert got[53, 3].item_tokens == 7 and {50, 53} <= {r.doc_id for r in decontam.clean(docs, items).collect()}  # reported, but no reason to go
+    common = spark.createDataFrame([(1, "of")], "item_id bigint, text string")
+    assert decontam.clean(docs, common).count() == docs.count()
+
+
+def test_words_of_one_polynomial_hash_are_told_apart():
+    turn = ["a", "b"]
+    for _ in range(11):
+        turn = [turn[0] + turn[1], turn[1] + turn[0]]
+    hashes, _ = decontam.token_hashes(np.frombuffer(" ".join(turn).encode(), np.uint8))
+    assert hashes[0] != hashes[1]
+    same, _ = decontam.token_hashes(np.frombuffer(f"{turn[0].upper()} x {turn[0]}".encode(), np.uint8))
+    assert same[0] == same[2] == hashes[0]

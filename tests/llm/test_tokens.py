@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import corpus, documents
-from textweave.llm import packing, rans
+from textweave.llm import packing, rans, tokens
 from textweave.llm.tokens import Encoder, public_file
 from textweave.session import new_folder
 
@@ -31,6 +31,26 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     assert coder.encode([])[0].tolist() == []
 
 
+def test_words_of_one_polynomial_hash_are_told_apart(tokenizer):
+    turn = ["a", "b"]
+    for _ in range(11):
+        turn = [turn[0] + turn[1], turn[1] + turn[0]]
+    for size in (64, 1024, 2048):
+        coder = Encoder()
+        for word in (turn[0][:size], turn[1][:size]):
+            assert coder.encode([word])[0].tolist() == tokenizer.encode(word, add_special_tokens=False).ids
+
+
+def test_hashes_that_meet_are_noticed(tokenizer, monkeypatch):
+    """With a first hash that knows only lengths, the second one sends texts to the tokenizer whole."""
+    monkeypatch.setattr(tokens, "HASH", lambda data, start, end: (end - start).astype(np.uint64))
+    coder = Encoder()
+    for texts in (["one two six", None, "three"], ["ten", "one"], ODD):
+        ids, at = coder.encode(texts)
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 300_000])
 def test_block_round_trip(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 40_000).astype(np.uint32)
@@ -128,6 +148,12 @@ def test_groups_are_packed_ahead(spark):
     assert sum(r.n for r in got) == 600 * 3001 and sum(r.bin_size for r in got) < 1.2 * 600 * 3001 and len({r.bin_size for r in got}) > 1
 
 
+def test_repeats_of_a_row_are_spread_over_groups(spark):
+    rows = spark.range(20_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit(1).cast("bigint").alias("text_hash"), F.lit(600).cast("bigint").alias("n_tokens"))
+    got = packing.packed_sequences(rows, group_tokens=400_000).select((F.col("bin_id") / 2**32).cast("int").alias("grp")).groupBy("grp").count().collect()
+    assert len(got) == 31 and max(r["count"] for r in got) < 900
+
+
 def test_packing_keeps_every_token(spark):
     docs = corpus(spark).withColumn("piece", F.lit("own"))
     lengths = {}

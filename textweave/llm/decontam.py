@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textweave.llm.common import map_arrow, written
+from textweave.llm.wordhash import WordHash, word_spans
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
@@ -25,32 +26,14 @@ MIN_TOKENS = 8
 BLOCK_BYTES = 16 << 20  # of benchmark text held by a task at once
 TEXT_BYTES = 4 << 20  # of document text hashed at once
 
-BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
-RUN = np.uint64(0xD1B54A32D192ED03)
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-LETTER = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
-LETTER[65:91] = LETTER[97:123]  # A-Z count as a-z
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+RUN = np.uint64(0xD1B54A32D192ED03)  # of token hashes, which are random already
+WORDS = WordHash(7, fold_case=True)
 
 
 def token_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first bytes of the words in a byte array."""
-    gap = SPACE[data]
-    edge = np.flatnonzero(np.diff(np.r_[True, gap, True].astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.empty(0, np.uint64), start
-    # one prefix sum of byte times power; a word's slice of it, shifted back to its own start
-    prefix = np.r_[np.uint64(0), np.cumsum(LETTER[data] * powers(BASE, len(data)))]
-    return (prefix[end] - prefix[start]) * powers(UNBASE, len(data))[start], start
+    """Hashes and first bytes of the words in a byte array; A-Z count as a-z."""
+    start, end = word_spans(data)
+    return WORDS(data, start, end), start
 
 
 def run_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -134,10 +117,10 @@ def contaminations(
     docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, min_tokens: int = MIN_TOKENS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """(doc_id, text_hash, item_id, coverage, tiles) for every document and item with ``min_coverage`` or more.
+    """(doc_id, text_hash, item_id, coverage, tiles, item_tokens) for every document and item with ``min_coverage`` or more.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. ``tiles`` lists (token in document, token in item,
-    tokens) of each match. The benchmark is a query set: it is read in blocks of about ``block_bytes`` that tasks hold
+    tokens) of each match; ``item_tokens`` is the length of the item. The benchmark is a query set: it is read in blocks of about ``block_bytes`` that tasks hold
     whole, each block against all documents. Null and blank texts match nothing; items with fewer than ``min_tokens``
     tokens are looked for whole (coverage 1, the first place in the document as the tile). Repeated documents are each reported, repeated items under their own ids. Empty tables give an empty result.
     """
@@ -149,7 +132,7 @@ def contaminations(
     min_tokens = max(min_tokens, min_match)
     source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     types = dict(source.dtypes) | {"item_id": dict(items.dtypes)["item_id"]}
-    schema = f"doc_id {types['doc_id']}, text_hash bigint, item_id {types['item_id']}, coverage double, tiles array<struct<text_at:int,item_at:int,length:int>>"
+    schema = f"doc_id {types['doc_id']}, text_hash bigint, item_id {types['item_id']}, coverage double, tiles array<struct<text_at:int,item_at:int,length:int>>, item_tokens int"
 
     def search(block: int) -> DataFrame:
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about block_bytes
@@ -175,8 +158,8 @@ def contaminations(
                     tiles = [[{"text_at": i, "item_at": j, "length": n} for i, j, n in h[3]] for h in hits]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").take(own), batch.column("text_hash").take(own), pa.array([h[1] for h in hits]),
-                         pa.array([h[2] for h in hits], pa.float64()), pa.array(tiles, out_type)],
-                        ["doc_id", "text_hash", "item_id", "coverage", "tiles"],
+                         pa.array([h[2] for h in hits], pa.float64()), pa.array(tiles, out_type), pa.array([h[4] for h in hits], pa.int32())],
+                        ["doc_id", "text_hash", "item_id", "coverage", "tiles", "item_tokens"],
                     )
 
         def leaks(texts: list[bytes], known: Items) -> list[tuple]:
@@ -198,7 +181,7 @@ def contaminations(
                         tiles = tile(tokens[first[d] : first[d + 1]], target, min_match)
                     coverage = sum(n for _, _, n in tiles) / len(target)
                     if coverage >= min_coverage:
-                        out.append((d, known.ids[i], coverage, tiles))
+                        out.append((d, known.ids[i], coverage, tiles, len(target)))
             return out
 
         return map_arrow(source, scan, schema)
@@ -209,8 +192,13 @@ def contaminations(
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the contaminated rows, with the same columns."""
-    leaks = written(contaminations(docs, benchmark, **settings).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
+def clean(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS, **settings) -> DataFrame:
+    """``docs`` without the contaminated rows, with the same columns.
+
+    Only items of at least ``min_tokens`` tokens take documents away: a question of a word or two stands in many documents
+    that never saw the benchmark. ``contaminations`` reports the shorter ones.
+    """
+    found = contaminations(docs, benchmark, min_tokens=min_tokens, **settings).filter(F.col("item_tokens") >= min_tokens)
+    leaks = written(found.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
     # ids are the small side; texts are dealt by document but not sorted
     return docs.join(leaks.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(leaks["_doc"]) & (F.xxhash64(docs["text"]) == leaks["_hash"]), "left_anti")

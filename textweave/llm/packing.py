@@ -113,13 +113,15 @@ def packed_sequences(
     longest = max(sizes)
     total = lengths.agg(F.sum("n_tokens")).first()[0] or 0
     groups = int(total // group_tokens) + 1
-    cut = lengths.filter(F.col("n_tokens") > 0).select(
-        "doc_id", "text_hash", F.col("n_tokens").alias("_n"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n_tokens") / longest) - 1).cast("int"))).alias("piece")
+    # a number of each row of the written table, so that repeats of a row go to different groups
+    numbered = lengths.withColumn("row", F.monotonically_increasing_id()).filter(F.col("n_tokens") > 0)
+    cut = numbered.select(
+        "doc_id", "text_hash", "row", F.col("n_tokens").alias("_n"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n_tokens") / longest) - 1).cast("int"))).alias("piece")
     )
     first = F.col("piece").cast("bigint") * longest
-    pieces = cut.select("doc_id", "text_hash", "piece", first.alias("first_token"), F.least(F.lit(longest), F.col("_n") - first).cast("int").alias("n_tokens"))
-    # groups by a hash of the piece: one document or one source never decides a group
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text_hash", "piece"), F.lit(groups)).cast("int"))
+    pieces = cut.select("doc_id", "text_hash", "row", "piece", first.alias("first_token"), F.least(F.lit(longest), F.col("_n") - first).cast("int").alias("n_tokens"))
+    # groups by a hash of row and piece: one document, one source or one repeated row never decides a group
+    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).cast("int")).drop("row")
     dealt = grouped.repartition(groups, "grp").sortWithinPartitions("grp", F.col("n_tokens").desc(), "doc_id", "text_hash", "piece")
     kind = dict(lengths.dtypes)["doc_id"]
     schema = f"doc_id {kind}, text_hash bigint, piece int, first_token bigint, n_tokens int, bin_id bigint, bin_size int, bin_offset int"

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from textweave.llm.common import fresh
 
 ROUNDS = 8
-KEY = "replace-me"
 
 # The formats, in the order in which they are tried at a place.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -166,13 +165,17 @@ def pseudonym(x: Column, key: str, inverse: bool = False) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, inverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
     """``docs`` with the pseudonyms in ``text`` and a column n_private (bigint), the number of replaced values.
 
+    Whoever has ``key`` can map numbers and dates back; an empty key is an error.
+
     Null texts stay null with 0. Values that fail their validity rules (a card number without its check digit, a date that
     is no day) stay. The work is done inside each row: nothing is shuffled, whatever group a value belongs to. An existing
     column n_private is replaced; repeated rows get equal results.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     own = [c for c in docs.columns if c.lower() != "n_private"]
     hits, new, parts = (fresh(docs, n) for n in ("_hits", "_new", "_parts"))
     found = docs.withColumn(hits, F.coalesce(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))

@@ -170,7 +170,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_feistel_pseudonyms")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.pseudonymise(documents(spark, folder).select("doc_id", "text"))
+    key = spark.conf.get("spark.textweave.pseudonymKey", "public key of the check, not for use")
+    return pii.pseudonymise(documents(spark, folder).select("doc_id", "text"), key)
 
 
 # -- 11: conversation structure repair -----------------------------------------------------------------------------

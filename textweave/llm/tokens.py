@@ -1,8 +1,9 @@
 """Token ids of whole texts with a public tokenizer file, word by word with a memory of the words seen.
 
 White space separates pre-tokens in the tokenizers used here, so a text's ids are its words' ids in a row. Words are
-told apart by rolled 64-bit hashes of a whole batch at once; the tokenizer itself only sees words that the worker has not
-met before. `encode` checks on load that the file splits at white space.
+told apart by 64-bit hashes of a whole batch at once, which a second hash confirms; where the two disagree the tokenizer
+gets the texts themselves. Otherwise it only sees words that the worker has not met before. `encode` checks on load that
+the file splits at white space.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import os
 
 import numpy as np
 
+from textweave.llm.wordhash import WordHash, word_spans
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,11 +22,7 @@ STEMS = 300_000  # the same for word stems, which are Python objects
 TEXT_BYTES = 1 << 20
 JOINED = 500  # stems that are encoded as one text
 
-BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
-LETTER = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+HASH, CHECK = WordHash(11), WordHash(12)  # independent of each other
 
 
 def public_file(name: str) -> str:
@@ -35,13 +34,6 @@ def public_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Encoder:
     """Ids of batches of texts; keeps the ids of the words it has met."""
 
@@ -61,6 +53,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = np.empty(0, np.uint64)  # sorted hashes
+        self.check = np.empty(0, np.uint64)  # second hashes, in the same order
         self.slot = np.empty(0, np.int64)  # their place in start
         self.start = np.zeros(1, np.int64)
         self.ids = np.empty(0, np.uint32)
@@ -83,7 +76,7 @@ class Encoder:
         out.update(zip(rest, self._ids(rest)))
         return [out[s] for s in stems]
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
         """Remember the ids of words that are new."""
         if len(self.known) + len(words) > MEMORY:
             self._forget()
@@ -103,9 +96,9 @@ class Encoder:
         slots = len(self.start) - 1 + np.arange(len(words))
         self.start = np.r_[self.start, self.start[-1] + np.cumsum(sizes)]
         self.ids = np.r_[self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))]
-        known, slot = np.r_[self.known, hashes], np.r_[self.slot, slots]
+        known, slot, check = np.r_[self.known, hashes], np.r_[self.slot, slots], np.r_[self.check, checks]
         order = np.argsort(known, kind="stable")
-        self.known, self.slot = known[order], slot[order]
+        self.known, self.slot, self.check = known[order], slot[order], check[order]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (one more entry than texts). Null texts have none."""
@@ -125,13 +118,13 @@ class Encoder:
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         whole = b"\n".join(texts)
         data = np.frombuffer(whole, np.uint8)
-        edge = np.flatnonzero(np.diff(np.r_[True, SPACE[data], True].astype(np.int8)))
-        start, end = edge[::2], edge[1::2]
+        start, end = word_spans(data)
         if not len(start):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        prefix = np.r_[np.uint64(0), np.cumsum(LETTER[data] * _powers(BASE, len(data)))]
-        hashes = (prefix[end] - prefix[start]) * _powers(UNBASE, len(data))[start]
+        hashes, checks = HASH(data, start, end), CHECK(data, start, end)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if (checks != checks[first][which]).any():
+            return self._whole(texts)
         place = np.searchsorted(self.known, distinct)
         new = np.ones(len(distinct), bool)
         inside = place < len(self.known)
@@ -141,8 +134,10 @@ class Encoder:
                 self._forget()
                 new[:] = True
             spans = zip(start[first[new]].tolist(), end[first[new]].tolist())
-            self._learn(distinct[new], [whole[a:b].decode() for a, b in spans])
+            self._learn(distinct[new], checks[first[new]], [whole[a:b].decode() for a, b in spans])
             place = np.searchsorted(self.known, distinct)
+        if (self.check[place] != checks[first]).any():
+            return self._whole(texts)
         slot = self.slot[place][which]
         sizes = self.start[slot + 1] - self.start[slot]
         ends = np.cumsum(sizes)
@@ -153,6 +148,12 @@ class Encoder:
         return ids, np.diff(np.r_[0, upto])
 
 
+    def _whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokenizer's ids of whole texts, for words that one hash cannot tell apart."""
+        lists = self._ids([t.decode() for t in texts])
+        return np.array([i for ids in lists for i in ids], np.uint32), np.array([len(ids) for ids in lists], np.int64)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
