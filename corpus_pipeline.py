@@ -20,12 +20,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; five-word shingles, fingerprints that agree in 58 of 64 bits or more (0.9)."""
-    return simhash.keep_one(docs, words=5, most=6)
+    """One document of each group stays: four-word shingles, fingerprints that differ in 4 of 64 bits at most."""
+    return simhash.keep_one(docs, words=4, most=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold at least half of a benchmark item go."""
+    """Documents that hold at least half of a benchmark item of eight tokens or more go."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
