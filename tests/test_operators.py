@@ -100,7 +100,7 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("été Summer ÉTÉ summertime. Next one! 3 more",)], "t string")
     row = df.select(remove_words("t", ["été", "summer"]).alias("r"), sentences("t").alias("s"), chunks("t", 20, 5).alias("c")).first()
     assert row.r == "   summertime. Next one! 3 more"
-    assert row.s == ["été Summer ÉTÉ summertime", "Next one", "3 more"]
+    assert row.s == ["été Summer ÉTÉ summertime.", "Next one!", "3 more"]
     assert [len(c) for c in row.c] == [20, 20, 13] and row.c[0][-5:] == row.c[1][:5]
 
 
