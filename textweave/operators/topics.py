@@ -1,57 +1,59 @@
-"""Topic models, topic tables, coherence, and clusters of averaged word vectors."""
+"""Topic models, topic tables, and clusters of averaged word vectors."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, KMeans, LDAModel
-from pyspark.ml.feature import CountVectorizer, Word2Vec
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textweave.operators import lda
+from textweave.operators.coherence import coherence, coherence_cv  # noqa: F401
+from textweave.plans.lineage import cut_lineage
+
 LEAST_WEIGHT = 0.01  # topics below this weight are not listed for a document
 WELL_SEPARATED = 0.35
-CORPUS_WINDOW = 110  # tokens of the sliding window of the coherence measure
 
 
 @dataclass(frozen=True)
 class TopicModel:
-    """A fitted model with the scored documents."""
+    """Fitted topics with the documents' weights; everything of vocabulary size is a table."""
 
-    model: LDAModel
-    vocabulary: list[str]
-    counts: DataFrame  # doc_id, tokens, features
-    scored: DataFrame  # doc_id, tokens, weights array<double>
+    model: lda.Lda
+    documents: DataFrame  # doc_id, gamma, bound
+    scored: DataFrame  # doc_id, weights array<double>
 
     @property
     def log_perplexity(self) -> float:
-        return self.model.logPerplexity(self.counts)
+        """Lower bound of the log likelihood per word."""
+        return self.model.word_bound(self.documents)
 
 
 def fit_topics(
     lemmas: DataFrame, topics: int = 8, passes: int = 15, vocabulary_size: int | None = None, min_documents: int = 1,
     seed: int = 42, tokens: str = "lemmas",
 ) -> TopicModel:
-    """Online LDA on ``lemmas(doc_id, lemmas)``, over every word unless ``vocabulary_size`` limits them."""
-    base = lemmas.select("doc_id", F.col(tokens).alias("tokens"))
-    size = vocabulary_size or max(1, base.select(F.explode("tokens").alias("word")).distinct().count())
-    vectoriser = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=size, minDF=float(min_documents))
-    fitted = vectoriser.fit(base)
-    counts = fitted.transform(base)
-    model = LDA(k=topics, maxIter=passes, optimizer="online", seed=seed, featuresCol="features").fit(counts)
-    weights = vector_to_array("topicDistribution").alias("weights")
-    scored = model.transform(counts).select("doc_id", "tokens", weights)
-    return TopicModel(model, fitted.vocabulary, counts, scored)
+    """Topics of ``lemmas(doc_id, lemmas)``, over every word unless ``vocabulary_size`` limits them.
+
+    A document without a word has equal weights.
+    """
+    model = lda.fit(lemmas, topics, passes, vocabulary_size, min_documents, seed, tokens)
+    documents = cut_lineage(model.document_weights())
+    total = F.aggregate("gamma", F.lit(0.0), lambda a, x: a + x)
+    equal = F.array_repeat(F.lit(1.0 / topics), topics)
+    weights = F.coalesce(F.transform("gamma", lambda x: x / total), equal)
+    scored = lemmas.select("doc_id").distinct().join(documents.select("doc_id", "gamma"), "doc_id", "left")
+    return TopicModel(model, documents, scored.select("doc_id", weights.alias("weights")))
 
 
 def topic_words(fitted: TopicModel, n: int = 8) -> DataFrame:
-    """(topic, rank, word, weight)."""
-    spark = fitted.scored.sparkSession
-    words = spark.createDataFrame([(i, w) for i, w in enumerate(fitted.vocabulary)], "term int, word string")
-    described = fitted.model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("p", "t"))
-    cells = described.select("topic", (F.col("p") + 1).alias("rank"), F.col("t.termIndices").alias("term"), F.col("t.termWeights").alias("weight"))
-    return words.join(F.broadcast(cells), "term").select("topic", "rank", "word", "weight")
+    """(topic, rank, word, weight): the ``n`` heaviest words of each topic; every task passes on its own ``n`` best."""
+    cells = fitted.model.shares().select("word", F.posexplode("phi").alias("topic", "weight"))
+    best = Window.partitionBy("topic").orderBy(F.col("weight").desc(), "word")
+    return cells.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n).select("topic", "rank", "word", "weight")
 
 
 def document_topics(scored: DataFrame, least: float = LEAST_WEIGHT) -> DataFrame:
@@ -104,13 +106,10 @@ def word_importance(words: DataFrame, lemmas: DataFrame, tokens: str = "lemmas")
 
 def token_topics(fitted: TopicModel, index: DataFrame, start: int = 0, end: int = 10) -> DataFrame:
     """(doc_id, word, topic): the likeliest topic of every vocabulary word of a slice of documents."""
-    phi = fitted.model.topicsMatrix().toArray()
-    share = phi / phi.sum(axis=0, keepdims=True)
-    spark = fitted.scored.sparkSession
-    weights = spark.createDataFrame([(w, [float(x) for x in share[i]]) for i, w in enumerate(fitted.vocabulary)], "word string, phi array<double>")
     chosen = index.filter((F.col("position") >= start) & (F.col("position") < end)).select("doc_id")
-    cells = fitted.scored.join(chosen, "doc_id", "left_semi").select("doc_id", "weights", F.explode(F.array_distinct("tokens")).alias("word"))
-    joint = cells.join(weights, "word").withColumn("joint", F.zip_with("phi", "weights", lambda a, b: a * b))
+    cells = fitted.model.cells.join(chosen, "doc_id", "left_semi").select("doc_id", "term")
+    met = cells.join(fitted.model.shares(), "term").join(fitted.scored, "doc_id")
+    joint = met.withColumn("joint", F.zip_with("phi", "weights", lambda a, b: a * b))
     return joint.select("doc_id", "word", (F.array_position("joint", F.array_max("joint")) - 1).cast("int").alias("topic"))
 
 
@@ -134,38 +133,6 @@ def with_topics(documents: DataFrame, dominant: DataFrame) -> DataFrame:
     return joined.withColumn("metadata", F.when(F.col("_new").isNotNull(), F.map_concat(old, "_new")).otherwise(F.col("metadata"))).drop("_new")
 
 
-def coherence(words: DataFrame, lemmas: DataFrame, window: int = CORPUS_WINDOW, tokens: str = "lemmas") -> DataFrame:
-    """(topic, npmi): mean normalised pointwise mutual information of the topic's word pairs (Roeder et al., 2015).
-
-    A window of a topic is stored as the set of the topic's words and equal windows are counted together, so what
-    remains to be paired does not grow with the text.
-    """
-    bits = words.select("topic", "word", (F.row_number().over(Window.partitionBy("topic").orderBy("rank")) - 1).alias("bit"))
-    sized = lemmas.select("doc_id", tokens, F.size(tokens).alias("n")).filter(F.col("n") > 0)
-    last = F.greatest(F.col("n") - window, F.lit(0))
-    total = sized.agg(F.sum(last + 1).alias("windows")).withColumn("_k", F.lit(1))
-    cells = sized.select("doc_id", last.alias("last"), F.posexplode(tokens).alias("pos", "word")).join(F.broadcast(bits), "word")
-    starts = F.sequence(F.greatest(F.col("pos") - (window - 1), F.lit(0)), F.least("pos", "last"))
-    placed = cells.withColumn("start", F.explode(starts))
-    sets = placed.groupBy("topic", "doc_id", "start").agg(F.sort_array(F.collect_set("bit")).alias("set"))
-    counted = sets.groupBy("topic", "set").agg(F.count(F.lit(1)).alias("c"))
-    held = F.col("set")
-    single = counted.select("topic", "c", F.explode(held).alias("bit")).groupBy("topic", "bit").agg(F.sum("c").alias("c"))
-    low = counted.select("topic", "set", "c", F.explode(held).alias("a"))
-    pair = low.select("topic", "a", "c", F.explode(F.filter(held, lambda b: b > F.col("a"))).alias("b")).groupBy("topic", "a", "b").agg(F.sum("c").alias("c"))
-    first, second = bits.select("topic", F.col("bit").alias("a")), bits.select("topic", F.col("bit").alias("b"))
-    wanted = first.join(second, "topic").filter("a < b").join(pair, ["topic", "a", "b"], "left")
-    of = lambda c: single.select("topic", F.col("bit").alias(c), F.col("c").alias(f"n_{c}"))
-    scored = (
-        wanted.join(of("a"), ["topic", "a"], "left").join(of("b"), ["topic", "b"], "left")
-        .withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
-    )
-    p = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("windows")
-    joint = p("c") + 1e-12
-    npmi = F.when((p("n_a") == 0) | (p("n_b") == 0), F.lit(0.0)).otherwise(F.log(joint / (p("n_a") * p("n_b"))) / -F.log(joint))
-    return scored.groupBy("topic").agg(F.avg(npmi).alias("npmi"))
-
-
 def document_vectors(lemmas: DataFrame, size: int = 50, min_count: int = 20, clusters: int = 4, seed: int = 42, tokens: str = "lemmas") -> DataFrame:
     """(doc_id, vec, x, y, cluster): averaged word vectors, two principal components, k-means cluster."""
     from textweave.operators.linkage import project

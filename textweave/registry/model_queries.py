@@ -61,23 +61,43 @@ FIXED = [("t0", 1, "the"), ("t0", 2, "of"), ("t0", 3, "and"), ("t0", 4, "that"),
 FIXED_SQL = ", ".join(f"('{t}', {r}, '{w}')" for t, r, w in FIXED)
 
 
-@query(
-    "top03_coherence",
-    f"""WITH tw(topic, rank, word) AS (VALUES {FIXED_SQL}), lists AS (SELECT doc_id, {sql_words('text')} AS ws FROM documents),
+# windows, words and pairs of the fixed topics, as counts of window starts
+WINDOWS = f"""tw(topic, rank, word) AS (VALUES {FIXED_SQL}), lists AS (SELECT doc_id, {sql_words('text')} AS ws FROM documents),
 sized AS (SELECT doc_id, ws, len(ws) AS n, greatest(len(ws) - 110, 0) AS last FROM lists WHERE len(ws) > 0),
 total AS (SELECT sum(last + 1) AS windows FROM sized),
 cells AS (SELECT doc_id, last, unnest(range(0, n)) AS pos, unnest(ws) AS word FROM sized),
 starts AS (SELECT DISTINCT topic, doc_id, word, unnest(range(greatest(pos - 109, 0), least(pos, last) + 1)) AS start FROM cells JOIN tw USING (word)),
 single AS (SELECT topic, word, count(*) AS n FROM starts GROUP BY 1, 2),
-pair AS (SELECT a.topic, a.word AS a, b.word AS b, count(*) AS c FROM starts a JOIN starts b ON a.topic = b.topic AND a.doc_id = b.doc_id AND a.start = b.start AND a.word <> b.word GROUP BY 1, 2, 3),
-wanted AS (SELECT x.topic, x.word AS a, y.word AS b FROM tw x JOIN tw y ON x.topic = y.topic AND x.rank < y.rank),
-joined AS (SELECT w.topic, coalesce(p.c, 0) / CAST(windows AS DOUBLE) + 1e-12 AS j, coalesce(s.n, 0) / CAST(windows AS DOUBLE) AS pa, coalesce(t.n, 0) / CAST(windows AS DOUBLE) AS pb
-  FROM wanted w LEFT JOIN pair p ON p.topic = w.topic AND p.a = w.a AND p.b = w.b LEFT JOIN single s ON s.topic = w.topic AND s.word = w.a LEFT JOIN single t ON t.topic = w.topic AND t.word = w.b, total)
-SELECT topic, round(avg(CASE WHEN pa = 0 OR pb = 0 THEN 0 ELSE ln(j / (pa * pb)) / -ln(j) END), 6) AS npmi FROM joined GROUP BY topic""",
-)
+pair AS (SELECT a.topic, a.word AS a, b.word AS b, count(*) AS c FROM starts a JOIN starts b ON a.topic = b.topic AND a.doc_id = b.doc_id AND a.start = b.start GROUP BY 1, 2, 3),
+wanted AS (SELECT x.topic, x.word AS a, y.word AS b, x.rank AS ra, y.rank AS rb FROM tw x JOIN tw y ON x.topic = y.topic),
+joined AS (SELECT w.*, coalesce(p.c, 0) / CAST(windows AS DOUBLE) + 1e-12 AS j, coalesce(s.n, 0) / CAST(windows AS DOUBLE) AS pa, coalesce(t.n, 0) / CAST(windows AS DOUBLE) AS pb
+  FROM wanted w LEFT JOIN pair p ON p.topic = w.topic AND p.a = w.a AND p.b = w.b LEFT JOIN single s ON s.topic = w.topic AND s.word = w.a LEFT JOIN single t ON t.topic = w.topic AND t.word = w.b, total),
+npmi AS (SELECT topic, a, b, ra, rb, CASE WHEN pa = 0 OR pb = 0 THEN 0 ELSE ln(j / (pa * pb)) / -ln(j) END AS m FROM joined)"""
+
+
+def _fixed(spark):
+    return spark.createDataFrame(FIXED, "topic string, rank int, word string")
+
+
+@query("top03_coherence", f"WITH {WINDOWS} SELECT topic, round(avg(m), 6) AS npmi FROM npmi WHERE ra < rb GROUP BY topic")
 def coherence(spark, d):
-    words = spark.createDataFrame(FIXED, "topic string, rank int, word string")
-    return topics.coherence(words, word_lists(spark, d)).withColumn("npmi", F.round("npmi", 6))
+    return topics.coherence(_fixed(spark), word_lists(spark, d)).withColumn("npmi", F.round("npmi", 6))
+
+
+@query(
+    "top03_coherence_cv",
+    f"""WITH {WINDOWS}, whole AS (SELECT topic, b, sum(m) AS v FROM npmi GROUP BY 1, 2),
+angles AS (SELECT n.topic, n.a, sum(m * v) / (sqrt(sum(m * m)) * sqrt(sum(v * v))) AS c FROM npmi n JOIN whole w ON w.topic = n.topic AND w.b = n.b GROUP BY 1, 2)
+SELECT topic, round(avg(c), 6) AS c_v FROM angles GROUP BY topic""",
+)
+def coherence_cv(spark, d):
+    return topics.coherence_cv(_fixed(spark), word_lists(spark, d)).withColumn("c_v", F.round("c_v", 6))
+
+
+@query("top03_fitted_coherence_cv")
+def fitted_coherence_cv(spark, d):
+    """Of the fitted topics, by their twenty heaviest words."""
+    return topics.coherence_cv(topics.topic_words(_fitted(spark, d), 20), word_lists(spark, d))
 
 
 @query("top04_document_vectors")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -60,3 +61,13 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """Fresh path below the shared folder; nothing is ever overwritten or removed there."""
     return os.path.join(shared_dir(spark).rstrip("/"), "textweave", f"{label}-{uuid.uuid4().hex}")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once per application, as --py-files would."""
+    context = spark.sparkContext
+    if getattr(context, "_textweave_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="textweave-"), "textweave"), "zip", root, "textweave"))
+    context._textweave_shipped = True
