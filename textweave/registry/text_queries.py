@@ -242,32 +242,34 @@ def search(spark, d):
 
 @query(
     "sem03_similar_documents",
-    f"""WITH {SCORES}, qc AS (SELECT term, CAST(sum(n) AS BIGINT) AS n FROM dc WHERE doc_id IN ('1', '2') GROUP BY 1), qn AS (SELECT sqrt(sum(n * n)) AS norm FROM qc),
-s AS (SELECT c.doc_id, round(sum(q.n * c.n) / any_value(qn.norm) / any_value(dn.norm), 9) AS similarity FROM qc q JOIN dc c USING (term) JOIN dn ON dn.doc_id = c.doc_id, qn
-  WHERE c.doc_id NOT IN ('1', '2') GROUP BY 1)
-SELECT doc_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.5 ORDER BY s.similarity DESC, doc_id LIMIT 5""",
+    f"""WITH {SCORES}, qc AS (SELECT doc_id AS query, term, n FROM dc WHERE CAST(doc_id AS BIGINT) % 50 = 0),
+s AS (SELECT q.query, c.doc_id, round(sum(q.n * c.n) / any_value(qn.norm) / any_value(dn.norm), 9) AS similarity
+  FROM qc q JOIN dc c USING (term) JOIN dn qn ON qn.doc_id = q.query JOIN dn ON dn.doc_id = c.doc_id WHERE c.doc_id <> q.query GROUP BY 1, 2)
+SELECT query, doc_id, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank
+FROM s WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc_id) <= 5""",
 )
 def similar_documents(spark, d):
+    """For every document whose id 50 divides, the documents like it."""
     docs = documents(spark, d)
-    found = semantic.similar_to(docs, docs.filter(F.col("id").isin("1", "2")).select("id"), 5, 0.5)
-    return found.select("doc_id", F.round("similarity", 6).alias("similarity"))
+    sets = docs.filter(F.col("id").cast("bigint") % 50 == 0).select(F.col("id").alias("query"), "id")
+    return semantic.similar_to(docs, sets, 5, 0.5).select("query", "doc_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(
     "sem04_search_chunks",
     f"""WITH {CHUNKS}, ct AS (SELECT doc_id, chunk_no, unnest({sql_white('chunk')}) AS term FROM chunks), cc AS (SELECT doc_id, chunk_no, term, count(*) AS n FROM ct GROUP BY ALL),
 cn AS (SELECT doc_id, chunk_no, sqrt(sum(n * n)) AS norm FROM cc GROUP BY 1, 2),
-qt AS (SELECT unnest({sql_white('text')}) AS term FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)), qc AS (SELECT term, count(*) AS n FROM qt GROUP BY 1), qn AS (SELECT sqrt(sum(n * n)) AS norm FROM qc),
-s AS (SELECT c.doc_id, c.chunk_no, round(sum(q.n * c.n) / any_value(qn.norm) / any_value(cn.norm), 9) AS similarity FROM qc q JOIN cc c USING (term) JOIN cn ON cn.doc_id = c.doc_id AND cn.chunk_no = c.chunk_no, qn GROUP BY 1, 2),
-best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, chunk_no) <= 10)
-SELECT CAST(b.doc_id AS VARCHAR) AS doc_id, CAST(b.chunk_no AS INTEGER) AS chunk_no, md5(chunk) AS chunk_md5, round(similarity, 6) AS similarity
-FROM best b JOIN chunks k ON k.doc_id = b.doc_id AND k.chunk_no = b.chunk_no WHERE similarity >= 0.1""",
+qt AS (SELECT item_id AS query, unnest({sql_white('text')}) AS term FROM benchmark), qc AS (SELECT query, term, count(*) AS n FROM qt GROUP BY 1, 2), qn AS (SELECT query, sqrt(sum(n * n)) AS norm FROM qc GROUP BY 1),
+s AS (SELECT q.query, c.doc_id, c.chunk_no, round(sum(q.n * c.n) / any_value(qn.norm) / any_value(cn.norm), 9) AS similarity
+  FROM qc q JOIN cc c USING (term) JOIN cn ON cn.doc_id = c.doc_id AND cn.chunk_no = c.chunk_no JOIN qn ON qn.query = q.query GROUP BY 1, 2, 3),
+best AS (SELECT * FROM s WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY query, doc_id ORDER BY similarity DESC, chunk_no) <= 10)
+SELECT query, CAST(b.doc_id AS VARCHAR) AS doc_id, CAST(b.chunk_no AS INTEGER) AS chunk_no, md5(chunk) AS chunk_md5, round(similarity, 6) AS similarity
+FROM best b JOIN chunks k ON k.doc_id = b.doc_id AND k.chunk_no = b.chunk_no""",
 )
 def search_chunks(spark, d):
-    bench = table(spark, d, "benchmark")
-    first = bench.orderBy("item_id").limit(1).select(F.lit("q").alias("query_id"), "text")
-    found = semantic.search_chunks(documents(spark, d), first, None, 0.1, 10)
-    return found.select("doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"), F.round("similarity", 6).alias("similarity"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = semantic.search_chunks(documents(spark, d), items, None, 0.5, 10)
+    return found.select("query", "doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(
