@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from textweave.functions.text import whitespace_tokens
 from textweave.operators.filters import drop_missing, split_xy
 from textweave.operators.linkage import HubLinks, rows_with_outcome, text_outcome
+from textweave.plans.lookup import with_lookup
 from textweave.plans.ordering import values_at_ranks, with_dense_index
 
 MAX_LEVELS = 1000  # widest one-hot encoding
@@ -197,14 +198,10 @@ def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> DataFrame:
 def token_sequences(documents: DataFrame, size: int = VOCABULARY, length: int = SEQUENCE_LENGTH) -> DataFrame:
     """(doc_id, sequence): the first ``length`` tokens as vocabulary numbers, 0 for unknown words and padding."""
     words = F.slice(whitespace_tokens("text"), 1, length)
-    cells = documents.select(F.col("id").alias("doc_id"), F.posexplode_outer(words).alias("pos", "token"))
-    coded = cells.join(F.broadcast(vocabulary(documents, size)), "token", "left")
-    known = F.filter(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("index", F.lit(0)).alias("index")))), lambda s: s["pos"].isNotNull()
-    )
-    sequence = F.transform(known, lambda s: s["index"])
-    padded = F.concat(sequence, F.array_repeat(F.lit(0), length - F.size(sequence)))
-    return coded.groupBy("doc_id").agg(padded.alias("sequence"))
+    texts = documents.select(F.col("id").alias("doc_id"), F.coalesce(words, F.array().cast("array<string>")).alias("tokens"))
+    coded = with_lookup(texts, "tokens", vocabulary(documents, size), "token", ["index"])
+    numbers = F.transform("index", lambda i: F.coalesce(i, F.lit(0)))
+    return coded.select("doc_id", F.concat(numbers, F.array_repeat(F.lit(0), length - F.size("tokens"))).alias("sequence"))
 
 
 def train_test_split(df: DataFrame, test_share: float = 0.2, seed: int = 42, row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textweave.functions.metadata import sentiment_label
-from textweave.functions.text import WHITE_SPACE, non_blank
-from textweave.plans.skew import salted_join
+from textweave.functions.text import WHITE_SPACE, let, non_blank
+from textweave.plans.lookup import with_lookup
 
 # Fixed values of the published method.
 BOOST = 0.293
@@ -39,8 +39,8 @@ def sentiment_scores(
 ) -> DataFrame:
     """(doc_id, neg, neu, pos, compound, sentiment) from ``lexicon(form, valence)``.
 
-    What surrounds a word (boosters, negation, capitals, the contrast word) is worked out inside the record; one join
-    brings the valences, and one aggregation adds them up. ``whole_corpus`` gives one record for all documents.
+    Valences are looked up and everything is worked out inside the record: boosters, negation, capitals, the contrast
+    word, the sums. ``whole_corpus`` gives one record for all documents.
     """
     boosters = dict(BOOSTERS if boosters is None else boosters)
     modifiers = sorted({*negators, *boosters})
@@ -65,37 +65,34 @@ def sentiment_scores(
          "lifts": F.transform("low", lift)}
     )
 
-    def around(i: Column) -> Column:
-        fields = [i.alias("pos"), F.get("low", i).alias("form"), F.get("caps", i).alias("cap")]
+    entries = lexicon.filter(F.col("valence") != 0).select("form", F.col("valence").cast("double").alias("valence"))
+    base = with_lookup(base, "low", entries, "form", ["valence"])
+
+    def moved(lift: Column, turn: Column):
+        return lambda x: (x + lift * F.when(x < 0, F.lit(-1.0)).otherwise(F.lit(1.0))) * turn
+
+    def effect(i: Column) -> Column:
+        """Valence of the word at ``i`` after what stands around it."""
+        own = F.get("valence", i)
+        v = own + F.when(F.get("caps", i), F.signum(own) * CAPITALS).otherwise(F.lit(0.0))
         for k in range(3):
             j = i - (k + 1)
             step = F.when(j >= 0, F.get("lifts", j)).otherwise(F.lit(0.0))
             capital = F.when((j >= 0) & F.get("caps", j) & (step != 0), F.signum(step) * CAPITALS).otherwise(F.lit(0.0))
-            fields.append(((step + capital) * FADING[k]).alias(f"s{k}"))
-            fields.append(F.when((j >= 0) & F.get("negs", j), F.lit(NEGATION)).otherwise(F.lit(1.0)).alias(f"n{k}"))
-        return F.struct(*fields)
-
-    cells = base.filter("n_tokens > 0").select(
-        "doc_id", "but_at", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_tokens") - 1), around)).alias("w")
-    ).select("doc_id", "but_at", "w.*")
-    entries = lexicon.filter(F.col("valence") != 0).select("form", F.col("valence").cast("double").alias("valence"))
-    valued_tokens = salted_join(cells, entries, ["form"], ["doc_id", "pos"])
-    v = F.col("valence") + F.when(F.col("cap"), F.signum("valence") * CAPITALS).otherwise(F.lit(0.0))
-    valued_tokens = valued_tokens.withColumn("v", v)
-    for k in range(3):
-        lifted = F.col("v") + F.col(f"s{k}") * F.when(F.col("v") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        valued_tokens = valued_tokens.withColumn("v", lifted * F.col(f"n{k}"))
-    weight = F.when(F.col("but_at") < 0, 1.0).when(F.col("pos") < F.col("but_at"), BEFORE_BUT).when(
-        F.col("pos") > F.col("but_at"), AFTER_BUT
-    ).otherwise(F.lit(1.0))
-    v = F.col("v") * weight
-    summed = valued_tokens.withColumn("v", v).groupBy("doc_id").agg(
-        F.sum("v").alias("total"),
-        F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("pos_sum"),
-        F.sum(F.when(F.col("v") < 0, F.col("v") - 1).otherwise(0.0)).alias("neg_sum"),
-        F.count_if(F.col("v") != 0).alias("n_valued"),
+            turn = F.when((j >= 0) & F.get("negs", j), F.lit(NEGATION)).otherwise(F.lit(1.0))
+            v = let(v, moved((step + capital) * FADING[k], turn))
+        weight = F.when(F.col("but_at") < 0, 1.0).when(i < F.col("but_at"), BEFORE_BUT).when(i > F.col("but_at"), AFTER_BUT)
+        return v * weight.otherwise(F.lit(1.0))
+
+    places = F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0), F.col("n_tokens") - 1)).otherwise(F.array().cast("array<int>"))
+    valued = F.filter(places, lambda i: F.get("valence", i).isNotNull())
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    facts = base.select("doc_id", "n_tokens", "n_excl", "n_quest", F.transform(valued, effect).alias("v")).select(
+        "doc_id", "n_tokens", "n_excl", "n_quest", total("v").alias("total"),
+        total(F.transform("v", lambda v: F.when(v > 0, v + 1).otherwise(0.0))).alias("pos_sum"),
+        total(F.transform("v", lambda v: F.when(v < 0, v - 1).otherwise(0.0))).alias("neg_sum"),
+        F.size(F.filter("v", lambda v: v != 0)).cast("bigint").alias("n_valued"),
     )
-    facts = base.select("doc_id", "n_tokens", "n_excl", "n_quest").join(summed, "doc_id", "left").fillna(0)
     if whole_corpus:
         names = [c for c in facts.columns if c != "doc_id"]
         facts = facts.agg(*[F.sum(c).alias(c) for c in names]).withColumn("doc_id", F.lit("corpus"))

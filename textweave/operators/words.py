@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textweave.functions.text import ngrams, sentences, token_counts, whitespace_tokens, words
 from textweave.plans.lineage import cut_lineage
-from textweave.plans.skew import salted_join
+from textweave.plans.lookup import with_lookup
 
 NOUN, VERB = ["NOUN"], ["VERB"]
 DIMENSION = ["ADJ", "ADV", "VERB"]  # fixed value: parts of speech that describe a property
@@ -22,32 +22,68 @@ def sentence_table(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("id").alias("doc_id"), F.posexplode(sentences("text")).alias("sent", "sentence"))
 
 
-def token_table(documents: DataFrame, lexicon: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, sent, pos, form, lemma, tag) from a lexicon ``(form, lemma, pos)``.
+def coded(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``texts`` with arrays ``lemmas`` and ``tags`` beside the array ``forms``, from a lexicon ``(form, lemma, pos)``.
 
-    Unknown forms are their own lemma. A form that makes up much of the text is spread over several tasks.
+    Unknown forms are their own lemma. The lexicon meets the forms inside the record.
     """
-    tokens = words("sentence")
-    if stop_words:
-        stops = F.array(*[F.lit(w) for w in stop_words])
-        tokens = F.filter(tokens, lambda t: ~F.array_contains(stops, t))
-    cells = sentence_table(documents).select("doc_id", "sent", F.posexplode(tokens).alias("pos", "form"))
-    entries = lexicon.select("form", "lemma", F.col("pos").alias("tag"))
-    joined = salted_join(cells, entries, ["form"], ["doc_id", "sent", "pos"], "left")
-    return joined.select(
-        "doc_id", "sent", "pos", "form", F.coalesce("lemma", "form").alias("lemma"), F.coalesce("tag", F.lit(OTHER)).alias("tag")
+    entries = lexicon.select("form", F.col("lemma").alias("_lemma"), F.col("pos").alias("_tag"))
+    found = with_lookup(texts, "forms", entries, "form", ["_lemma", "_tag"])
+    lemmas = F.zip_with("forms", "_lemma", lambda form, lemma: F.coalesce(lemma, form))
+    return found.select(*texts.columns, lemmas.alias("lemmas"), F.transform("_tag", lambda t: F.coalesce(t, F.lit(OTHER))).alias("tags"))
+
+
+def _forms(sentence: Column, stop_words: Sequence[str]) -> Column:
+    tokens = words(sentence)
+    if not stop_words:
+        return tokens
+    stops = F.array(*[F.lit(w) for w in stop_words])
+    return F.filter(tokens, lambda t: ~F.array_contains(stops, t))
+
+
+def coded_sentences(documents: DataFrame, lexicon: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, sent, sentence, forms, lemmas, tags): one row per sentence, its words as arrays."""
+    table = sentence_table(documents)
+    return coded(table.withColumn("forms", _forms(F.col("sentence"), stop_words)), lexicon)
+
+
+def coded_documents(documents: DataFrame, lexicon: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, sizes, forms, lemmas, tags): one row per document; ``sizes`` are the words of each of its sentences."""
+    listed = documents.select(F.col("id").alias("doc_id"), F.transform(sentences("text"), lambda s: _forms(s, stop_words)).alias("per_sentence"))
+    flat = listed.select("doc_id", F.transform("per_sentence", F.size).alias("sizes"), F.flatten("per_sentence").alias("forms"))
+    return coded(flat, lexicon)
+
+
+def token_table(documents: DataFrame, lexicon: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, sent, pos, form, lemma, tag), a row per token; tokens come out of their record only here."""
+    cells = F.posexplode(F.arrays_zip("forms", "lemmas", "tags")).alias("pos", "t")
+    tokens = coded_sentences(documents, lexicon, stop_words).select("doc_id", "sent", cells)
+    return tokens.select("doc_id", "sent", "pos", F.col("t.forms").alias("form"), F.col("t.lemmas").alias("lemma"), F.col("t.tags").alias("tag"))
+
+
+def token_statistics(text: DataFrame) -> DataFrame:
+    """(doc_id, n, n_sentences, n_lemmas, n_nouns, n_verbs) of ``coded_documents`` with a word, inside the record."""
+    tagged = lambda tags: F.size(F.filter("tags", lambda t: t.isin(tags))).cast("bigint")
+    return text.filter(F.size("forms") > 0).select(
+        "doc_id", F.size("forms").cast("bigint").alias("n"), F.size(F.filter("sizes", lambda n: n > 0)).cast("bigint").alias("n_sentences"),
+        F.size(F.array_distinct("lemmas")).cast("bigint").alias("n_lemmas"), tagged(NOUN).alias("n_nouns"), tagged(VERB).alias("n_verbs"),
     )
 
 
-def lemma_lists(tokens: DataFrame) -> DataFrame:
-    """(doc_id, lemmas): lemmas of a document in text order."""
-    ordered = F.array_sort(F.collect_list(F.struct("sent", "pos", "lemma")))
-    return tokens.groupBy("doc_id").agg(F.transform(ordered, lambda t: t["lemma"]).alias("lemmas"))
+def lemma_lists(text: DataFrame) -> DataFrame:
+    """(doc_id, lemmas): lemmas in text order of ``coded_documents`` that have a word."""
+    return text.filter(F.size("lemmas") > 0).select("doc_id", "lemmas")
+
 
+def common_lemmas(text: DataFrame, n: int = 10, tags: Sequence[str] | None = None, by: str = "frequency") -> DataFrame:
+    """The ``n`` commonest lemmas by occurrences, or ``by="forms"`` by the number of distinct surface forms.
 
-def common_lemmas(tokens: DataFrame, n: int = 10, tags: Sequence[str] | None = None, by: str = "frequency") -> DataFrame:
-    """The ``n`` commonest lemmas by occurrences, or ``by="forms"`` by the number of distinct surface forms."""
-    kept = tokens if tags is None else tokens.filter(F.col("tag").isin(list(tags)))
+    ``text`` is coded, by document or sentence; tasks count before anything is shuffled.
+    """
+    cells = F.arrays_zip("forms", "lemmas", "tags")
+    if tags is not None:
+        cells = F.filter(cells, lambda t: t["tags"].isin(list(tags)))
+    kept = text.select(F.explode(cells).alias("t")).select(F.col("t.lemmas").alias("lemma"), F.col("t.forms").alias("form"))
     per_form = kept.groupBy("lemma", "form").agg(F.count(F.lit(1)).alias("c"))
     measure = F.sum("c") if by == "frequency" else F.count(F.lit(1))
     counted = per_form.groupBy("lemma").agg(measure.cast("bigint").alias("n"))
@@ -63,68 +99,70 @@ def term_counts(documents: DataFrame, n: int | None = 20) -> DataFrame:
 # -- sentences around words ----------------------------------------------------------------------------------------
 
 
-def sentences_with_nouns(documents: DataFrame, tokens: DataFrame, n: int = 10) -> DataFrame:
-    """(doc_id, sent, sentence, noun): every sentence once per top noun it contains as a substring."""
-    nouns = [r["lemma"] for r in common_lemmas(tokens, n, NOUN).collect()]  # at most n words
-    listed = F.array(*[F.lit(w) for w in nouns]).cast("array<string>")
-    found = F.filter(listed, lambda w: F.contains(F.lower("sentence"), w))
-    hits = sentence_table(documents)
-    return hits.select("doc_id", "sent", "sentence", F.explode(found).alias("noun"))
+def _strings(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
 
+def sentences_with_nouns(text: DataFrame, n: int = 10) -> DataFrame:
+    """(doc_id, sent, sentence, noun): every sentence once per top noun it contains as a substring; ``text`` is coded by sentence."""
+    text = cut_lineage(text.select("doc_id", "sent", "sentence", "forms", "lemmas", "tags"))  # read twice
+    nouns = [r["lemma"] for r in common_lemmas(text, n, NOUN).collect()]  # at most n words
+    found = F.filter(_strings(nouns), lambda w: F.contains(F.lower("sentence"), w))
+    return text.select("doc_id", "sent", "sentence", F.explode(found).alias("noun"))
 
-def sentences_with_lemma(documents: DataFrame, tokens: DataFrame, lemma: str) -> DataFrame:
-    """Sentences that hold a token with this lemma, each once."""
-    keys = tokens.filter(F.col("lemma") == lemma).select("doc_id", "sent").distinct()
-    return sentence_table(documents).join(keys, ["doc_id", "sent"], "left_semi")
 
+def sentences_with_lemma(text: DataFrame, lemma: str) -> DataFrame:
+    """(doc_id, sent, sentence) of the coded sentences that hold a token with this lemma."""
+    return text.filter(F.array_contains("lemmas", lemma)).select("doc_id", "sent", "sentence")
 
-def _companions(tokens: DataFrame, lemmas: DataFrame, tags: Sequence[str], n: int) -> DataFrame:
-    """(lemma, companion, n, rank): the ``n`` commonest words of given tags in sentences with each lemma.
 
-    ``lemmas(lemma)`` is short, so a sentence pairs its tokens with a handful of lemmas, never with each other.
+def _companions(text: DataFrame, lemmas: Sequence[str], tags: Sequence[str], n: int) -> DataFrame:
+    """(lemma, companion, n, rank): the ``n`` commonest words of given tags in sentences with each of a few lemmas.
+
+    Lemmas and companions meet inside the sentence; only their counts are shuffled.
     """
-    at = tokens.join(F.broadcast(lemmas), "lemma", "left_semi").select("doc_id", "sent", "lemma").distinct()
-    others = tokens.filter(F.col("tag").isin(list(tags))).select("doc_id", "sent", F.col("lemma").alias("companion"))
-    pairs = others.groupBy("doc_id", "sent", "companion").agg(F.count(F.lit(1)).alias("c")).join(at, ["doc_id", "sent"])
-    counted = pairs.filter(F.col("companion") != F.col("lemma")).groupBy("lemma", "companion").agg(F.sum("c").alias("n"))
+    cells = F.filter(F.arrays_zip("lemmas", "tags"), lambda t: t["tags"].isin(list(tags)))
+    there = F.array_intersect("lemmas", _strings(lemmas))
+    met = text.filter(F.arrays_overlap("lemmas", _strings(lemmas))).select(F.explode(there).alias("lemma"), cells.alias("cells"))
+    pairs = met.select("lemma", F.explode("cells").alias("c")).select("lemma", F.col("c.lemmas").alias("companion"))
+    counted = pairs.filter(F.col("companion") != F.col("lemma")).groupBy("lemma", "companion").agg(F.count(F.lit(1)).alias("n"))
     rank = Window.partitionBy("lemma").orderBy(F.col("n").desc(), "companion")
     return counted.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
 
 
-def _one(df: DataFrame, lemma: str) -> DataFrame:
-    return df.sparkSession.range(1).select(F.lit(lemma).alias("lemma"))
+def attributes(text: DataFrame, word: str, n: int = 3) -> DataFrame:
+    """Nouns that share sentences with the word; ``text`` is coded by sentence."""
+    return _companions(text, [word], NOUN, n).select(F.col("companion").alias("attribute"), "n")
 
 
-def attributes(tokens: DataFrame, word: str, n: int = 3) -> DataFrame:
-    """Nouns that share sentences with the word."""
-    return _companions(tokens, _one(tokens, word), NOUN, n).select(F.col("companion").alias("attribute"), "n")
+def dimensions(text: DataFrame, word: str, n: int = 3) -> DataFrame:
+    """Adjectives, adverbs and verbs that share sentences with the word; ``text`` is coded by sentence."""
+    return _companions(text, [word], DIMENSION, n).select(F.col("companion").alias("dimension"), "n")
 
 
-def dimensions(tokens: DataFrame, word: str, n: int = 3) -> DataFrame:
-    """Adjectives, adverbs and verbs that share sentences with the word."""
-    return _companions(tokens, _one(tokens, word), DIMENSION, n).select(F.col("companion").alias("dimension"), "n")
+def coding_dictionary(text: DataFrame, n_verbs: int = 10, top_n: int = 5) -> DataFrame:
+    """(category, property, dimension): top verbs, their nouns, and what describes those nouns; ``text`` is coded by sentence.
 
+    At most ``n_verbs`` verbs and ``n_verbs * top_n`` nouns come back between the steps.
+    """
+    text = cut_lineage(text.select("forms", "lemmas", "tags"))  # read three times
+    verbs = [r["lemma"] for r in common_lemmas(text, n_verbs, VERB).collect()]
+    nouns = cut_lineage(_companions(text, verbs, NOUN, top_n).select(F.col("lemma").alias("category"), F.col("companion").alias("property")))
+    listed = [r["property"] for r in nouns.select("property").distinct().collect()]
+    dims = _companions(text, listed, DIMENSION, top_n).select(F.col("lemma").alias("property"), F.col("companion").alias("dimension"))
+    others = dims.filter(~F.array_contains(_strings(verbs), F.col("dimension")))
+    return nouns.join(others, "property").select("category", "property", "dimension")
 
-def coding_dictionary(tokens: DataFrame, n_verbs: int = 10, top_n: int = 5) -> DataFrame:
-    """(category, property, dimension): top verbs, their nouns, and what describes those nouns."""
-    tokens = cut_lineage(tokens.select("doc_id", "sent", "form", "lemma", "tag"))  # read five times below
-    verbs = common_lemmas(tokens, n_verbs, VERB).select("lemma")
-    nouns = _companions(tokens, verbs, NOUN, top_n).select(F.col("lemma").alias("category"), F.col("companion").alias("property"))
-    listed = nouns.select(F.col("property").alias("lemma")).distinct()  # at most n_verbs * top_n
-    dims = _companions(tokens, listed, DIMENSION, top_n).select(
-        F.col("lemma").alias("property"), F.col("companion").alias("dimension")
-    )
-    return nouns.join(dims, "property").join(
-        verbs.withColumnRenamed("lemma", "dimension"), "dimension", "left_anti"
-    ).select("category", "property", "dimension")
 
+def summary(text: DataFrame, weight: int = 10) -> DataFrame:
+    """(sentence, word_rank): sentences with one of the ``weight`` top words, each text once, by word rank and then position.
 
-def summary(documents: DataFrame, tokens: DataFrame, weight: int = 10) -> DataFrame:
-    """(sentence, word_rank): sentences with one of the ``weight`` top words, each text once, by word rank and then position."""
-    top = common_lemmas(tokens, weight)
-    ranked = top.select("lemma", F.row_number().over(Window.orderBy(F.col("n").desc(), "lemma")).alias("word_rank"))
-    hits = tokens.join(F.broadcast(ranked), "lemma").groupBy("doc_id", "sent").agg(F.min("word_rank").alias("word_rank"))
-    found = sentence_table(documents).join(hits, ["doc_id", "sent"])
+    ``text`` is coded by sentence.
+    """
+    text = cut_lineage(text.select("doc_id", "sent", "sentence", "forms", "lemmas", "tags"))  # read twice
+    top = _strings([r["lemma"] for r in common_lemmas(text, weight).collect()])  # at most `weight` words
+    rank = F.array_min(F.transform(F.array_intersect("lemmas", top), lambda w: F.array_position(top, w).cast("int")))
+    found = text.select("doc_id", "sent", "sentence", rank.alias("word_rank")).filter(F.col("word_rank").isNotNull())
     return ordered_distinct(found, "sentence", ["word_rank", "doc_id", "sent"]).select("sentence", "word_rank")
 
 

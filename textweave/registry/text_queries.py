@@ -22,8 +22,12 @@ from textweave.registry.frames import (
 )
 
 
-def tokens(spark, d):
-    return wd.token_table(documents(spark, d), lexicon(spark, d))
+def by_sentence(spark, d):
+    return wd.coded_sentences(documents(spark, d), lexicon(spark, d))
+
+
+def by_document(spark, d):
+    return wd.coded_documents(documents(spark, d), lexicon(spark, d))
 
 
 def word_lists(spark, d):
@@ -40,10 +44,14 @@ WORD_LISTS = f"""word_lists AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {sql_w
   count(*) FILTER (tag = 'NOUN') AS n_nouns, count(*) FILTER (tag = 'VERB') AS n_verbs FROM tokens GROUP BY doc_id""",
 )
 def token_table(spark, d):
-    return tokens(spark, d).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("sent").alias("n_sentences"), F.countDistinct("lemma").alias("n_lemmas"),
-        F.count_if(F.col("tag") == "NOUN").alias("n_nouns"), F.count_if(F.col("tag") == "VERB").alias("n_verbs"),
-    )
+    return wd.token_statistics(by_document(spark, d))
+
+
+@query("txt01_tokens_by_place", f"WITH {TOKENS} SELECT tag, CAST(pos AS INTEGER) AS pos, count(*) AS n, max(lemma) AS last_lemma FROM tokens GROUP BY 1, 2")
+def tokens_by_place(spark, d):
+    """The token table itself, counted by tag and place in the sentence."""
+    listed = wd.token_table(documents(spark, d), lexicon(spark, d))
+    return listed.groupBy("tag", "pos").agg(F.count(F.lit(1)).alias("n"), F.max("lemma").alias("last_lemma"))
 
 
 @query(
@@ -51,23 +59,23 @@ def token_table(spark, d):
     f"WITH {TOKENS} SELECT doc_id, count(*) AS n, md5(string_agg(lemma, ' ' ORDER BY sent, pos)) AS lemmas_md5 FROM tokens GROUP BY doc_id",
 )
 def lemma_lists(spark, d):
-    lists = wd.lemma_lists(tokens(spark, d))
+    lists = wd.lemma_lists(by_document(spark, d))
     return lists.select("doc_id", F.size("lemmas").cast("bigint").alias("n"), F.md5(F.array_join("lemmas", " ")).alias("lemmas_md5"))
 
 
 @query("agg10_common_words", f"WITH {TOKENS} SELECT lemma, count(*) AS n FROM tokens GROUP BY lemma ORDER BY n DESC, lemma LIMIT 10")
 def common_words(spark, d):
-    return wd.common_lemmas(tokens(spark, d), 10)
+    return wd.common_lemmas(by_document(spark, d), 10)
 
 
 @query("agg10_common_nouns_by_forms", f"WITH {TOKENS} SELECT lemma, count(DISTINCT form) AS n FROM tokens WHERE tag = 'NOUN' GROUP BY lemma ORDER BY n DESC, lemma LIMIT 10")
 def common_nouns(spark, d):
-    return wd.common_lemmas(tokens(spark, d), 10, wd.NOUN, by="forms")
+    return wd.common_lemmas(by_document(spark, d), 10, wd.NOUN, by="forms")
 
 
 @query("agg10_common_verbs", f"WITH {TOKENS} SELECT lemma, count(*) AS n FROM tokens WHERE tag = 'VERB' GROUP BY lemma ORDER BY n DESC, lemma LIMIT 10")
 def common_verbs(spark, d):
-    return wd.common_lemmas(tokens(spark, d), 10, wd.VERB)
+    return wd.common_lemmas(by_document(spark, d), 10, wd.VERB)
 
 
 @query("agg11_top_terms", f"WITH {WHITE_TERMS} SELECT term, count(*) AS n FROM terms GROUP BY term ORDER BY n DESC, term LIMIT 20")
@@ -86,7 +94,7 @@ def all_terms(spark, d):
 SELECT doc_id, noun, count(*) AS n FROM sents JOIN nouns ON contains(lower(sentence), noun) GROUP BY 1, 2""",
 )
 def sentences_with_nouns(spark, d):
-    found = wd.sentences_with_nouns(documents(spark, d), tokens(spark, d), 10)
+    found = wd.sentences_with_nouns(by_sentence(spark, d), 10)
     return found.groupBy("doc_id", "noun").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -95,7 +103,7 @@ HOLDING = "keys AS (SELECT DISTINCT doc_id, sent FROM tokens WHERE lemma = 'that
 
 @query("txt04_sentences_with_lemma", f"WITH {TOKENS}, {HOLDING} SELECT doc_id, CAST(sent AS INTEGER) AS sent, md5(sentence) AS sentence_md5 FROM sents JOIN keys USING (doc_id, sent)")
 def sentences_with_lemma(spark, d):
-    found = wd.sentences_with_lemma(documents(spark, d), tokens(spark, d), "that")
+    found = wd.sentences_with_lemma(by_sentence(spark, d), "that")
     return found.select("doc_id", "sent", F.md5("sentence").alias("sentence_md5"))
 
 
@@ -104,7 +112,7 @@ def sentences_with_lemma(spark, d):
     f"WITH {TOKENS}, {HOLDING} SELECT lemma AS attribute, count(*) AS n FROM tokens JOIN keys USING (doc_id, sent) WHERE tag = 'NOUN' AND lemma <> 'that' GROUP BY 1 ORDER BY n DESC, attribute LIMIT 5",
 )
 def attributes(spark, d):
-    return wd.attributes(tokens(spark, d), "that", 5)
+    return wd.attributes(by_sentence(spark, d), "that", 5)
 
 
 @query(
@@ -112,7 +120,7 @@ def attributes(spark, d):
     f"WITH {TOKENS}, {HOLDING} SELECT lemma AS dimension, count(*) AS n FROM tokens JOIN keys USING (doc_id, sent) WHERE tag IN ('ADJ', 'ADV', 'VERB') AND lemma <> 'that' GROUP BY 1 ORDER BY n DESC, dimension LIMIT 5",
 )
 def dimensions(spark, d):
-    return wd.dimensions(tokens(spark, d), "that", 5)
+    return wd.dimensions(by_sentence(spark, d), "that", 5)
 
 
 @query(
@@ -128,7 +136,7 @@ dims AS (SELECT v.lemma AS property, t.lemma AS dimension, count(*) AS n FROM at
 SELECT category, property, dimension FROM nouns JOIN dims USING (property) WHERE dimension NOT IN (SELECT lemma FROM verbs)""",
 )
 def coding_dictionary(spark, d):
-    return wd.coding_dictionary(tokens(spark, d), 10, 5)
+    return wd.coding_dictionary(by_sentence(spark, d), 10, 5)
 
 
 @query(
@@ -139,7 +147,7 @@ hits AS (SELECT doc_id, sent, min(word_rank) AS word_rank FROM tokens JOIN ranke
 SELECT sentence, CAST(min(word_rank) AS INTEGER) AS word_rank FROM sents JOIN hits USING (doc_id, sent) GROUP BY sentence""",
 )
 def summary(spark, d):
-    return wd.summary(documents(spark, d), tokens(spark, d))
+    return wd.summary(by_sentence(spark, d))
 
 
 GRAMS = f"""{WORD_LISTS}, grams AS (
