@@ -19,6 +19,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
             "spark.driver.bindAddress": "127.0.0.1",
+            "spark.driver.host": "127.0.0.1",
             "spark.log.level": "ERROR",
         },
     )

@@ -11,10 +11,13 @@ from pyspark.sql import types as T
 from textweave.functions.text import whitespace_tokens
 from textweave.operators.filters import drop_missing, split_xy
 from textweave.operators.linkage import HubLinks, rows_with_outcome, text_outcome
+from textweave.plans.lineage import cut_lineage
 from textweave.plans.lookup import with_lookup
 from textweave.plans.ordering import values_at_ranks, with_dense_index
+from textweave.plans.skew import salted_join
 
-MAX_LEVELS = 1000  # widest one-hot encoding
+COLUMNS = 1000  # levels of a column that can become columns; more become one sparse column
+COPIES = 10_000  # copies of a record that one row gives
 VOCABULARY = 10_000  # fixed value: words of a sequence vocabulary
 SEQUENCE_LENGTH = 100  # fixed value: tokens of a sequence
 
@@ -39,29 +42,58 @@ def bin_column(df: DataFrame, column: str, bins: int = 2) -> DataFrame:
     return df.withColumn(column, F.when(x.isNotNull(), code.cast("int")))
 
 
-def _levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted levels per column, at most MAX_LEVELS each (they become columns, so they must be few)."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns]))
-    distinct = df.select(cells.alias("e")).select("e.c", "e.v").filter(F.col("v").isNotNull()).distinct()
-    order = Window.partitionBy("c").orderBy("v")
-    few = distinct.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= MAX_LEVELS + 1).collect()
-    levels: dict[str, list[str]] = {c: [] for c in columns}
-    for row in sorted(few, key=lambda r: (r["c"], r["r"])):
-        levels[row["c"]].append(row["v"])
-    for c, values in levels.items():
-        if len(values) > MAX_LEVELS:
-            raise ValueError(f"column {c!r} has more than {MAX_LEVELS} levels; skip it or group its levels first")
-    return levels
+def level_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, level, number): the levels of each column numbered from 0 in sort order, as a written table of any length."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("level")) for c in columns]))
+    distinct = df.select(cells.alias("e")).select("e.column", "e.level").filter(F.col("level").isNotNull()).distinct()
+    placed = cut_lineage(with_dense_index(distinct, ["column", "level"], "_at"))
+    first = placed.groupBy("column").agg(F.min("_at").alias("_first"))
+    return placed.join(F.broadcast(first), "column").select("column", "level", (F.col("_at") - F.col("_first")).alias("number"))
+
+
+def _widths(numbers: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    found = {r["column"]: r["n"] for r in numbers.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: found.get(c, 0) for c in columns}
+
+
+def one_hot_sparse(df: DataFrame, columns: Sequence[str], name: str = "features", numbers: DataFrame | None = None) -> DataFrame:
+    """``columns`` replaced by one sparse vector ``name(size, indices, values)``: a place for each level but a column's first.
+
+    Levels are numbered by a table and joined, so neither their number nor a level that fills the column matters. Missing
+    cells and first levels have no entry. ``ml.assemble`` takes such columns as features.
+    """
+    numbers = level_numbers(df, columns) if numbers is None else numbers
+    widths = _widths(numbers, columns)
+    spread = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    out, places, offset = df, [], 0
+    for i, c in enumerate(columns):
+        own = numbers.filter(F.col("column") == c).select(F.col("level").cast(df.schema[c].dataType).alias(c), F.col("number").alias(f"_number{i}"))
+        out = salted_join(out, own, [c], spread, "left")
+        places.append(F.when(F.col(f"_number{i}") > 0, F.col(f"_number{i}") + (offset - 1)))
+        offset += max(0, widths[c] - 1)
+    indices = F.array_compact(F.array(*places)).cast("array<int>")
+    vector = F.struct(F.lit(offset).alias("size"), indices.alias("indices"), F.transform(indices, lambda i: F.lit(1.0)).alias("values"))
+    return out.withColumn(name, vector).select(*[c for c in df.columns if c not in columns], name)
 
 
 def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each column replaced by ``column_level`` 0/1 columns, the first level in sort order left out."""
+    """Each column replaced by ``column_level`` 0/1 columns, the first level in sort order left out.
+
+    A column with more levels than a table can have columns becomes one sparse vector ``column_levels`` with the same
+    entries (see ``one_hot_sparse``).
+    """
     if not columns:
         return df
-    levels = _levels(df, columns)
+    numbers = level_numbers(df, columns)
+    widths = _widths(numbers, columns)
+    wide = [c for c in columns if widths[c] > COLUMNS]
+    few = numbers.filter(F.col("column").isin([c for c in columns if c not in wide])).orderBy("column", "number").collect()  # at most COLUMNS a column
+    for c in wide:
+        df = one_hot_sparse(df, [c], f"{c}_levels", numbers.filter(F.col("column") == c))
     kept = [F.col(c) for c in df.columns if c not in columns]
     made = [
-        F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for c in columns for v in levels[c][1:]
+        F.coalesce((F.col(r["column"]) == r["level"]).cast("int"), F.lit(0)).alias(f"{r['column']}_{r['level']}")
+        for c in columns for r in few if r["column"] == c and r["number"] > 0
     ]
     return df.select(*kept, *made)
 
@@ -85,6 +117,8 @@ def encode_booleans(df: DataFrame) -> DataFrame:
     """Every cell to a boolean: 0 and false are false, everything else (missing too) is true."""
 
     def cell(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.StructType):  # a sparse vector is 0/1 already
+            return F.col(f.name)
         if isinstance(f.dataType, T.BooleanType):
             return F.coalesce(F.col(f.name), F.lit(True))
         if isinstance(f.dataType, T.NumericType):
@@ -111,8 +145,15 @@ def oversample(df: DataFrame, label: str, row_id: str = "row_id") -> DataFrame:
     last = values_at_ranks(weights, ranks, "_h", "_w", [label], "_rank").select(label, F.col("_h").alias("_last"))
     small = plan.join(last, label, "left").select(label, "_copies", "_last")
     extra = F.when(F.col("_h") <= F.col("_last"), 1).otherwise(0)
-    copies = F.sequence(F.lit(1), F.col("_copies") + extra)
-    return hashed.join(small, label).withColumn("copy", F.explode(copies)).select(*df.columns, "copy")
+    sized = hashed.join(small, label).withColumn("_all", F.col("_copies") + extra)
+    many = plan.agg(F.max("_copies").alias("c")).first()["c"] or 0
+    parts = F.sequence(F.lit(0), F.floor((F.col("_all") - 1) / COPIES).cast("int"))
+    spread = sized.withColumn("_part", F.explode(parts))
+    if many > COPIES:  # the copies of a record are made by several tasks; a given number is not merged again
+        spread = spread.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_h", "_part")
+    low = F.col("_part") * COPIES
+    copies = F.sequence(low + 1, F.least(low + COPIES, F.col("_all")))
+    return spread.withColumn("copy", F.explode(copies)).select(*df.columns, "copy")
 
 
 def prepare(
@@ -170,22 +211,45 @@ def binary_target(df: DataFrame, column: str, name: str = "target") -> DataFrame
     return df.withColumn(name, F.when(F.col(column).isNotNull(), (F.col(column) != F.lit(least)).cast("int")))
 
 
+def with_linked_outcome(documents: DataFrame, rows: DataFrame, links: DataFrame | HubLinks, field: str, how: str = "majority", name: str = "outcome") -> DataFrame:
+    """The linked rows with a metadata field of their documents as ``name``, a number.
+
+    An outcome with any value that is no number is a class: its values are numbered from 0 in alphabetical order. Links
+    through a hub (period, keyword) are not listed pair by pair: a hub's values are counted once for all its rows.
+    """
+    joined = rows_with_outcome(rows, text_outcome(documents, links, field, how), name)
+    number = F.col(name).try_cast("double")
+    if not _fit(joined, [F.coalesce(F.bool_or(F.col(name).isNotNull() & number.isNull()), F.lit(False)).alias("v")])["v"]:
+        return joined.withColumn(name, number)
+    labels = joined.filter(F.col(name).isNotNull()).select(name).distinct()
+    numbered = with_dense_index(labels, [name], "_class").select(F.col(name).alias("_label"), F.col("_class").cast("double"))
+    return joined.join(numbered, F.col(name) == F.col("_label"), "left").drop(name, "_label").withColumnRenamed("_class", name)
+
+
 def linked_xy(
     documents: DataFrame, rows: DataFrame, links: DataFrame | HubLinks, field: str, how: str = "majority",
     balance: bool = False, booleans: bool = False,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Features and a text outcome: linked rows only, prepared like any other frame.
+    """Features and a text outcome: linked rows only, prepared like any other frame."""
+    return prepare(with_linked_outcome(documents, rows, links, field, how), "outcome", balance, booleans, "row_id")
 
-    An outcome with any value that is no number is a class: its values are numbered from 0 in alphabetical order.
+
+def linked_frame(
+    documents: DataFrame, rows: DataFrame, links: DataFrame | HubLinks, field: str, columns: Sequence[str], how: str = "majority",
+    balance: bool = False, row_id: str = "row_id",
+) -> tuple[DataFrame, list[str]]:
+    """(frame, features): linked rows without gaps as (row_id, features..., ``field``), strings one-hot, classes balanced if asked.
+
+    A copied row of a balanced frame gets an id of its own.
     """
-    joined = rows_with_outcome(rows, text_outcome(documents, links, field, how), "outcome")
-    number = F.col("outcome").try_cast("double")
-    if _fit(joined, [F.coalesce(F.bool_or(F.col("outcome").isNotNull() & number.isNull()), F.lit(False)).alias("v")])["v"]:
-        labels = joined.filter(F.col("outcome").isNotNull()).select("outcome").distinct()
-        numbered = with_dense_index(labels, ["outcome"], "_class").select(F.col("outcome").alias("_label"), F.col("_class").cast("double"))
-        joined = joined.join(numbered, F.col("outcome") == F.col("_label"), "left").drop("outcome", "_label").withColumnRenamed("_class", "outcome")
-        return prepare(joined, "outcome", balance, booleans, "row_id")
-    return prepare(joined.withColumn("outcome", number), "outcome", balance, booleans, "row_id")
+    frame = drop_missing(with_linked_outcome(documents, rows.select(row_id, *columns), links, field, how, field))
+    if balance:
+        frame = oversample(frame, field, row_id)
+        frame = frame.withColumn(row_id, F.concat_ws("#", F.col(row_id).cast("string"), F.col("copy").cast("string"))).drop("copy")
+    text = [c for c in string_columns(frame) if c in columns]
+    encoded = one_hot(frame, text)
+    features = [c for c in encoded.columns if c not in (row_id, field)]
+    return encoded.select(row_id, *features, field), features
 
 
 def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from inspect import signature
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -18,20 +19,41 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textweave.functions.text import whitespace_tokens
 from textweave.functions.vectors import euclidean_distance
-from textweave.operators.features import binary_target, encode_booleans, standardise, train_test_split
+from textweave.operators.features import binary_target, encode_booleans, linked_frame, standardise, train_test_split
+from textweave.operators.linkage import HubLinks
 from textweave.operators.stats import confusion
 from textweave.operators.words import frequent_itemsets
+from textweave.plans.lineage import cut_lineage
 from textweave.plans.ordering import with_dense_index
 
 
+@F.udf(returnType=VectorUDT())
+def _sparse(v):
+    return SparseVector(v["size"], v["indices"], v["values"])
+
+
+def _wide(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The sparse columns of ``one_hot`` among ``columns``."""
+    return [f.name for f in df.schema if f.name in columns and isinstance(f.dataType, StructType)]
+
+
+def with_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sparse columns as vectors of the model library."""
+    return df.withColumns({c: _sparse(c) for c in _wide(df, columns)})
+
+
 def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with the vector ``features``; sparse columns count with all their places."""
+    df = with_vectors(df, columns)
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error").transform(df)
 
 
@@ -49,6 +71,22 @@ def principal_axes(df: DataFrame, vector: str, dimensions: int) -> tuple[np.ndar
     return mean, flip_signs(model.pc.toArray())
 
 
+def through_links(
+    job: Callable, documents: DataFrame, rows: DataFrame, links: DataFrame | HubLinks, field: str, columns: Sequence[str],
+    how: str = "majority", balance: bool = False, **options,
+):
+    """``job`` of this module on the rows that ``links`` of any kind connect with documents.
+
+    The documents' metadata ``field`` is the outcome of jobs that have one, brought to a row by ``how`` (majority, mode,
+    mean, first); the others get the linked rows alone. ``options`` go to the job.
+    """
+    frame, features = linked_frame(documents, rows, links, field, columns, how, balance)
+    frame = cut_lineage(frame)  # read several times by every job
+    if "outcome" in signature(job).parameters:
+        return job(frame, features, field, **options)
+    return job(frame, features, **options)
+
+
 # -- clusters and neighbours ---------------------------------------------------------------------------------------
 
 
@@ -94,11 +132,13 @@ def neural_net(df: DataFrame, columns: Sequence[str], outcome: str, iterations:
     classes = len(index.labels)
     if classes < 2:
         raise ValueError("a class outcome with at least 2 values is needed")
-    indexed = index.transform(standardise(df, columns))
+    wide = _wide(df, columns)
+    indexed = index.transform(standardise(df, [c for c in columns if c not in wide]))
     data = assemble(indexed, columns).withColumn("target", F.col("_class").cast("int"))
     hidden = [12, 8] if classes == 2 else [64, 32]
+    inputs = data.select("features").first()["features"].size
     net = MultilayerPerceptronClassifier(
-        layers=[len(columns), *hidden, classes], maxIter=iterations, seed=seed, labelCol="target", featuresCol="features"
+        layers=[inputs, *hidden, classes], maxIter=iterations, seed=seed, labelCol="target", featuresCol="features"
     )
     model = net.fit(data)
     scored = model.transform(data).select(row_id, "target", F.col("prediction").cast("int").alias("prediction"))
@@ -112,7 +152,7 @@ def accuracy(scored: DataFrame) -> DataFrame:
 
 def linear_svm(df: DataFrame, columns: Sequence[str], outcome: str, test_share: float = 0.2, seed: int = 0, row_id: str = "row_id") -> Classified:
     """Linear support vector classifier on standardised features, scored on the held-out part."""
-    train, test = train_test_split(binary_target(df, outcome), test_share, seed, row_id)
+    train, test = train_test_split(with_vectors(binary_target(df, outcome), columns), test_share, seed, row_id)
     scaler = StandardScaler(withMean=True, inputCol="features", outputCol="scaled")
     svm = LinearSVC(featuresCol="scaled", labelCol="target", maxIter=50, regParam=1e-3)
     model = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), scaler, svm]).fit(train)
@@ -237,6 +277,8 @@ def principal_components(df: DataFrame, columns: Sequence[str], n: int = 3, row_
 def regression(df: DataFrame, columns: Sequence[str], outcome: str) -> tuple[str, DataFrame, DataFrame]:
     """("logistic" or "linear", coefficients, scores on the training data).
 
+    A sparse column has one coefficient per place, named by column and place.
+
     An outcome with exactly two values is logistic with the usual unit ridge penalty, any other linear.
     """
     values = [r[0] for r in df.select(outcome).filter(F.col(outcome).isNotNull()).distinct().limit(3).collect()]
@@ -257,7 +299,9 @@ def regression(df: DataFrame, columns: Sequence[str], outcome: str) -> tuple[str
             F.avg(error * error).alias("mse"), (1 - F.sum(error * error) / (F.var_pop("target") * F.count(F.lit(1)))).alias("r2")
         )
         kind = "linear"
-    pairs = [(c, float(v)) for c, v in zip(columns, model.coefficients.toArray())] + [("intercept", float(model.intercept))]
+    sizes = df.select(*[F.col(f"{c}.size").alias(c) for c in _wide(df, columns)]).first()
+    names = [n for c in columns for n in ([c] if sizes is None or c not in sizes else [f"{c}[{i}]" for i in range(sizes[c])])]
+    pairs = [(c, float(v)) for c, v in zip(names, model.coefficients.toArray())] + [("intercept", float(model.intercept))]
     return kind, spark.createDataFrame(pairs, "feature string, coefficient double"), fit
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textweave.operators import features as fea
-from textweave.operators import linkage, temporal
+from textweave.operators import linkage, ml, temporal
 from textweave.operators.filters import document_ids
 from textweave.registry.filter_queries import WINDOW_LINKS
 from textweave.registry.frames import (
@@ -309,3 +309,111 @@ def linked_features(spark, d):
     docs, rows = documents(spark, d), event_rows(spark, d)
     links = linkage.link_by_nearest_time(docs, rows)
     return fea.linked_xy(docs, rows.select("row_id", "value", "k", "event_type"), links, "n_chars")[0]
+
+
+# -- frames that models get through each kind of link --------------------------------------------------------------
+
+LANGUAGES = "classes AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS class FROM (SELECT DISTINCT value FROM best))"
+FRAME = "SELECT e.row_id, e.value, e.k, CAST(c.class AS DOUBLE) AS lang FROM best b JOIN classes c USING (value) JOIN event_rows e ON e.row_id = b.row_id WHERE e.value IS NOT NULL AND e.k IS NOT NULL"
+
+
+def linked_frame(spark, d, links):
+    return fea.linked_frame(documents(spark, d), event_rows(spark, d), links, "lang", ["value", "k"])[0]
+
+
+@query(
+    "fea10_frame_by_id",
+    f"""WITH {DOCS}, {EVENT_ROWS}, best AS (SELECT e.row_id, d.lang AS value FROM event_rows e JOIN docs d ON d.id = CAST(e.user_id AS VARCHAR)), {LANGUAGES} {FRAME}""",
+)
+def frame_by_id(spark, d):
+    return linked_frame(spark, d, linkage.link_by_id(documents(spark, d), event_rows(spark, d), "user_id"))
+
+
+@query(
+    "fea10_frame_by_nearest_time",
+    f"""WITH {NEAREST}, votes AS (SELECT n.row_id, d.lang AS value, count(*) AS c, min(d.id) AS first_id FROM nearest n JOIN docs d ON d.id = n.doc_id GROUP BY 1, 2),
+best AS (SELECT row_id, value FROM votes QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY c DESC, first_id) = 1), {LANGUAGES} {FRAME}""",
+)
+def frame_by_nearest_time(spark, d):
+    return linked_frame(spark, d, linkage.link_by_nearest_time(documents(spark, d), event_rows(spark, d)))
+
+
+def _by_period(spark, d):
+    return linkage.link_by_period(documents(spark, d), event_rows(spark, d), period="D")
+
+
+@query(
+    "fea10_frame_by_period",
+    f"""WITH {DOCS}, {EVENT_ROWS}, votes AS (SELECT CAST(ts AS DATE) AS day, lang AS value, count(*) AS c, min(id) AS first_id FROM docs WHERE ts IS NOT NULL GROUP BY 1, 2),
+daily AS (SELECT day, value FROM votes QUALIFY row_number() OVER (PARTITION BY day ORDER BY c DESC, first_id) = 1),
+best AS (SELECT e.row_id, y.value FROM event_rows e JOIN daily y ON y.day = CAST(e.ts AS DATE)), {LANGUAGES} {FRAME}""",
+)
+def frame_by_period(spark, d):
+    return linked_frame(spark, d, _by_period(spark, d))
+
+
+def _talks(spark, d):
+    """Conversation turns as rows with numbers and a text that holds keywords."""
+    t = table(spark, d, "conversations")
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "turn", F.length("text").alias("size"), "text")
+
+
+def _by_keyword(spark, d):
+    words = keyworded(spark, d).select(F.col("id").alias("doc_id"), F.explode("keywords").alias("keyword"))
+    return linkage.link_by_keyword(words, _talks(spark, d), "text")
+
+
+@query(
+    "fea10_frame_by_keyword",
+    f"""WITH {KEYWORDED}, talks AS (SELECT conv_id * 1000 + turn AS row_id, turn, length(text) AS size, text FROM conversations),
+tw AS (SELECT DISTINCT row_id, unnest({sql_words('text')}) AS keyword FROM talks),
+votes AS (SELECT tw.row_id, d.n_chars AS value, count(*) AS c, min(d.id) AS first_id FROM tw JOIN keywords k USING (keyword) JOIN docs d ON d.id = k.id GROUP BY 1, 2),
+best AS (SELECT row_id, sum(CAST(value AS DOUBLE) * c) / sum(c) AS value FROM votes GROUP BY 1)
+SELECT t.row_id, t.turn, t.size, round(b.value, 6) AS n_chars FROM talks t JOIN best b USING (row_id) WHERE t.turn IS NOT NULL AND t.size IS NOT NULL""",
+)
+def frame_by_keyword(spark, d):
+    frame, _ = fea.linked_frame(documents(spark, d), _talks(spark, d), _by_keyword(spark, d), "n_chars", ["turn", "size"], "mean")
+    return frame.withColumn("n_chars", F.round("n_chars", 6))
+
+
+def _by_embedding(spark, d):
+    rows = linkage.numeric_vectors(event_rows(spark, d), ["value", "user_id", "k"])
+    return linkage.link_by_embedding(_text_vectors(spark, d), rows, top_k=3, threshold=0.2)
+
+
+@query("fea10_frame_by_embedding")
+def frame_by_embedding(spark, d):
+    return linked_frame(spark, d, _by_embedding(spark, d))
+
+
+@query("ml01_clusters_of_rows_linked_by_id")
+def linked_clusters(spark, d):
+    """Centres and inertia of the linked rows."""
+    links = linkage.link_by_id(documents(spark, d), event_rows(spark, d), "user_id")
+    _, centres, inertia = ml.through_links(ml.kmeans, documents(spark, d), event_rows(spark, d), links, "lang", ["value", "k"], clusters=3)
+    return centres.withColumn("inertia", F.lit(float(inertia)))
+
+
+@query("ml03_svm_by_period_links")
+def linked_svm(spark, d):
+    return ml.through_links(ml.linear_svm, documents(spark, d), event_rows(spark, d), _by_period(spark, d), "lang", ["value", "k", "event_type"], "first").scores
+
+
+@query("ml05_forest_by_nearest_time")
+def linked_forest(spark, d):
+    docs, rows = documents(spark, d), event_rows(spark, d)
+    links = linkage.link_by_nearest_time(docs, rows)
+    found, held_out = ml.through_links(ml.random_forest, docs, rows, links, "source", ["value", "k", "event_type"], trees=20)
+    return found.scores
+
+
+@query("ml09_regression_by_keyword_links")
+def linked_regression(spark, d):
+    kind, coefficients, fit = ml.through_links(ml.regression, documents(spark, d), _talks(spark, d), _by_keyword(spark, d), "n_chars", ["turn", "size"], "mean")
+    return coefficients.withColumn("kind", F.lit(kind))
+
+
+@query("ml02_net_by_embedding_links")
+def linked_net(spark, d):
+    made = ml.through_links(ml.neural_net, documents(spark, d), event_rows(spark, d), _by_embedding(spark, d), "lang", ["value", "k"], iterations=10)
+    return ml.accuracy(made[1])

@@ -254,6 +254,18 @@ def one_hot(spark, d):
     return fea.one_hot(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
 
 
+@query(
+    "fea02_one_hot_sparse",
+    """WITH n AS (SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment) AS a, dense_rank() OVER (ORDER BY c_name) AS b FROM customer), s AS (SELECT max(a) AS wa, max(b) AS wb FROM n)
+SELECT c_custkey, CAST(wa + wb - 2 AS INTEGER) AS size,
+  array_to_string(list_filter([CASE WHEN a > 1 THEN a - 2 END, CASE WHEN b > 1 THEN wa - 1 + b - 2 END], lambda x: x IS NOT NULL), ',') AS indices FROM n, s""",
+)
+def one_hot_sparse(spark, d):
+    """A column of few levels and one with a level for each record."""
+    out = fea.one_hot_sparse(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_name"), ["c_mktsegment", "c_name"], "v")
+    return out.select("c_custkey", F.col("v.size").alias("size"), F.array_join(F.col("v.indices").cast("array<string>"), ",").alias("indices"))
+
+
 @query("fea03_one_hot_strings", f"SELECT o_orderkey, {_dummies('o_orderstatus', ['O', 'P'])}, {_dummies('o_orderpriority', PRIORITIES)} FROM orders")
 def one_hot_strings(spark, d):
     return fea.one_hot_strings(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"))
