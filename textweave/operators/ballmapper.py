@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +15,12 @@ from pyspark.sql import types as T
 from textweave.functions.vectors import euclidean_distance
 from textweave.operators.features import min_max
 from textweave.operators.linkage import project
+from textweave.plans.balls import greedy, members, uncovered
 from textweave.plans.lineage import cut_lineage
 from textweave.plans.ordering import with_dense_index
 
+BATCH = 20_000  # undecided points that one task decides
+BALLS_HELD = 50_000  # landmarks that every task holds
 PER_CELL = 64  # candidates of a grid cell that a round looks at
 GRID_DIMENSIONS = 3
 LANDMARKS = "ball_id string, ball_no int, landmark_row bigint, location array<double>"
@@ -46,21 +50,48 @@ def default_order() -> Column:
     return F.md5(F.col("row_id").cast("string"))
 
 
-def cover(points: DataFrame, radius: float, order: Column | None = None, per_cell: int = PER_CELL) -> DataFrame:
+def cover(points: DataFrame, radius: float, order: Column | None = None, per_cell: int = PER_CELL, batch: int = BATCH) -> DataFrame:
     """Landmarks of the greedy cover: in a fixed order, a point no earlier ball holds becomes a landmark.
 
-    Decided in rounds on Spark. The candidates of a round are the first ``per_cell`` undecided points of each grid cell,
-    one for each fine cell (whose points all hold each other). A candidate with no earlier undecided point within the
-    radius is a landmark of the greedy order; the points its ball holds are decided too. Each round writes what is left,
-    and only whether that is empty reaches the driver; the first undecided point always becomes a landmark.
+    The first ``batch`` undecided points are decided in one task, and all points that their landmarks hold leave. As the
+    order is like a random one, few points stay unless there are very many balls. When such a step clears less than half,
+    the rest is decided in rounds over all grid cells (``_cell_rounds``). Both give the same landmarks. Each step writes
+    what is left; only its size and at most ``batch`` landmarks reach the driver.
     """
     rank = default_order() if order is None else order
-    ranked = points.select("row_id", "vec", F.struct(rank.alias("o"), F.col("row_id").alias("r")).alias("_order"))
-    first = points.select(F.size("vec").alias("d")).first()
-    d = first["d"] if first else 1
+    left = cut_lineage(points.select("row_id", F.col("vec").cast("array<double>").alias("vec"), F.struct(rank.alias("o"), F.col("row_id").alias("r")).alias("_order")))
+    found: list[DataFrame] = []
+    size = left.count()
+    while size:
+        new = cut_lineage(greedy(left.orderBy("_order").limit(batch), radius))
+        found.append(new)
+        if size <= batch:
+            break
+        left = cut_lineage(uncovered(left, np.array([r["vec"] for r in new.select("vec").collect()]), radius))
+        before, size = size, left.count()
+        if size > before / 2:
+            found += _cell_rounds(left, radius, per_cell)
+            break
+    if not found:
+        return points.sparkSession.createDataFrame([], LANDMARKS)
+    numbered = with_dense_index(reduce(DataFrame.unionByName, found).withColumns({"_o": F.col("_order.o")}), ["_o", "row_id"], "ball_no")
+    return numbered.select(
+        F.concat(F.lit("B"), F.col("ball_no").cast("string")).alias("ball_id"), F.col("ball_no").cast("int").alias("ball_no"),
+        F.col("row_id").alias("landmark_row"), F.col("vec").alias("location"),
+    )
+
+
+def _cell_rounds(left: DataFrame, radius: float, per_cell: int) -> list[DataFrame]:
+    """Landmarks among ``left(row_id, vec, _order)``, in parallel over the grid.
+
+    The candidates of a round are the first ``per_cell`` undecided points of each grid cell, one for each fine cell (whose
+    points all hold each other). A candidate with no earlier undecided point within the radius is a landmark of the greedy
+    order; the points its ball holds are decided too. The first undecided point always becomes a landmark.
+    """
+    d = left.select(F.size("vec").alias("d")).first()["d"]
     g = min(d, GRID_DIMENSIONS)
     fine = radius / d**0.5 * (1 - 1e-9)
-    left = cut_lineage(ranked.withColumns({"cell": _cell(F.col("vec"), radius, g), "fine": _cell(F.col("vec"), fine, d)}))
+    left = cut_lineage(left.withColumns({"cell": _cell(F.col("vec"), radius, g), "fine": _cell(F.col("vec"), fine, d)}))
     found: list[DataFrame] = []
 
     def near(some: DataFrame, hit: Column, what: str) -> DataFrame:
@@ -78,13 +109,7 @@ def cover(points: DataFrame, radius: float, order: Column | None = None, per_cel
         found.append(new)
         held = near(new, F.lit(True), "row_id")
         left = cut_lineage(left.join(held, "row_id", "left_anti"))
-    if not found:
-        return points.sparkSession.createDataFrame([], LANDMARKS)
-    numbered = with_dense_index(reduce(DataFrame.unionByName, found).withColumns({"_o": F.col("_order.o")}), ["_o", "row_id"], "ball_no")
-    return numbered.select(
-        F.concat(F.lit("B"), F.col("ball_no").cast("string")).alias("ball_id"), F.col("ball_no").cast("int").alias("ball_no"),
-        F.col("row_id").alias("landmark_row"), F.col("vec").cast("array<double>").alias("location"),
-    )
+    return found
 
 
 def _cell(vector: Column, radius: float, dimensions: int) -> Column:
@@ -98,13 +123,17 @@ def _around(some: DataFrame, vector: str, radius: float, dimensions: int) -> Dat
     return placed.withColumn("cell", F.zip_with("_home", "_shift", lambda a, b: a + b)).drop("_home", "_shift")
 
 
-def membership(points: DataFrame, landmarks: DataFrame, radius: float) -> DataFrame:
+def membership(points: DataFrame, landmarks: DataFrame, radius: float, most: int = BALLS_HELD) -> DataFrame:
     """(ball_id, row_id, y) of the points within the radius of each landmark.
 
-    Landmarks are entered in the grid cells around theirs, so each point meets only near ones.
+    Up to ``most`` landmarks every task holds them and points stay where they are; beyond that landmarks are entered in the
+    grid cells around theirs, so each point meets only near ones.
     """
-    first = landmarks.select(F.size("location").alias("d")).first()
-    g = min(first["d"] if first else 1, GRID_DIMENSIONS)
+    few = landmarks.select("ball_id", F.col("location").cast("array<double>").alias("location")).limit(most + 1).collect()
+    if len(few) <= most:
+        ready = points.select("row_id", "y", F.col("vec").cast("array<double>").alias("vec"))
+        return members(ready, [r["ball_id"] for r in few], np.array([r["location"] for r in few]), radius)
+    g = min(len(few[0]["location"]), GRID_DIMENSIONS)
     near = _around(landmarks.select("ball_id", "location"), "location", radius, g)
     placed = points.withColumn("cell", _cell(F.col("vec"), radius, g))
     return placed.join(near, "cell").filter(euclidean_distance("vec", "location") <= radius).select("ball_id", "row_id", "y")
@@ -146,9 +175,9 @@ class BallMap:
 def ball_map(df: DataFrame, y: str, xs: Sequence[str], radius: float = 0.3, row_id: str = "row_id", order: Column | None = None) -> BallMap:
     validate(df, y, xs)
     points = point_cloud(df, y, xs, row_id)
-    landmarks = cover(points, radius, order)
-    members = membership(points, landmarks, radius)
-    return BallMap(points, landmarks, members, ball_statistics(landmarks, members), connections(members))
+    landmarks = cut_lineage(cover(points, radius, order))
+    inside = membership(points, landmarks, radius)
+    return BallMap(points, landmarks, inside, ball_statistics(landmarks, inside), connections(inside))
 
 
 def layout(balls: DataFrame) -> DataFrame:
