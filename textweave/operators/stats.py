@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from textweave.operators.filters import numeric_columns
 from textweave.plans.concordance import concordant_pairs
 from textweave.plans.lineage import cut_lineage
-from textweave.plans.ordering import average_ranks, exact_quantiles, running_totals
+from textweave.plans.ordering import average_ranks, running_totals, summaries
 from textweave.plans.skew import salted_join
 
 
@@ -24,18 +24,14 @@ def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, min, exact quartiles and max, one record per numeric column."""
-    columns = list(columns or numeric_columns(df))
-    cells = _long(df, columns, "double").filter(F.col("value").isNotNull())
-    basic = cells.groupBy("column").agg(
+    cells = _long(df, list(columns or numeric_columns(df)), "double").filter(F.col("value").isNotNull())
+    basic = [
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    at = lambda p: F.max(F.when(F.col("p") == p, F.col("q")))
-    quartiles = (
-        exact_quantiles(cells, "value", [0.25, 0.5, 0.75], ["column"])
-        .groupBy("column").agg(at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
-    )
-    return basic.join(quartiles, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    ]
+    told = summaries(cells, "value", [0.25, 0.5, 0.75], ["column"], basic)
+    quartiles = [F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("q25", "q50", "q75"))]
+    return told.select("column", "count", "mean", "std", "min", *quartiles, "max")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -76,10 +72,33 @@ def _pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def _counted_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    x, y = F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")
-    kept = df.select(x, y).dropna("any").filter(~F.isnan("x") & ~F.isnan("y"))
-    return cut_lineage(kept.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+def _counted_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair, x, y, n): the records that both columns of a pair have, equal ones counted together; one scan for all pairs."""
+    d = lambda c: F.col(c).cast("double")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), d(a).alias("x"), d(b).alias("y")) for i, (a, b) in enumerate(pairs)]))
+    kept = df.select(cells.alias("c")).select("c.*").filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    return cut_lineage(kept.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _named(found: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Correlations by pair number with the names of the pair's columns; a pair without records has none."""
+    names = found.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, variable_1 string, variable_2 string")
+    return names.join(found, "pair", "left").select("variable_1", "variable_2", "correlation")
+
+
+def _spearman_by_pair(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pearson on average ranks among the records that both columns of a pair have, all pairs in one job."""
+    counted = _counted_pairs(df, pairs)
+    ranked = counted
+    for c in ("x", "y"):
+        values = counted.groupBy("pair", c).agg(F.sum("n").alias("_m"))
+        rank = (F.col("before") + (F.col("_m") + 1) / 2).alias(f"r_{c}")
+        ranked = salted_join(ranked, running_totals(values, c, "_m", ["pair"]).select("pair", c, rank), ["pair", c], ["x", "y"], counted=counted)
+    n, x, y = F.col("n"), F.col("r_x"), F.col("r_y")
+    sums = ranked.groupBy("pair").agg(F.sum("n").alias("t"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    level = F.col("t") * (F.col("t") + 1) * (F.col("t") + 1) / 4  # total * mean rank squared
+    scale = F.nullif(F.sqrt((F.col("xx") - level) * (F.col("yy") - level)), F.lit(0.0))
+    return _named(sums.select("pair", ((F.col("xy") - level) / scale).alias("correlation")), pairs)
 
 
 def _spearman_complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -116,29 +135,24 @@ def _spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     gaps = df.agg(*[F.count_if(missing(c)).alias(f"g{i}") for i, c in enumerate(columns)]).first()
     full = [c for i, c in enumerate(columns) if gaps[f"g{i}"] == 0]
     parts = [_spearman_complete(df, full)] if len(full) > 1 else []
-    for a, b in combinations(columns, 2):
-        if a not in full or b not in full:
-            parts.append(_spearman_complete(df.filter(~missing(a) & ~missing(b)), [a, b]))
+    if with_gaps := [(a, b) for a, b in combinations(columns, 2) if a not in full or b not in full]:
+        parts.append(_spearman_by_pair(df, with_gaps))
     return reduce(lambda p, q: p.unionByName(q), parts)
 
 
-def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """tau-b from tie counts and the number of concordant pairs."""
-    pairs = _counted_pairs(df, a, b)
+def _kendall(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """tau-b from tie counts and the number of concordant pairs, all pairs of columns in one job."""
+    counted = _counted_pairs(df, pairs)
     d = lambda c: F.col(c).cast("double")
-    ties = lambda t, c: t.agg(F.sum(d("n") * (d("n") - 1) / 2).alias(c), F.sum(d("n")).alias("_total"))
-    marginal = lambda c: pairs.groupBy(c).agg(F.sum("n").alias("n"))
-    row = lambda t: t.withColumn("_k", F.lit(1))
-    both = row(ties(pairs, "both"))
-    parts = (
-        both.join(row(ties(marginal("x"), "tx").drop("_total")), "_k")
-        .join(row(ties(marginal("y"), "ty").drop("_total")), "_k")
-        .join(row(concordant_pairs(pairs)), "_k")
-    )
+    ties = lambda t, c: t.groupBy("pair").agg(F.sum(d("n") * (d("n") - 1) / 2).alias(c))
+    marginal = lambda c: counted.groupBy("pair", c).agg(F.sum("n").alias("n"))
+    parts = counted.groupBy("pair").agg(F.sum(d("n")).alias("_total"))
+    for part in (ties(counted, "both"), ties(marginal("x"), "tx"), ties(marginal("y"), "ty"), concordant_pairs(counted, ["pair"])):
+        parts = parts.join(part, "pair")
     all_pairs = F.col("_total") * (F.col("_total") - 1) / 2
     discordant = all_pairs - F.col("tx") - F.col("ty") + F.col("both") - F.col("concordant")
     scale = F.sqrt((all_pairs - F.col("tx")) * (all_pairs - F.col("ty")))
-    return parts.select(((F.col("concordant") - discordant) / F.nullif(scale, F.lit(0.0))).alias("correlation"))
+    return _named(parts.select("pair", ((F.col("concordant") - discordant) / F.nullif(scale, F.lit(0.0))).alias("correlation")), pairs)
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
@@ -151,10 +165,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, metho
         return _spearman(df, columns)
     if method != "kendall":
         raise ValueError(f"unknown method {method!r}")
-    parts = [  # one plan per pair of columns: each pair has its own complete cases
-        _kendall(df, a, b).select(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), "correlation") for a, b in pairs
-    ]
-    return reduce(lambda p, q: p.unionByName(q), parts)
+    return _kendall(df, pairs)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
@@ -193,34 +204,34 @@ def rank_table(df: DataFrame, column: str) -> DataFrame:
 # -- lengths -------------------------------------------------------------------------------------------------------
 
 
+def _lengths(documents: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    return documents.filter(F.col(text).isNotNull()).select(*keys, F.length(text).cast("double").alias("len"))
+
+
 def length_statistics(documents: DataFrame, text: str = "text", group: str | None = None) -> DataFrame:
     """Mean, median, population deviation, 1 % and 99 % quantiles of text length, overall or per group."""
     keys = [group] if group else []
-    lengths = documents.filter(F.col(text).isNotNull()).select(*keys, F.length(text).cast("double").alias("len"))
-    basic = lengths.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), F.stddev_pop("len").alias("std")
-    )
-    at = lambda p: F.max(F.when(F.col("p") == p, F.col("q")))
-    quantiles = exact_quantiles(lengths, "len", [0.01, 0.5, 0.99], keys).groupBy(*keys).agg(
-        at(0.01).alias("p01"), at(0.5).alias("median"), at(0.99).alias("p99")
-    )
-    if keys:
-        return basic.join(quantiles, keys)
-    return basic.withColumn("_k", F.lit(1)).join(quantiles.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    basic = [F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), F.stddev_pop("len").alias("std")]
+    told = summaries(_lengths(documents, text, keys), "len", [0.01, 0.5, 0.99], keys, basic)
+    quantiles = [F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("p01", "median", "p99"))]
+    return told.select(*keys, "n", "mean", "std", *quantiles)
 
 
 def length_histogram(documents: DataFrame, bins: int = 100, text: str = "text", group: str | None = None) -> DataFrame:
-    """Documents per equal-width length bin (bin, n); empty bins are left out."""
-    keys = [group] if group else []
-    lengths = documents.filter(F.col(text).isNotNull()).select(*keys, F.length(text).cast("double").alias("len"))
-    span = lengths.groupBy(*(keys or [F.lit(1).alias("_k")])).agg(F.min("len").alias("lo"), F.max("len").alias("hi"))
-    counted = lengths.groupBy(*keys, "len").agg(F.count(F.lit(1)).alias("w"))
-    joined = counted.join(span, keys) if keys else counted.withColumn("_k", F.lit(1)).join(span, "_k")
+    """Documents per equal-width length bin (bin, n); empty bins are left out.
+
+    Without a group the range is one record and goes to every task, so lengths are binned where they are read.
+    """
+    keys = [group] if group else ["_whole"]
+    lengths = _lengths(documents, text, [group] if group else [])
+    lengths = lengths if group else lengths.withColumn("_whole", F.lit(1))
+    span = lengths.groupBy(*keys).agg(F.min("len").alias("lo"), F.max("len").alias("hi"))
+    joined = lengths.join(span if group else F.broadcast(span), keys)
     # a single length sits in the middle of a range of width one
     lo = F.when(F.col("hi") == F.col("lo"), F.col("lo") - 0.5).otherwise(F.col("lo"))
     width = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise(F.col("hi") - F.col("lo")) / bins
     number = F.least(F.floor((F.col("len") - lo) / width), F.lit(bins - 1)).cast("int")
-    return joined.groupBy(*keys, number.alias("bin")).agg(F.sum("w").alias("n"))
+    return joined.groupBy(*keys, number.alias("bin")).agg(F.count(F.lit(1)).alias("n")).drop("_whole")
 
 
 # -- groups and classification -------------------------------------------------------------------------------------

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from textweave.plans.lineage import cut_lineage
 
+BUCKETS = 64  # between the cut points of a group
+GROUPS_HELD = 10_000  # groups whose cut points are broadcast
 INDEX_BITS = 33  # monotonically_increasing_id keeps the position inside a partition in its low 33 bits
 
 
@@ -106,39 +108,55 @@ def values_at_ranks(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, column: str, probabilities: list[float], groups: list[str] | None = None
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per group as rows (groups, p, q).
+def summaries(df: DataFrame, column: str, probabilities: list[float], groups: list[str] | None = None, extra: list[Column] | None = None) -> DataFrame:
+    """(groups, extra aggregates, q): exact linear-interpolated quantiles of ``column`` per group, as an array in the order asked.
 
-    Equal values are counted together first, so neither a hot value nor a hot group lands in one task.
+    One pass sketches cut points of every group, next to the ``extra`` aggregates. A second one counts the values between
+    cut points where they are read. Only values of the few buckets that hold a wanted rank are then shuffled, equal ones
+    as one record. Cut points decide how much that is, never a result. Missing values and NaN do not count; a group without
+    any other value has no quantiles.
     """
     groups = groups or []
-    clean = df.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
-    counts = cut_lineage(  # read four times below
-        clean.groupBy(*groups, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
-    )
-    totals = counts.groupBy(*groups).agg(F.sum("_w").alias("_n"))
-    wanted = (
-        totals.filter(F.col("_n") > 0)
-        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("_h", (F.col("_n") - 1) * F.col("p"))
-        .withColumn("_floor", F.floor("_h"))
-        .withColumn("_ceil", F.ceil("_h"))
-    )
-    ranks = wanted.select(*groups, F.explode(F.array("_floor", "_ceil")).alias("_rank")).distinct()
-    found = values_at_ranks(counts, ranks, "_v", "_w", groups, "_rank")
-    low = found.withColumnsRenamed({"_rank": "_floor", "_v": "_low"})
-    high = found.withColumnsRenamed({"_rank": "_ceil", "_v": "_high"})
-    return (
-        wanted.join(low, [*groups, "_floor"])
-        .join(high, [*groups, "_ceil"])
-        .select(
-            *groups,
-            "p",
-            (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_h") - F.col("_floor"))).alias("q"),
-        )
-    )
+    keys = groups or ["_whole"]
+    source = df if groups else df.withColumn("_whole", F.lit(1))
+    value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    marks = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    sketch = F.percentile_approx(value, marks, F.lit(20 * BUCKETS)).alias("_cuts")
+    told = cut_lineage(source.groupBy(*keys).agg(*(extra or []), F.count(value).alias("_n"), sketch))
+    cells = source.select(*keys, value.alias("_v")).filter(F.col("_v").isNotNull())
+    ends = told.select(*keys, F.array_distinct("_cuts").alias("_cuts"))
+    ends = ends if ends.limit(GROUPS_HELD + 1).count() > GROUPS_HELD else F.broadcast(ends)
+    bucketed = cells.join(ends, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = bucketed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_t")).withColumn("_low", F.coalesce(F.sum("_t").over(across), F.lit(0)))
+    counts = cut_lineage(counts)  # at most BUCKETS rows a group
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)]))
+    place = (F.col("_n") - 1) * F.col("_a.p")
+    ranks = told.filter(F.col("_n") > 0).withColumn("_a", asked).select(*keys, F.col("_a.i").alias("_i"), place.alias("_h"))
+    ranks = ranks.select(*keys, "_i", "_h", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))).alias("_rank"))
+    inside = (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_low") + F.col("_t"))
+    wanted = cut_lineage(ranks.join(counts, keys).filter(inside).select(*keys, "_b", "_low", "_i", "_h", "_rank"))
+    needed = wanted.select(*keys, "_b").distinct()
+    needed = needed if needed.limit(GROUPS_HELD + 1).count() > GROUPS_HELD else F.broadcast(needed)
+    kept = bucketed.join(needed, [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_w"))
+    before = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = kept.withColumn("_in", F.coalesce(F.sum("_w").over(before), F.lit(0)))
+    start = F.col("_low") + F.col("_in")
+    found = ordered.join(wanted, [*keys, "_b"]).filter((F.col("_rank") >= start) & (F.col("_rank") < start + F.col("_w")))
+    low = F.max(F.when(F.col("_rank") == F.floor("_h"), F.col("_v")))
+    high = F.max(F.when(F.col("_rank") == F.ceil("_h"), F.col("_v")))
+    each = found.groupBy(*keys, "_i", "_h").agg((low + (high - low) * (F.col("_h") - F.floor("_h"))).alias("q"))
+    lists = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "q"))), lambda x: x["q"]).alias("q"))
+    return told.drop("_cuts", "_n").join(lists, keys, "left").drop("_whole")
+
+
+def exact_quantiles(
+    df: DataFrame, column: str, probabilities: list[float], groups: list[str] | None = None
+) -> DataFrame:
+    """Exact linear-interpolated quantiles per group as rows (groups, p, q); see ``summaries``."""
+    listed = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probabilities]).alias("p"), F.col("q"))
+    rows = summaries(df, column, probabilities, groups).filter(F.col("q").isNotNull())
+    return rows.select(*(groups or []), F.explode(listed).alias("_e")).select(*(groups or []), F.col("_e.p").alias("p"), F.col("_e.q").alias("q"))
 
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
