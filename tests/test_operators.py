@@ -280,6 +280,23 @@ def test_no_cut_where_the_data_is_large(spark):
     assert sorted(r.outcome for r in outcome.collect()) == [0.0, 0.0, 1.0]
 
 
+def test_first_document_is_the_first_that_came_in(spark):
+    docs = spark.createDataFrame([("10", {"m": "late"}), ("2", {"m": "early"}), ("x", {"m": "named"})], "id string, metadata map<string,string>")
+    links = spark.createDataFrame([("10", 1), ("2", 1), ("x", 1), ("x", 2), ("10", 2)], "doc_id string, row_id bigint")
+    assert {r.row_id: r.value for r in linkage.text_outcome(docs, links, "m", "first").collect()} == {1: "early", 2: "late"}
+    assert linkage.metadata_export(docs, None).columns == ["id", "m"]
+
+
+def test_rules_and_idle_features(spark):
+    flags = spark.createDataFrame([(1, 1, 0)] * 6 + [(1, 0, 0)] * 2 + [(0, 1, 1)] * 2, "a int, b int, c int")
+    got = {(tuple(r.antecedent), r.consequent): (r.support, r.confidence, r.lift) for r in ml.column_rules(flags, 0.5, 0.5).collect()}
+    assert set(got) == {(("a",), "b"), (("b",), "a")} and got[("a",), "b"] == pytest.approx((0.6, 0.75, 0.75 / 0.8))
+    df = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 10).alias("x"), F.lit(1.0).alias("idle"), (F.col("id") % 10 >= 5).cast("int").alias("y"))
+    classified, held_out = ml.random_forest(df, ["x", "idle"], "y", trees=5)
+    told = {r.feature: r.importance for r in ml.permutation_importance(classified, held_out, ["x", "idle"], repeats=2).collect()}
+    assert told["idle"] == 0 and told["x"] > 0.2
+
+
 def test_keywords_given_as_comma_text(spark):
     docs = spark.createDataFrame([("keyword:odd", "n", "t", {"cluster": "0"}, "k1, k2,,k1")], "id string, name string, text string, metadata map<string,string>, keywords string")
     dated = docs.withColumn("ts", F.lit("2025-01-02").cast("timestamp_ntz"))

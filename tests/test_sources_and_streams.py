@@ -60,6 +60,30 @@ def test_bundles(spark, small, tmp_path):
     assert row.id == "a" and row.ts.isoformat() == "2025-01-15T00:00:00" and row.metadata == {"tag": "x"} and row.score == 0.0
 
 
+def test_json_bundles(spark, tmp_path):
+    saved = {
+        "id": "c", "name": "n", "documents": [{"id": "a", "text": "The hello and bye", "timestamp": "2025-01-15", "metadata": {"tag": "x"}}, {"id": "b", "text": "the"}],
+        "metadata": {"pca": {"k": 2}, "made": "here", "relationships": [{"first": "text:a", "second": "num:v", "relation": "correlates"}]},
+    }
+    (tmp_path / "corpus.json").write_text(json.dumps(saved, indent=1))
+    alone = bundle.read_json_bundle(spark, str(tmp_path), ("the", "and"))
+    assert alone.rows is None and (alone.id, alone.name, alone.metadata) == ("c", "n", {"pca": '{"k": 2}', "made": "here"})
+    assert {r.id: r.text for r in alone.documents.collect()} == {"a": " hello  bye", "b": ""}
+    assert [tuple(r) for r in alone.relationships.collect()] == [("text:a", "num:v", "correlates")]
+    (tmp_path / "corpus_df.csv").write_text("id,v\n1,2.5\n2,\n")
+    whole = bundle.read_json_bundle(spark, str(tmp_path))
+    assert sorted(map(tuple, whole.rows.collect()), key=str) == [(1, 2.5), (2, None)]
+    again = str(tmp_path / "again")
+    bundle.write_json_bundle(whole, again, per_object=1)
+    back = bundle.read_json_bundle(spark, again, schema=whole.rows.schema)
+    assert back.documents.count() == 2 and back.rows.count() == 2 and back.relationships.count() == 1 and back.metadata["made"] == "here"
+    bare = {"id": "e", "documents": []}
+    (tmp_path / "bare").mkdir()
+    (tmp_path / "bare" / "corpus.json").write_text(json.dumps(bare))
+    empty = bundle.read_json_bundle(spark, str(tmp_path / "bare"))
+    assert empty.documents.count() == 0 and empty.relationships.count() == 0 and empty.metadata == {}
+
+
 def _drain(df, name, tmp_path):
     query = (
         df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state"))

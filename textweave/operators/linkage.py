@@ -177,11 +177,14 @@ def link_statistics(documents: DataFrame, links: DataFrame) -> DataFrame:
     return totals.join(found, "_k").drop("_k")
 
 
-def metadata_export(documents: DataFrame, rows: DataFrame | None, keys: list[str], id_column: str = "id") -> DataFrame:
+def metadata_export(documents: DataFrame, rows: DataFrame | None, keys: list[str] | None = None, id_column: str = "id") -> DataFrame:
     """Metadata values as columns, outer-joined to the rows on id; clashing names get ``_metadata``.
 
+    Without ``keys`` every key that some document has becomes a column, in alphabetical order: one pass over the key names.
     The outer join is a left join plus the documents without a row, because Spark can split a hot id in those.
     """
+    if keys is None:
+        keys = sorted(r["k"] for r in documents.select(F.explode(F.map_keys("metadata")).alias("k")).distinct().collect())  # names of columns
     taken = set(rows.columns) if rows is not None else set()
     name = lambda k: f"{k}_metadata" if k in taken else k
     meta = documents.select(
@@ -218,10 +221,19 @@ def reduce_values(values: DataFrame, keys: list[str], how: str = "majority", val
     )
 
 
+def import_order(order: str) -> Column:
+    """Order of a column in which documents came in: whole numbers by value, then anything else as text."""
+    number = F.col(order).cast("string").try_cast("bigint")
+    return F.struct(number.isNull().alias("text"), number.alias("number"), F.col(order).cast("string").alias("name"))
+
+
 def text_outcome(documents: DataFrame, links: DataFrame | HubLinks, field: str, how: str = "majority", order: str = "id") -> DataFrame:
-    """(row_id, value): a metadata field of the linked documents brought to each row."""
+    """(row_id, value): a metadata field of the linked documents brought to each row.
+
+    The first document is the first by ``order``, in which document 2 comes before document 10.
+    """
     valued = documents.select(
-        F.col("id").alias("doc_id"), F.try_element_at("metadata", F.lit(field)).alias("value"), F.col(order).alias("order")
+        F.col("id").alias("doc_id"), F.try_element_at("metadata", F.lit(field)).alias("value"), import_order(order).alias("order")
     ).filter(F.col("value").isNotNull())
     if not isinstance(links, HubLinks):
         return reduce_values(links.select("doc_id", "row_id").join(valued, "doc_id"), ["row_id"], how)

@@ -18,6 +18,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import LinearRegression
@@ -180,8 +181,10 @@ def permutation_importance(
     """(feature, importance): mean loss of accuracy when a feature is taken from another record.
 
     Records are numbered in hash order once; repeat r pairs record i with record i + shift(r), which is a permutation,
-    and all features and repeats are scored in one pass.
+    and all features and repeats are scored in one pass. Features that no tree splits on change nothing and are not scored.
     """
+    impurity = getattr(classified.model, "featureImportances", None)
+    used = list(range(len(columns))) if impurity is None else [int(i) for i in np.flatnonzero(impurity.toArray())]
     arrays = held_out.select(row_id, "target", vector_to_array("features").alias("x"), F.xxhash64(row_id, F.lit(seed)).alias("_h"))
     numbered = with_dense_index(arrays, ["_h", row_id], "i").select("i", "target", "x")
     n = numbered.count()
@@ -189,7 +192,7 @@ def permutation_importance(
     shift = F.explode(F.array(*[F.lit(s) for s in shifts]))
     asked = numbered.withColumn("shift", shift).withColumn("j", F.pmod(F.col("i") + F.col("shift"), F.lit(n)))
     other = numbered.select(F.col("i").alias("j"), F.col("x").alias("other"))
-    feature = F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("f")
+    feature = F.explode(F.array(*[F.lit(i) for i in used]).cast("array<int>")).alias("f")
     mixed = asked.join(other, "j").select("target", "x", "other", feature)
     swapped = F.transform("x", lambda v, k: F.when(k == F.col("f"), F.get("other", k)).otherwise(v))
     scored = classified.model.transform(mixed.select("f", "target", array_to_vector(swapped).alias("features")))
@@ -197,9 +200,11 @@ def permutation_importance(
     names = F.array(*[F.lit(c) for c in columns])
     base = classified.scored.agg(F.avg((F.col("prediction") == F.col("target")).cast("double")).alias("base")).withColumn("_k", F.lit(1))
     per_feature = scored.groupBy("f").agg(F.avg(hit).alias("shuffled")).withColumn("_k", F.lit(1))
-    return per_feature.join(F.broadcast(base), "_k").select(
+    told = per_feature.join(F.broadcast(base), "_k").select(
         F.get(names, F.col("f")).alias("feature"), (F.col("base") - F.col("shuffled")).alias("importance")
     )
+    idle = [(c, 0.0) for i, c in enumerate(columns) if i not in used]
+    return told.unionByName(held_out.sparkSession.createDataFrame(idle, "feature string, importance double")) if idle else told
 
 
 def top_features(importance: DataFrame, n: int = 5) -> DataFrame:
@@ -223,6 +228,14 @@ def column_itemsets(df: DataFrame, min_support: float = 0.9) -> DataFrame:
     return frequent_itemsets(flags.select(items.alias("items")), min_support)
 
 
+def column_rules(df: DataFrame, min_support: float = 0.9, min_confidence: float = 0.5) -> DataFrame:
+    """(antecedent, consequent, support, confidence, lift): which columns are true where others are, one consequent each."""
+    flags = encode_booleans(df)
+    items = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in flags.columns]))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(flags.select(items.alias("items")))
+    return model.associationRules.select(F.array_sort("antecedent").alias("antecedent"), F.get("consequent", F.lit(0)).alias("consequent"), "support", "confidence", "lift")
+
+
 # -- principal components ------------------------------------------------------------------------------------------
 
 

@@ -108,6 +108,13 @@ def id_filter(spark, d):
     return rows.select("row_id", "quality")
 
 
+@query("flt09_id_filter_documents", f"WITH {DOCS} SELECT id, name FROM docs WHERE contains(id, '4') OR contains(name, '4')")
+def id_filter_documents(spark, d):
+    """The document side of the same filter: any id or name that holds the value."""
+    docs, _ = flt.apply_filters(documents(spark, d), label_rows(spark, d), ["id=4"])
+    return docs.select("id", "name")
+
+
 @query(
     "flt10_id_sync",
     "SELECT l.doc_id AS row_id, l.quality FROM labels l JOIN documents d USING (doc_id) WHERE contains(d.source, 'src2') OR contains(d.source || '-' || d.doc_id || '.txt', 'src2')",

@@ -36,6 +36,21 @@ def text_files(spark, d):
     return out.select("id", F.md5("text").alias("text_md5"), F.try_element_at("metadata", F.lit("tag")).alias("tag"), "ts")
 
 
+@query(
+    "src01_folder_scan",
+    """SELECT CAST(doc_id // 50 AS VARCHAR) AS folder, md5(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS text_md5, '_' AS id_end FROM documents GROUP BY doc_id // 50""",
+)
+def folder_scan(spark, d):
+    """Texts written as files, fifty documents each, and scanned as a folder."""
+    path = new_folder(spark, "texts")
+    texts = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 50).alias("folder"), F.coalesce("text", F.lit("")).alias("text"))
+    texts.repartition("folder").sortWithinPartitions("folder", "doc_id").select("folder", "text").write.partitionBy("folder").text(path, compression="none")
+    found = ingest.scan_text_folder(spark, path)
+    docs = ingest.files_to_documents(found)
+    folder = F.regexp_extract(F.try_element_at("metadata", F.lit("source")), "folder=([0-9]+)/", 1)
+    return docs.select(folder.alias("folder"), F.md5("text").alias("text_md5"), F.when(F.col("id").endswith(".txt"), "_").alias("id_end"))
+
+
 @query("src02_csv_scan", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def csv_scan(spark, d):
     events = table(spark, d, "events")
@@ -181,6 +196,30 @@ def bundle_round_trip(spark, d):
     return one(back.documents, "documents", F.length("text")).unionByName(one(back.rows, "rows", F.col("k")))
 
 
+@query(
+    "src14_json_bundle",
+    f"""WITH {DOCS}, {EVENT_ROWS}
+SELECT 'documents' AS member, count(*) AS n, count(ts) AS n_dated, CAST(sum(length(text)) AS BIGINT) AS total FROM docs
+UNION ALL SELECT 'rows', count(*), count(ts), CAST(sum(k) AS BIGINT) FROM event_rows
+UNION ALL SELECT 'relationships', 2, NULL, NULL""",
+)
+def json_bundle(spark, d):
+    """A whole corpus saved as JSON objects with the rows beside them, and read back."""
+    path = new_folder(spark, "json-bundle")
+    told = spark.createDataFrame([("text:a", "num:value", "correlates"), ("text:b", "num:k", "predicts")], "first string, second string, relation string")
+    rows = event_rows(spark, d)
+    bundle.write_json_bundle(Corpus("c", documents(spark, d), rows, None, told, "name", None, {"made": "here"}), path)
+    back = bundle.read_json_bundle(spark, path, schema=rows.schema)
+    one = lambda df, name, dated, total: df.agg(
+        F.lit(name).alias("member"), F.count(F.lit(1)).alias("n"), dated.alias("n_dated"), F.sum(total).cast("bigint").alias("total")
+    )
+    none = F.lit(None).cast("bigint")
+    return (
+        one(back.documents, "documents", F.count("ts"), F.length("text")).unionByName(one(back.rows, "rows", F.count("ts"), F.col("k")))
+        .unionByName(one(back.relationships, "relationships", none, none))
+    )
+
+
 @query(
     "src15_bundle_documents",
     f"WITH {DOCS} SELECT id, name, ts, md5(text) AS text_md5, lang FROM docs",

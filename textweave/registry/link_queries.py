@@ -113,10 +113,19 @@ def metadata_export(spark, d):
     return linkage.metadata_export(documents(spark, d), rows, ["lang", "source"])
 
 
+@query(
+    "jn07_export_of_all_keys",
+    f"""WITH {DOCS} SELECT coalesce(CAST(l.doc_id AS VARCHAR), d.id) AS id, l.quality, d.lang, CAST(d.n_chars AS VARCHAR) AS n_chars, d.source
+FROM labels l FULL OUTER JOIN docs d ON d.num = l.doc_id""",
+)
+def export_of_all_keys(spark, d):
+    return linkage.metadata_export(documents(spark, d), label_rows(spark, d).select("id", "quality"))
+
+
 @query(
     "jn08_text_outcome",
     f"""WITH {NEAREST}, votes AS (
-  SELECT n.row_id, d.lang AS value, count(*) AS c, min(d.id) AS first_id FROM nearest n JOIN docs d ON d.id = n.doc_id GROUP BY 1, 2)
+  SELECT n.row_id, d.lang AS value, count(*) AS c, min(d.num) AS first_id FROM nearest n JOIN docs d ON d.id = n.doc_id GROUP BY 1, 2)
 SELECT row_id, value FROM votes QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY c DESC, first_id) = 1""",
 )
 def text_outcome(spark, d):
@@ -127,7 +136,7 @@ def text_outcome(spark, d):
 @query(
     "jn08_text_outcome_by_period",
     f"""WITH {DOCS}, {EVENT_ROWS}, votes AS (
-  SELECT CAST(ts AS DATE) AS day, lang AS value, count(*) AS c, min(id) AS first_id FROM docs WHERE ts IS NOT NULL GROUP BY 1, 2),
+  SELECT CAST(ts AS DATE) AS day, lang AS value, count(*) AS c, min(num) AS first_id FROM docs WHERE ts IS NOT NULL GROUP BY 1, 2),
 best AS (SELECT day, value FROM votes QUALIFY row_number() OVER (PARTITION BY day ORDER BY c DESC, first_id) = 1)
 SELECT e.row_id, b.value FROM event_rows e JOIN best b ON b.day = CAST(e.ts AS DATE)""",
 )
@@ -171,7 +180,7 @@ def link_statistics(spark, d):
 
 
 REDUCED = f"""{WINDOW_LINKS}, votes AS (
-  SELECT w.row_id, d.source AS value, count(*) AS c, min(d.id) AS first_id FROM window_links w JOIN docs d ON d.id = w.doc_id GROUP BY 1, 2)"""
+  SELECT w.row_id, d.source AS value, count(*) AS c, min(d.num) AS first_id FROM window_links w JOIN docs d ON d.id = w.doc_id GROUP BY 1, 2)"""
 
 
 @query("agg07_majority", f"WITH {REDUCED} SELECT row_id, value FROM votes QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY c DESC, first_id) = 1")
@@ -288,7 +297,7 @@ def document_counts(spark, d):
 @query(
     "fea10_linked_outcome",
     f"""WITH {NEAREST}, votes AS (
-  SELECT n.row_id, CAST(d.n_chars AS DOUBLE) AS value, count(*) AS c, min(d.id) AS first_id FROM nearest n JOIN docs d ON d.id = n.doc_id GROUP BY 1, 2),
+  SELECT n.row_id, CAST(d.n_chars AS DOUBLE) AS value, count(*) AS c, min(d.num) AS first_id FROM nearest n JOIN docs d ON d.id = n.doc_id GROUP BY 1, 2),
 best AS (SELECT row_id, value FROM votes QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY c DESC, first_id) = 1)
 SELECT b.value AS outcome FROM best b JOIN event_rows e USING (row_id)""",
 )
@@ -331,7 +340,7 @@ def frame_by_id(spark, d):
 
 @query(
     "fea10_frame_by_nearest_time",
-    f"""WITH {NEAREST}, votes AS (SELECT n.row_id, d.lang AS value, count(*) AS c, min(d.id) AS first_id FROM nearest n JOIN docs d ON d.id = n.doc_id GROUP BY 1, 2),
+    f"""WITH {NEAREST}, votes AS (SELECT n.row_id, d.lang AS value, count(*) AS c, min(d.num) AS first_id FROM nearest n JOIN docs d ON d.id = n.doc_id GROUP BY 1, 2),
 best AS (SELECT row_id, value FROM votes QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY c DESC, first_id) = 1), {LANGUAGES} {FRAME}""",
 )
 def frame_by_nearest_time(spark, d):
@@ -344,7 +353,7 @@ def _by_period(spark, d):
 
 @query(
     "fea10_frame_by_period",
-    f"""WITH {DOCS}, {EVENT_ROWS}, votes AS (SELECT CAST(ts AS DATE) AS day, lang AS value, count(*) AS c, min(id) AS first_id FROM docs WHERE ts IS NOT NULL GROUP BY 1, 2),
+    f"""WITH {DOCS}, {EVENT_ROWS}, votes AS (SELECT CAST(ts AS DATE) AS day, lang AS value, count(*) AS c, min(num) AS first_id FROM docs WHERE ts IS NOT NULL GROUP BY 1, 2),
 daily AS (SELECT day, value FROM votes QUALIFY row_number() OVER (PARTITION BY day ORDER BY c DESC, first_id) = 1),
 best AS (SELECT e.row_id, y.value FROM event_rows e JOIN daily y ON y.day = CAST(e.ts AS DATE)), {LANGUAGES} {FRAME}""",
 )
@@ -367,7 +376,7 @@ def _by_keyword(spark, d):
     "fea10_frame_by_keyword",
     f"""WITH {KEYWORDED}, talks AS (SELECT conv_id * 1000 + turn AS row_id, turn, length(text) AS size, text FROM conversations),
 tw AS (SELECT DISTINCT row_id, unnest({sql_words('text')}) AS keyword FROM talks),
-votes AS (SELECT tw.row_id, d.n_chars AS value, count(*) AS c, min(d.id) AS first_id FROM tw JOIN keywords k USING (keyword) JOIN docs d ON d.id = k.id GROUP BY 1, 2),
+votes AS (SELECT tw.row_id, d.n_chars AS value, count(*) AS c, min(d.num) AS first_id FROM tw JOIN keywords k USING (keyword) JOIN docs d ON d.id = k.id GROUP BY 1, 2),
 best AS (SELECT row_id, sum(CAST(value AS DOUBLE) * c) / sum(c) AS value FROM votes GROUP BY 1)
 SELECT t.row_id, t.turn, t.size, round(b.value, 6) AS n_chars FROM talks t JOIN best b USING (row_id) WHERE t.turn IS NOT NULL AND t.size IS NOT NULL""",
 )

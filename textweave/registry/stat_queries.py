@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textweave.operators import features as fea
 from textweave.operators import stats
-from textweave.operators.ml import column_itemsets, covariance, nearest_rows, simple_regression
+from textweave.operators.ml import column_itemsets, column_rules, covariance, nearest_rows, simple_regression
 from textweave.registry.frames import DIRTY_ROWS, DOCS, dirty_rows, documents, query, sql_white, table
 
 PRICES = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -365,6 +365,21 @@ def itemsets(spark, d):
     return found.select(F.array_join("items", ",").alias("items"), "freq", F.round("support", 6).alias("support"))
 
 
+@query(
+    "ml07_rules",
+    f"""WITH sets AS ({_itemset_sql(0.3)}), listed AS (SELECT string_split(items, ',') AS s, freq, support FROM sets), total AS (SELECT count(*) AS t FROM lineitem),
+taken AS (SELECT s, freq, support, unnest(s) AS consequent FROM listed WHERE len(s) > 1),
+rules AS (SELECT list_filter(s, lambda x: x <> consequent) AS a, consequent, freq, support FROM taken)
+SELECT array_to_string(r.a, ',') AS antecedent, r.consequent, round(r.support, 6) AS support, round(r.freq / CAST(l.freq AS DOUBLE), 6) AS confidence,
+  round(r.freq * CAST(t AS DOUBLE) / (CAST(l.freq AS DOUBLE) * c.freq), 6) AS lift
+FROM rules r JOIN listed l ON l.s = r.a JOIN listed c ON c.s = [r.consequent], total WHERE r.freq / CAST(l.freq AS DOUBLE) >= 0.5""",
+)
+def rules(spark, d):
+    flags = table(spark, d, "lineitem").select(*[F.expr(f"cast({e} as int)").alias(n) for n, e in ITEMS.items()])
+    out = column_rules(flags, 0.3, 0.5).withColumn("antecedent", F.array_join("antecedent", ","))
+    return rounded(out, ["support", "confidence", "lift"])
+
+
 @query(
     "ml08_covariance",
     "WITH z AS (SELECT "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from textweave.corpus import Corpus
 from textweave.functions.text import remove_words
 from textweave.functions.time import parse_timestamp
+from textweave.sources.ingest import read_csv
 
 MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # text formats keep milliseconds only unless told otherwise
 MEMBERS = ("documents", "rows", "links", "relationships")
@@ -44,6 +46,60 @@ def read_json_documents(spark: SparkSession, path: str, ignored: tuple[str, ...]
     )
 
 
+RELATIONSHIP_LIST = "relationships array<struct<first string, second string, relation string>>"
+DOCUMENTS_PER_FILE = 1000
+
+
+def write_json_bundle(corpus: Corpus, path: str, per_object: int = DOCUMENTS_PER_FILE) -> None:
+    """``path``/corpus.json with objects of about ``per_object`` documents each, and the rows as ``path``/corpus_df.csv.
+
+    Every object carries the corpus' id, name and description; its metadata and relationships are in the first one.
+    """
+    spark = corpus.spark
+    docs = corpus.documents.withColumn("timestamp", F.date_format("ts", MICROSECONDS))
+    one = F.struct("id", "name", "description", "score", "text", "timestamp", "metadata")
+    parts = docs.count() // per_object + 1
+    grouped = docs.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("_part")).agg(F.collect_list(one).alias("documents"))
+    relations = [] if corpus.relationships is None else [r.asDict() for r in corpus.relationships.select("first", "second", "relation").collect()]
+    about = {**corpus.metadata, "relationships": json.dumps(relations)}
+    names = {"id": corpus.id, "name": corpus.name, "description": corpus.description}
+    shared = [F.lit(v).cast("string").alias(k) for k, v in names.items()]
+    filed = grouped.select(*shared, "documents", F.lit(None).cast("map<string,string>").alias("metadata"))
+    head = spark.range(1).select(*shared, F.array().cast(dict(filed.dtypes)["documents"]).alias("documents"),
+                                 F.create_map(*[F.lit(str(x)) for pair in about.items() for x in pair]).alias("metadata"))
+    # an object may span lines in files that others wrote, so a file holds one
+    head.unionByName(filed).write.option("maxRecordsPerFile", 1).json(os.path.join(path, "corpus.json"))
+    if corpus.rows is not None:
+        write_result(corpus.rows, os.path.join(path, "corpus_df.csv"), "csv")
+
+
+def read_json_bundle(spark: SparkSession, path: str, ignored: tuple[str, ...] = (), schema=None, row_id: str | None = None) -> Corpus:
+    """The whole corpus saved below ``path``: documents, metadata and relationships of ``corpus.json`` (a file or a folder
+    of objects), and the rows of ``corpus_df.csv`` beside it where there is one (of ``schema``, else inferred).
+
+    Relationships are a list of the metadata, as objects or as JSON text; other metadata values are kept as text.
+    """
+    source = os.path.join(path, "corpus.json")
+    raw = spark.read.schema("id string, name string, description string, metadata string").option("multiLine", True).json(source)
+    first = raw.agg(*[F.first(c, True).alias(c) for c in raw.columns]).first()
+    listed = F.coalesce(
+        F.from_json("metadata", RELATIONSHIP_LIST)["relationships"],
+        F.from_json(F.get_json_object("metadata", "$.relationships"), f"array<{RELATIONSHIP_LIST.split('array<')[1]}"),
+    )
+    relationships = raw.select(F.explode(listed).alias("r")).select("r.*")
+    about = {k: v if isinstance(v, str) else json.dumps(v) for k, v in json.loads(first["metadata"] or "{}").items() if k != "relationships"}
+    rows_path = os.path.join(path, "corpus_df.csv")
+    rows = read_csv(spark, rows_path, schema, row_id) if _exists(spark, rows_path) else None
+    documents = read_json_documents(spark, source, ignored)
+    return Corpus(first["id"] or "corpus", documents, rows, None, relationships, first["name"], first["description"], about)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, in whatever store it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Result table as csv (with header), json records or parquet."""
     if fmt == "csv":
