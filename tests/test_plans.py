@@ -10,6 +10,7 @@ from textweave.operators.linkage import top_similar
 from textweave.plans import ordering
 from textweave.plans.concordance import concordant_pairs
 from textweave.plans.knn import nearest_neighbours
+from textweave.plans import skew
 from textweave.plans.skew import salted_join
 from textweave.plans.timejoin import nearest_times, window_join
 
@@ -57,6 +58,26 @@ def test_salted_join_equals_plain_join(spark, how):
     assert sorted(map(tuple, got), key=str) == want
 
 
+def test_grid_join_equals_plain_join(spark):
+    """A key hot on both sides: every pair once, and no cell with more than the given rows of a side (but for the hash's spread)."""
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 11}") for i in range(900)] + [(-1, None)], "a int, k string")
+    right = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}") for i in range(700)] + [(-1, None)], "b int, k string")
+    want = sorted(map(tuple, left.join(right, "k").select("k", "a", "b").collect()))
+    joined = skew.grid_join(left, right, ["k"], ["a"], ["b"], rows_per_salt=50)
+    assert sorted(map(tuple, joined.select("k", "a", "b").collect())) == want
+    hot = skew.hot_keys(left, ["k"], 50).collect()
+    assert [(r.k, r._salts) for r in hot if r.k == "hot"] == [("hot", 12)]
+    lines = left.filter("k = 'hot'").groupBy(F.pmod(F.xxhash64("a"), F.lit(12))).count().agg(F.max("count")).first()[0]
+    assert lines < 100
+
+
+def test_window_join_hot_on_both_sides(spark):
+    left = [(i, 5000) for i in range(150)] + [(i, i * 40) for i in range(150, 200)]
+    right = [(i, 5010) for i in range(200)] + [(i, i * 31) for i in range(200, 260)]
+    df = window_join(spark.createDataFrame(left, "a int, _t bigint"), spark.createDataFrame(right, "b int, _t bigint"), 70, 30, "b", rows_per_salt=40)
+    assert sorted((r.a, r.b, r._gap) for r in df.collect()) == sorted((a, b, u - t) for a, t in left for b, u in right if t - 70 <= u <= t + 30)
+
+
 def test_nearest_times_ties_and_hot_instant(spark):
     rng = random.Random(3)
     rows = [(rng.randint(0, 5000) * 10, i) for i in range(300)] + [(20_000, 1000 + i) for i in range(150)]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textweave.functions.metadata import keyword_list, prefixed_scalars
 from textweave.functions.time import period_label, period_start
+from textweave.plans.lineage import cut_lineage
 
 # Id columns looked up in this order, node labels, length of the text kept on a node.
 ID_COLUMNS = ("id", "ID", "doc_id", "document_id", "index")
@@ -164,16 +165,54 @@ class Graph:
     edges: DataFrame
 
 
+def _core(documents: DataFrame, rows: DataFrame | None) -> DataFrame:
+    """What nodes and edges need of the documents, one record each: keywords as a list, the cluster, and whether a row has its id."""
+    listed = F.col("keywords")
+    if dict(documents.dtypes)["keywords"] == "string":
+        listed = F.filter(keyword_list("keywords"), lambda k: k != "")
+    core = documents.select(
+        "id", "name", F.substring("text", 1, TEXT_LENGTH).alias("text"), "metadata",
+        F.array_distinct(F.coalesce(listed, F.array().cast("array<string>"))).alias("keywords"),
+        F.try_element_at("metadata", F.lit("cluster")).alias("cluster"),
+    )
+    if rows is None:
+        return core.withColumn("has_row", F.lit(False))
+    ids = _ids(rows).withColumn("has_row", F.lit(True))
+    return core.join(ids, "id", "left").withColumn("has_row", F.coalesce("has_row", F.lit(False)))
+
+
+def _listed_edges(core: DataFrame) -> DataFrame:
+    """All edges that a document's record tells by itself."""
+    edge = lambda source, target, label: F.struct(source.alias("source"), target.alias("target"), F.lit(label).alias("label"))
+    keyword = lambda k: F.concat(F.lit("keyword:"), k)
+    record, cluster = _named("metadata", "id"), _named("cluster", "cluster")
+    some = lambda condition, listed: F.when(condition, listed).otherwise(F.array().cast("array<struct<source:string,target:string,label:string>>"))
+    in_cluster, has_row = F.col("cluster").isNotNull(), F.col("has_row")
+    parts = [
+        F.transform("keywords", lambda k: edge(F.col("id"), keyword(k), "HAS_KEYWORD")),
+        some(in_cluster, F.array(edge(F.col("id"), cluster, "BELONGS_TO_CLUSTER"))),
+        some(has_row, F.transform("keywords", lambda k: edge(keyword(k), record, "KEYWORD_HAS_METADATA"))),
+        some(in_cluster & has_row, F.array(edge(cluster, record, "CLUSTER_HAS_METADATA"))),
+    ]
+    return core.select(F.explode(F.concat(*parts)).alias("e")).select("e.source", "e.target", "e.label", _empty().alias("properties"))
+
+
 def build_graph(documents: DataFrame, rows: DataFrame | None = None, require_keywords: bool = True) -> Graph:
-    """All nodes and edges. Without a single keyword there is nothing to build."""
-    if require_keywords and document_keywords(documents).limit(1).count() == 0:
+    """All nodes and edges, as written tables. Without a single keyword there is nothing to build.
+
+    Documents and rows are read once each: a record per document is written first, and everything is told from it.
+    """
+    rows = None if rows is None or id_column(rows) is None else cut_lineage(rows)
+    core = cut_lineage(_core(documents, rows))
+    if require_keywords and core.filter(F.size("keywords") > 0).isEmpty():
         raise ValueError("no document has keywords; assign them first")
-    nodes = [document_nodes(documents), keyword_nodes(documents), cluster_nodes(documents)]
-    edges = [keyword_edges(documents), cluster_edges(documents), cluster_keyword_edges(documents)]
-    if rows is not None and id_column(rows):
+    pairs = core.filter(F.col("cluster").isNotNull()).select("cluster", F.explode("keywords").alias("keyword")).distinct()
+    nodes = [document_nodes(core), keyword_nodes(core), cluster_nodes(core)]
+    edges = [_listed_edges(core), _edge(pairs, _named("cluster", "cluster"), _named("keyword", "keyword"), "CLUSTER_HAS_KEYWORD")]
+    if rows is not None:
         nodes.append(metadata_nodes(rows))
-        edges += [metadata_edges(rows), keyword_metadata_edges(documents, rows), cluster_metadata_edges(documents, rows)]
-    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+        edges.append(metadata_edges(rows))
+    union = lambda parts: cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
     return Graph(union(nodes), union(edges))
 
 

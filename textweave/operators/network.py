@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textweave.plans.lineage import cut_lineage
-from textweave.plans.skew import salted_join
+from textweave.plans.skew import ROWS_PER_SALT, grid_join, salted_join
 
 
 def cooccurrence_edges(lemmas: DataFrame, window: int = 2, tokens: str = "lemmas") -> DataFrame:
@@ -46,13 +46,13 @@ def _gram_length(min_similarity: float, longest: int = 5) -> int:
     return 1
 
 
-def similarity_edges(texts: DataFrame, min_similarity: float = 0.8, text: str = "sentence") -> DataFrame:
+def similarity_edges(texts: DataFrame, min_similarity: float = 0.8, text: str = "sentence", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """(source, target, weight): distinct texts whose edit similarity is at least ``min_similarity`` (above 0.5).
 
     Exact without comparing all pairs. e edits change at most q*e of the q-grams of a text, so with all grams in one
     fixed order two texts within e edits share one of their first q*e + 1 grams. Rare grams come first in that order:
     a phrase that many texts share is met last and hardly ever becomes a join key. Texts only meet others of similar
-    length, and a gram that is still frequent is salted.
+    length, and a gram that is still frequent, among long and short ones alike, is cut into a grid of salts.
     """
     if not 0.5 < min_similarity <= 1:
         raise ValueError("min_similarity must be above 0.5 and at most 1")
@@ -83,7 +83,7 @@ def similarity_edges(texts: DataFrame, min_similarity: float = 0.8, text: str =
     )
     shorter = first.select(F.explode(levels).alias("level"), "gram", "k", F.col("id").alias("short_id"), F.col("n").alias("short_n"))
     candidates = (
-        salted_join(longer, shorter, ["level", "gram", "k"], ["long_id"])
+        grid_join(longer, shorter, ["level", "gram", "k"], ["long_id"], ["short_id"], rows_per_salt)
         .filter((F.col("short_n") < F.col("long_n")) | ((F.col("short_n") == F.col("long_n")) & (F.col("short_id") < F.col("long_id"))))
         .filter(F.col("long_n") - F.col("short_n") <= edits(F.col("long_n")))
         .select("short_id", "long_id").distinct()

@@ -52,3 +52,25 @@ def salted_join(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     )
     return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
+
+
+def grid_join(
+    left: DataFrame, right: DataFrame, keys: list[str], left_by: list[str], right_by: list[str], rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
+    """Inner equi-join in which keys that are hot on either side, or on both, are cut into a grid of salts.
+
+    A key with n rows on the left and m on the right becomes ceil(n / rows_per_salt) x ceil(m / rows_per_salt) cells: a
+    left row goes to the cells of its line, a right row to those of its column, so every pair meets once and no cell has
+    more than about ``rows_per_salt`` rows of a side. ``left_by`` and ``right_by`` name columns whose hash picks the line
+    and the column.
+    """
+    lines = hot_keys(left, keys, rows_per_salt).withColumnRenamed("_salts", "_lines")
+    columns = hot_keys(right, keys, rows_per_salt).withColumnRenamed("_salts", "_columns")
+    hot = F.broadcast(lines.join(columns, keys, "full"))  # at most 2 * HOT_KEYS rows
+    many = lambda c: F.coalesce(F.col(c), F.lit(1))
+    own = lambda by, c: F.pmod(F.xxhash64(*by), many(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), many(c) - 1))
+    a = left.join(hot, keys, "left").withColumns({"_line": own(left_by, "_lines")}).withColumn("_column", every("_columns"))
+    b = right.join(hot, keys, "left").withColumns({"_column": own(right_by, "_columns")}).withColumn("_line", every("_lines"))
+    counts = ["_lines", "_columns"]
+    return a.drop(*counts).join(b.drop(*counts), [*keys, "_line", "_column"]).drop("_line", "_column")

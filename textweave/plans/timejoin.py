@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textweave.plans.ordering import add_bucket, cut_points
-from textweave.plans.skew import salted_join
+from textweave.plans.skew import ROWS_PER_SALT, grid_join
 
 
 def micros(column: Column | str) -> Column:
@@ -15,25 +15,25 @@ def micros(column: Column | str) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
-def window_join(left: DataFrame, right: DataFrame, before: int, after: int, right_id: str) -> DataFrame:
+def window_join(
+    left: DataFrame, right: DataFrame, before: int, after: int, right_id: str, rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame:
     """Pairs with right._t in [left._t - before, left._t + after] (microseconds, column ``_t`` on both sides).
 
     The right side sits in one bucket of width before+after, the left side in the two or three it can reach,
-    so no pair appears twice. A bucket that holds too many right rows is salted.
+    so no pair appears twice. A bucket with many rows on either side, or on both, is cut into a grid of salts.
     """
     width = max(1, before + after)
     bucket = lambda c: F.floor(c / F.lit(width)).cast("bigint")
     reach = F.sequence(bucket(F.col("_t") - before), bucket(F.col("_t") + after))
-    lefts = left.withColumnRenamed("_t", "_lt").withColumn("_t", F.col("_lt")).withColumn(
-        "_bucket", F.explode(reach)
-    ).drop("_t")
+    lefts = left.withColumn("_lt", F.col("_t")).withColumn("_bucket", F.explode(reach))
     rights = right.withColumnRenamed("_t", "_rt").withColumn("_bucket", bucket(F.col("_rt")))
     gap = F.col("_rt") - F.col("_lt")
     return (
-        salted_join(rights, lefts, ["_bucket"], [right_id])
+        grid_join(rights, lefts, ["_bucket"], [right_id], left.columns, rows_per_salt)
         .filter((gap >= -before) & (gap <= after))
         .withColumn("_gap", gap)
-        .drop("_bucket", "_lt", "_rt")
+        .drop("_bucket", "_t", "_lt", "_rt")
     )
 
 

@@ -146,15 +146,10 @@ WHITE_TERMS = DOCS + f""", terms AS (
 def keyworded(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their three commonest words as ``keywords`` and the language as cluster."""
     docs = documents(spark, folder)
-    from pyspark.sql import Window
-
-    counted = docs.select("id", F.inline(token_counts(words("text")))).withColumnRenamed("token", "w")
-    best = Window.partitionBy("id").orderBy(F.col("n").desc(), "w")
-    top = counted.withColumn("r", F.row_number().over(best)).filter("r <= 3")
-    lists = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "w"))).alias("k"))
-    named = lists.select("id", F.transform("k", lambda x: x["w"]).alias("keywords"))
+    ranked = F.array_sort(F.transform(token_counts(words("text")), lambda c: F.struct((-c["n"]).alias("less"), c["token"].alias("w"))))
+    top = F.transform(F.slice(ranked, 1, 3), lambda c: c["w"])
     cluster = F.map_concat("metadata", F.create_map(F.lit("cluster"), F.try_element_at("metadata", F.lit("lang"))))
-    return docs.join(named, "id", "left").withColumn("metadata", cluster)
+    return docs.withColumn("keywords", F.when(F.size(top) > 0, top)).withColumn("metadata", cluster)
 
 
 KEYWORDED = DOCS + f""", word_list AS (
