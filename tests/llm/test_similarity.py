@@ -137,5 +137,7 @@ def test_words_of_one_polynomial_hash_are_told_apart():
         turn = [turn[0] + turn[1], turn[1] + turn[0]]
     hashes, _ = decontam.token_hashes(np.frombuffer(" ".join(turn).encode(), np.uint8))
     assert hashes[0] != hashes[1]
+    huge = [t.encode() * 3 for t in turn] + [b"x" * 4096, b"x" * 4097, b"x" * 8, b"x" * 9, b"\x00", b"\x00\x00"]
+    assert len(set(decontam.token_hashes(np.frombuffer(b" ".join(huge), np.uint8))[0].tolist())) == len(huge)
     same, _ = decontam.token_hashes(np.frombuffer(f"{turn[0].upper()} x {turn[0]}".encode(), np.uint8))
     assert same[0] == same[2] == hashes[0]

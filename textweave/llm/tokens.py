@@ -22,7 +22,7 @@ STEMS = 300_000  # the same for word stems, which are Python objects
 TEXT_BYTES = 1 << 20
 JOINED = 500  # stems that are encoded as one text
 
-HASH, CHECK = WordHash(11), WordHash(12)  # independent of each other
+HASH, CHECK = WordHash(11), WordHash(12, bare=True)  # independent of each other
 
 
 def public_file(name: str) -> str:
