@@ -9,6 +9,7 @@ the file splits at white space.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
@@ -81,21 +82,25 @@ class Encoder:
         if len(self.known) + len(words) > MEMORY:
             self._forget()
         # a closing comma or full stop after a letter is a pre-token of its own, and case does not count: fewer stems
-        parts = []
+        stems, tails = [], []
         for w in words:
-            tail = w[-1] if len(w) > 1 and w[-1] in ",." and w[-2].isalpha() and w[-2] < "ƀ" else ""
-            stem = w[: len(w) - len(tail)]
-            stem = stem.lower() if stem.isascii() and "<|" not in stem else stem
-            parts.append((stem, tail))
-        fresh = list({p for pair in parts for p in pair if p and p not in self.stems})
-        self.stems.update(zip(fresh, self._stems(fresh)))
-        lists = [self.stems[a] + (self.stems[b] if b else []) for a, b in parts]
-        if len(self.stems) > STEMS:
+            tail = w[-1]
+            if (tail == "," or tail == ".") and len(w) > 1 and "ƀ" > w[-2] and w[-2].isalpha():
+                w = w[:-1]
+            else:
+                tail = ""
+            stems.append(w.lower() if w.isascii() and "<|" not in w else w)
+            tails.append(tail)
+        known = self.stems
+        fresh = [s for s in {*stems, *tails} if s and s not in known]
+        known.update(zip(fresh, self._stems(fresh)))
+        lists = [known[a] + known[b] if b else known[a] for a, b in zip(stems, tails)]
+        if len(known) > STEMS:
             self.stems = {}
-        sizes = np.array([len(x) for x in lists], np.int64)
+        sizes = np.array(list(map(len, lists)), np.int64)
         slots = len(self.start) - 1 + np.arange(len(words))
         self.start = np.r_[self.start, self.start[-1] + np.cumsum(sizes)]
-        self.ids = np.r_[self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))]
+        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))]
         known, slot, check = np.r_[self.known, hashes], np.r_[self.slot, slots], np.r_[self.check, checks]
         order = np.argsort(known, kind="stable")
         self.known, self.slot, self.check = known[order], slot[order], check[order]
