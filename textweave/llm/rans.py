@@ -28,6 +28,7 @@ from textweave.llm.tokens import VOCABULARY, encoder
 BITS = 20
 LANES = 1024
 CHECK_STEPS = 512
+ROWS = 500  # documents encoded at once
 BLOCK_TOKENS = 1 << 19
 END_ID = 2
 LOW = np.uint64(1 << 31)
@@ -165,16 +166,18 @@ def tokenized(docs: DataFrame, file: str = VOCABULARY, end_id: int = END_ID) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, at = encoder(file).encode(batch.column("text").to_pylist())
-            ids = ids.astype("<u4")
-            end = np.array([end_id], "<u4")
-            parts = [packed(np.r_[ids[a:b], end]) for a, b in zip(at, at[1:])]
-            n = len(parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(nth, nth + n)), batch.column("doc_id"), pa.array(np.diff(at) + 1), pa.array(parts, pa.binary())],
-                ["shard", "nth", "doc_id", "n_tokens", "ids"],
-            )
-            nth += n
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                ids, at = encoder(file).encode(part.column("text").to_pylist())
+                ids = ids.astype("<u4", copy=False)
+                end = np.array([end_id], "<u4")
+                parts = [packed(np.r_[ids[a:b], end]) for a, b in zip(at, at[1:])]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(nth, nth + n)), part.column("doc_id"), pa.array(np.diff(at) + 1), pa.array(parts, pa.binary())],
+                    ["shard", "nth", "doc_id", "n_tokens", "ids"],
+                )
+                nth += n
 
     kind = dict(docs.dtypes)["doc_id"]
     return written(map_arrow(ordered, encode, f"shard int, nth bigint, doc_id {kind}, n_tokens bigint, ids binary"), "token-ids")

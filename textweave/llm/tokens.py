@@ -18,7 +18,7 @@ from textweave.llm.wordhash import WordHash, word_spans
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "word_bpe_49k.json"
-MEMORY = 2_000_000  # words a worker remembers; about 80 MB
+MEMORY = 1_000_000  # words a worker remembers; about 45 MB
 STEMS = 300_000  # the same for word stems, which are Python objects
 TEXT_BYTES = 1 << 20
 JOINED = 500  # stems that are encoded as one text
