@@ -126,7 +126,10 @@ def summaries(df: DataFrame, column: str, probabilities: list[float], groups: li
     cells = source.select(*keys, value.alias("_v")).filter(F.col("_v").isNotNull())
     ends = told.select(*keys, F.array_distinct("_cuts").alias("_cuts"))
     ends = ends if ends.limit(GROUPS_HELD + 1).count() > GROUPS_HELD else F.broadcast(ends)
-    bucketed = cells.join(ends, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    # how many cut points lie below the value, by halving: a place beyond the last one is null and not below
+    halves = F.array(*[F.lit(BUCKETS >> i) for i in range(1, BUCKETS.bit_length())])
+    below = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col("_v"), at + step).otherwise(at))
+    bucketed = cells.join(ends, keys).withColumn("_b", below).drop("_cuts")
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = bucketed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_t")).withColumn("_low", F.coalesce(F.sum("_t").over(across), F.lit(0)))
     counts = cut_lineage(counts)  # at most BUCKETS rows a group
