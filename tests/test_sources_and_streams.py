@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -119,3 +120,57 @@ def test_streamed_window_links_equal_batch(spark, small, tmp_path):
 
 def test_every_event_is_read(spark, small):
     assert event_rows(spark, small).count() == table(spark, small, "events").count()
+
+
+def _talk(spark, rows):
+    return spark.createDataFrame(rows, "id string, text string, ts timestamp_ntz, topics array<string>")
+
+
+def test_streamed_topics_rank_listed_ones_and_leave_late_documents(spark, tmp_path):
+    day = lambda m, n: datetime(2024, m, n, 12)
+    first = [
+        ("1", "apple apple berry", day(1, 2), None), ("2", "Cherry berry that", day(1, 3), None), ("3", "words alone", day(1, 9), None),
+        ("4", "more words", day(1, 10), ["b", "a", "b", None]), ("5", "word words", day(1, 16), []), ("6", "undated", None, None),
+    ]
+    parts = [_talk(spark, first), _talk(spark, [("7", "later", day(3, 1), None)]), _talk(spark, [("8", "apple cherry", day(1, 2), None), ("9", "last", day(6, 1), None)])]
+    source, out, state = (str(tmp_path / n) for n in ("docs", "out", "state"))
+
+    def run():
+        stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(source)
+        counts = windows.topic_count_stream(stream, ["that"], "W", "1 day", "topics")
+        windows.write_top_topics(counts, out, state, 2).awaitTermination(120)
+        return sorted((r.period_start.isoformat(), r["rank"], r.topic, r.n) for r in windows.read_top_topics(spark, out).collect())
+
+    closed = [("2024-01-01", 1, "apple", 2), ("2024-01-01", 2, "berry", 2), ("2024-01-08", 1, "b", 2), ("2024-01-08", 2, "a", 1)]
+    for i, part in enumerate(parts):  # each run goes on from the state of the last
+        part.coalesce(1).write.mode("append").parquet(source)
+        got = run()
+        if i == 1:
+            assert got == closed
+    # document 8 came too late for its week, whose result stands
+    assert got == [*closed, ("2024-02-26", 1, "later", 1)]
+    batch = temporal.top_topics(_talk(spark, first), ["that"], "W", 2, "topics").collect()
+    assert sorted((r.period[:10], r["rank"], r.topic, r.n) for r in batch) == closed
+    # a micro-batch whose end was not recorded is done again: the rows are there once
+    commits = tmp_path / "state" / "commits"
+    last = str(max(int(f.name) for f in commits.iterdir() if f.name.isdigit()))
+    for name in (last, f".{last}.crc"):
+        (commits / name).unlink(missing_ok=True)
+    assert run() == got
+
+
+def test_streamed_topics_of_nothing(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    stream = spark.readStream.schema(_talk(spark, []).schema).parquet(str(tmp_path / "docs"))
+    windows.write_top_topics(windows.topic_count_stream(stream, []), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
+    assert windows.read_top_topics(spark, str(tmp_path / "out")).collect() == []
+
+
+def test_streamed_sentiment_has_the_median(spark, tmp_path):
+    rows = [(str(i), datetime(2024, 1, 1 + i // 4), {"sentiment": s}) for i, s in enumerate(["pos", "neg", "neg", "neutral", "pos", "pos", "neg", None, "pos"])]
+    docs = spark.createDataFrame([*rows, ("z", datetime(2024, 2, 1), {"sentiment": "pos"})], "id string, ts timestamp_ntz, metadata map<string,string>")
+    docs.write.parquet(str(tmp_path / "d"))
+    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "d"))
+    got = {r.period_start.isoformat(): (r.median, r.document_count) for r in _drain(windows.sentiment_stream(stream), "trend", tmp_path).collect()}
+    want = {r.period: (r.sentiment_score, r.document_count) for r in temporal.sentiment_trend(docs, "D", "median").collect() if r.period < "2024-02"}
+    assert got == want and got["2024-01-01"] == (-0.5, 4)

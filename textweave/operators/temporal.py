@@ -59,16 +59,19 @@ def sentiment_trend(documents: DataFrame, period: str = "D", how: str = "mean",
     return with_label(trend, period)
 
 
+def own_topics(text: str, stop_words: Sequence[str]) -> Column:
+    """Words of a text that can be topics, repeats included."""
+    stop = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
+    return F.filter(whitespace_tokens(text), lambda w: (F.length(w) >= SHORTEST_TOPIC) & ~F.array_contains(stop, w))
+
+
 def topic_counts(documents: DataFrame, stop_words: Sequence[str], period: str = "W", topics: str | None = None) -> DataFrame:
     """Topic occurrences per period: listed topics where any document of the period has them, else its words.
 
     ``topics`` names an ARRAY<STRING> column; ``stop_words``, lower case, never count as topics.
     """
     listed = F.col(topics) if topics else F.lit(None).cast("array<string>")
-    stop = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
-    own = F.filter(
-        whitespace_tokens("text"), lambda w: (F.length(w) >= SHORTEST_TOPIC) & ~F.array_contains(stop, w)
-    )
+    own = own_topics("text", stop_words)
     dated = documents.filter(F.col("ts").isNotNull()).select(
         period_start("ts", period).alias("_start"), listed.alias("listed"), "text"
     )
@@ -76,7 +79,7 @@ def topic_counts(documents: DataFrame, stop_words: Sequence[str], period: str =
     if not topics:
         return dated.select("_start", F.explode(own).alias("topic")).groupBy("_start", "topic").agg(count)
     with_list = dated.filter(F.col("listed").isNotNull()).select("_start").distinct()
-    named = dated.select("_start", F.explode("listed").alias("topic")).groupBy("_start", "topic").agg(count)
+    named = dated.select("_start", F.explode(F.array_compact("listed")).alias("topic")).groupBy("_start", "topic").agg(count)
     words = (
         dated.join(with_list, "_start", "left_anti")
         .select("_start", F.explode(own).alias("topic")).groupBy("_start", "topic").agg(count)

@@ -47,7 +47,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a derived time (missing for every 50th) and metadata lang, source, n_chars."""
-    raw = table(spark, folder, "documents")
+    return documents_of(table(spark, folder, "documents"))
+
+
+def document_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same read as a stream of files."""
+    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
+    # a pattern, because a stream takes a plain path for a directory and the table may be one file
+    return documents_of(spark.readStream.schema(schema).parquet(f"{folder}/{{documents}}.parquet"))
+
+
+def documents_of(raw: DataFrame) -> DataFrame:
     minutes = (F.col("doc_id") * 37) % 43200
     ts = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
     return as_documents(

@@ -12,6 +12,7 @@ from textweave.registry.frames import (
     DOCS,
     EVENT_ROWS,
     KEYWORDED,
+    document_stream,
     documents,
     event_rows,
     keyworded,
@@ -21,6 +22,8 @@ from textweave.registry.frames import (
     sql_words,
     table,
 )
+from textweave.session import new_folder
+from textweave.streaming import windows
 
 
 @query("jn01_link_by_id", "SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, l.doc_id AS row_id, 'id' AS link_type FROM documents d JOIN labels l USING (doc_id)")
@@ -237,11 +240,12 @@ def temporal_summary(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith(("_mean", "_std"))})
 
 
-def _labelled(spark, d):
-    """Documents with a sentiment label taken from the quality label."""
+def _labelled(spark, d, docs=None):
+    """Documents, a stream or a table, with a sentiment label taken from the quality label."""
     word = F.when(F.col("quality") == 1, "pos").when(F.col("toxic") == 1, "neg").otherwise("neutral")
     labels = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), word.alias("s"))
-    return documents(spark, d).join(labels, "id").withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("sentiment"), "s"))).drop("s")
+    docs = documents(spark, d) if docs is None else docs
+    return docs.join(labels, "id").withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("sentiment"), "s"))).drop("s")
 
 
 SCORED = f"""{DOCS}, scored AS (
@@ -374,7 +378,7 @@ def _by_keyword(spark, d):
 
 @query(
     "fea10_frame_by_keyword",
-    f"""WITH {KEYWORDED}, talks AS (SELECT conv_id * 1000 + turn AS row_id, turn, length(text) AS size, text FROM conversations),
+    f"""WITH {KEYWORDED}, talks AS (SELECT conv_id * 1000 + turn AS row_id, turn, CAST(length(text) AS INTEGER) AS size, text FROM conversations),
 tw AS (SELECT DISTINCT row_id, unnest({sql_words('text')}) AS keyword FROM talks),
 votes AS (SELECT tw.row_id, d.n_chars AS value, count(*) AS c, min(d.num) AS first_id FROM tw JOIN keywords k USING (keyword) JOIN docs d ON d.id = k.id GROUP BY 1, 2),
 best AS (SELECT row_id, sum(CAST(value AS DOUBLE) * c) / sum(c) AS value FROM votes GROUP BY 1)
@@ -426,3 +430,40 @@ def linked_regression(spark, d):
 def linked_net(spark, d):
     made = ml.through_links(ml.neural_net, documents(spark, d), event_rows(spark, d), _by_embedding(spark, d), "lang", ["value", "k"], iterations=10)
     return ml.accuracy(made[1])
+
+
+# -- replays of a table as a stream --------------------------------------------------------------------------------
+
+# periods that end before the last document's time less the watermark's delay of a day
+PASSED = "{0} + {1} <= (SELECT max(ts) FROM docs) - INTERVAL 1 DAY"
+
+
+@query(
+    "agg03_streamed_topics",
+    f"""WITH {DOCS}, cells AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS period_start, unnest({sql_white('text')}) AS topic FROM docs WHERE ts IS NOT NULL),
+counted AS (SELECT period_start, topic, count(*) AS n FROM cells WHERE length(topic) > 3 AND topic NOT IN ({STOPS}) GROUP BY 1, 2)
+SELECT period_start, CAST(row_number() OVER (PARTITION BY period_start ORDER BY n DESC, topic) AS INTEGER) AS rank, topic, n FROM counted
+WHERE {PASSED.format('period_start', 'INTERVAL 7 DAY')}
+QUALIFY row_number() OVER (PARTITION BY period_start ORDER BY n DESC, topic) <= 5""",
+)
+def streamed_topics(spark, d):
+    folder = new_folder(spark, "streamed-topics")
+    counts = windows.topic_count_stream(document_stream(spark, d), PASSED_OVER, "W")
+    windows.write_top_topics(counts, folder, new_folder(spark, "stream-state"), 5).awaitTermination()
+    return windows.read_top_topics(spark, folder)
+
+
+@query(
+    "agg02_streamed_sentiment",
+    f"""WITH {DOCS}, scored AS (
+  SELECT CAST(ts AS DATE) AS period_start, ts, CAST(CASE WHEN quality = 1 THEN 1 WHEN toxic = 1 THEN -1 ELSE 0 END AS DOUBLE) AS s
+  FROM docs JOIN labels ON num = doc_id WHERE ts IS NOT NULL)
+SELECT period_start, round(avg(s), 6) AS mean, median(s) AS median, min(s) AS min, max(s) AS max, count(*) AS document_count FROM scored
+WHERE {PASSED.format('period_start', 'INTERVAL 1 DAY').replace('docs', 'scored')} GROUP BY period_start""",
+)
+def streamed_sentiment(spark, d):
+    folder = new_folder(spark, "streamed-sentiment")
+    trend = windows.sentiment_stream(_labelled(spark, d, document_stream(spark, d)), "D")
+    writer = trend.writeStream.format("parquet").option("path", folder).option("checkpointLocation", new_folder(spark, "stream-state"))
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(trend.schema).parquet(folder).withColumn("mean", F.round("mean", 6))

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from textweave.functions.metadata import sentiment_score
+from textweave.operators.temporal import own_topics
 
 # Window length and offset; the epoch is a Thursday, weeks start on Monday.
 WINDOWS = {"D": ("1 day", "0 days"), "W": ("7 days", "4 days")}
+TOP_TOPICS = "period_start date, rank int, topic string, n bigint"
 
 
-def _windowed(stream: DataFrame, time_column: str, period: str, delay: str):
+def _timed(stream: DataFrame, time_column: str, delay: str) -> DataFrame:
+    timed = stream.filter(F.col(time_column).isNotNull()).withColumn("_time", F.col(time_column).cast("timestamp"))
+    return timed.withWatermark("_time", delay)
+
+
+def _window(period: str) -> Column:
     if period not in WINDOWS:
         raise ValueError(f"period must be one of {sorted(WINDOWS)} on a stream")
     length, offset = WINDOWS[period]
-    timed = stream.filter(F.col(time_column).isNotNull()).withColumn("_time", F.col(time_column).cast("timestamp"))
-    return timed.withWatermark("_time", delay).groupBy(F.window("_time", length, startTime=offset))
+    return F.window("_time", length, startTime=offset)
+
+
+def _windowed(stream: DataFrame, time_column: str, period: str, delay: str):
+    return _timed(stream, time_column, delay).groupBy(_window(period))
 
 
 def _starts(df: DataFrame) -> DataFrame:
@@ -39,15 +52,74 @@ def document_count_stream(documents: DataFrame, period: str = "W", delay: str =
 
 
 def sentiment_stream(documents: DataFrame, period: str = "D", delay: str = "1 day", field: str = "sentiment") -> DataFrame:
-    """Mean, least and greatest sentiment score per period."""
+    """Mean, median, least and greatest sentiment score per period.
+
+    Scores take three values, so the state of the exact median is three counters per open period.
+    """
     scored = documents.withColumn("_s", sentiment_score(F.try_element_at("metadata", F.lit(field)))).filter(F.col("_s").isNotNull())
     return _starts(
         _windowed(scored, "ts", period, delay).agg(
-            F.avg("_s").alias("mean"), F.min("_s").alias("min"), F.max("_s").alias("max"), F.count(F.lit(1)).alias("document_count")
+            F.avg("_s").alias("mean"), F.median("_s").alias("median"), F.min("_s").alias("min"), F.max("_s").alias("max"),
+            F.count(F.lit(1)).alias("document_count"),
         )
     )
 
 
+def topic_count_stream(
+    documents: DataFrame, stop_words: Sequence[str], period: str = "W", delay: str = "1 day", topics: str | None = None
+) -> DataFrame:
+    """(period_start, listed, topic, n) of every period that the watermark has passed; the state is one counter per topic.
+
+    ``topics`` names an ARRAY<STRING> column of listed topics. ``listed`` tells those from a text's own words; a null topic
+    counts the lists, so that an empty one is known too. Documents later than the watermark are left out.
+    """
+    own = F.transform(own_topics("text", stop_words), lambda w: F.struct(F.lit(False).alias("listed"), w.alias("topic")))
+    if topics:
+        marker = F.array(F.struct(F.lit(True).alias("listed"), F.lit(None).cast("string").alias("topic")))
+        named = F.transform(topics, lambda t: F.struct(F.lit(True).alias("listed"), t.alias("topic")))
+        own = F.when(F.col(topics).isNotNull(), F.concat(marker, F.filter(named, lambda e: e["topic"].isNotNull()))).otherwise(own)
+    found = _timed(documents, "ts", delay).select("_time", F.explode(own).alias("e"))
+    counted = found.groupBy(_window(period), F.col("e.listed").alias("listed"), F.col("e.topic").alias("topic"))
+    return _starts(counted.agg(F.count(F.lit(1)).alias("n")))
+
+
+def rank_closed(counts: DataFrame, n: int = 5) -> DataFrame:
+    """(period_start, rank, topic, n) from a batch of closed periods: listed topics where a period has any, else words.
+
+    One shuffle by period of at most n + 1 rows per period and task: lists come first, and words go only where none came.
+    """
+    by_period = Window.partitionBy("period_start")
+    order = [F.col("listed").desc(), F.col("topic").isNull().desc(), F.col("n").desc(), "topic"]
+    best = counts.withColumn("rank", F.row_number().over(by_period.orderBy(*order))).filter(F.col("rank") <= n + 1)
+    # the first row of a period with lists is their counter, which has no topic
+    has_list = F.max("listed").over(by_period)
+    told = best.withColumn("_list", has_list).filter((F.col("listed") == F.col("_list")) & F.col("topic").isNotNull())
+    place = F.col("rank") - F.col("_list").cast("int")
+    return told.filter(place <= n).select("period_start", place.alias("rank"), "topic", "n")
+
+
+def write_top_topics(counts: DataFrame, folder: str, state: str, n: int = 5, **trigger) -> StreamingQuery:
+    """Start writing the ``n`` best topics of closed periods below ``folder``; ``state`` holds the stream's checkpoint.
+
+    ``counts`` comes from `topic_count_stream`. All rows of a period leave the state in one micro-batch, which can therefore rank
+    them. Each micro-batch has a folder of its own that a repetition after a failure overwrites: no period is lost or there
+    twice. ``trigger`` is that of ``DataStreamWriter.trigger``; all that is there, once, by default.
+    """
+
+    def rank(batch: DataFrame, number: int) -> None:
+        rank_closed(batch, n).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    # a stream without a file has no micro-batch, and its result is empty
+    counts.sparkSession.createDataFrame([], TOP_TOPICS).write.mode("ignore").parquet(f"{folder}/batch=-1")
+    writer = counts.writeStream.foreachBatch(rank).outputMode("append").option("checkpointLocation", state)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_top_topics(spark, folder: str) -> DataFrame:
+    """What `write_top_topics` has written so far."""
+    return spark.read.schema(TOP_TOPICS).parquet(folder).drop("batch")
+
+
 def window_link_stream(
     documents: DataFrame, rows: DataFrame, before: str = "5 minutes", after: str = "5 minutes", time_column: str = "ts", delay: str = "10 minutes"
 ) -> DataFrame:
