@@ -94,6 +94,43 @@ def embedding_links(spark, d):
     return linkage.link_by_embedding(_text_vectors(spark, d), rows, top_k=3, threshold=0.2)
 
 
+# event numbers filled with their mean and scaled by the population deviation of the filled column, and vectors as long
+SCALED = EVENT_ROWS + """, filled AS (
+  SELECT row_id, coalesce(CAST(value AS DOUBLE), avg(value) OVER ()) AS a, coalesce(CAST(user_id AS DOUBLE), avg(user_id) OVER ()) AS b, coalesce(CAST(k AS DOUBLE), avg(k) OVER ()) AS c FROM event_rows),
+moments AS (SELECT avg(a) AS ma, stddev_pop(a) AS da, avg(b) AS mb, stddev_pop(b) AS db, avg(c) AS mc, stddev_pop(c) AS dc FROM filled),
+row_vectors AS (SELECT row_id, [(a - ma) / da, (b - mb) / db, (c - mc) / dc] AS p FROM filled, moments),
+text_vectors AS (SELECT CAST(vec_id AS VARCHAR) AS doc_id, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings)"""
+
+
+def _short_vectors(spark, d):
+    return _text_vectors(spark, d).withColumn("vec", F.slice("vec", 1, 3))
+
+
+@query(
+    "jn05_links_of_given_vectors",
+    f"""WITH {SCALED}, s AS (SELECT doc_id, row_id, list_cosine_similarity(q, p) AS score FROM text_vectors, row_vectors)
+SELECT doc_id, row_id, round(score, 6) AS score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, row_id) <= 3) WHERE score >= 0.2""",
+)
+def links_of_given_vectors(spark, d):
+    """Vectors of equal length on both sides need no projection, so SQL can compare every pair."""
+    rows = linkage.numeric_vectors(event_rows(spark, d), ["value", "user_id", "k"])
+    links = linkage.link_by_embedding(_short_vectors(spark, d), rows, top_k=3, threshold=0.2)
+    return links.select("doc_id", "row_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "sem07_nearest_of_given_vectors",
+    f"""WITH {SCALED}, s AS (SELECT doc_id, row_id, list_distance(q, p) AS distance FROM text_vectors, row_vectors)
+SELECT doc_id, row_id, round(1 / (1 + distance), 6) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY distance, row_id) AS INTEGER) AS rank
+FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, row_id) <= 5""",
+)
+def nearest_of_given_vectors(spark, d):
+    rows = linkage.numeric_vectors(event_rows(spark, d), ["value", "user_id", "k"])
+    texts, numbers = linkage.common_space(_short_vectors(spark, d), rows)
+    found = linkage.top_similar(texts, numbers, 5, "doc_id", "row_id", "euclidean")
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     "jn06_keyword_hubs",
     f"""WITH {KEYWORDED}, dk AS (SELECT keyword, count(DISTINCT id) AS n FROM keywords GROUP BY keyword),

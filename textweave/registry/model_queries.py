@@ -176,6 +176,25 @@ def separated_given(spark, d):
     return topics.well_separated(_given_weights(spark, d))
 
 
+@query(
+    "top02_topics_of_given_weights",
+    f"""WITH {GIVEN} SELECT doc_id, topic, round(weight, 9) AS weight FROM (
+  SELECT doc_id, CAST(0 AS INTEGER) AS topic, w0 AS weight FROM weights UNION ALL SELECT doc_id, 1, w1 FROM weights UNION ALL SELECT doc_id, 2, w2 FROM weights) WHERE weight >= 0.2501""",
+)
+def topics_given(spark, d):
+    return topics.document_topics(_given_weights(spark, d), 0.2501).withColumn("weight", F.round("weight", 9))
+
+
+@query(
+    "win03_slice_of_given_weights",
+    f"""WITH {GIVEN} SELECT CAST(doc_id AS BIGINT) AS position, doc_id, topic, round(w0, 9) AS w0, round(w1, 9) AS w1, round(w2, 9) AS w2
+FROM main JOIN weights USING (doc_id) WHERE CAST(doc_id AS BIGINT) BETWEEN 100 AND 199""",
+)
+def slice_given(spark, d):
+    found = topics.topics_of_slice(_given_weights(spark, d), _index(spark, d), 100, 200)
+    return found.select("position", "doc_id", "topic", *[F.round(F.col("weights")[i], 9).alias(f"w{i}") for i in range(3)])
+
+
 @query(
     "agg14_discussed_given_weights",
     f"""WITH {GIVEN}, long AS (SELECT 0 AS topic, w0 AS w FROM weights UNION ALL SELECT 1, w1 FROM weights UNION ALL SELECT 2, w2 FROM weights),
@@ -206,6 +225,21 @@ def coordinates(spark, d):
     return flat.select("doc_id", "side", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
 
 
+@query(
+    "sem06_coordinates_of_given_vectors",
+    """WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, atan2(2 * covar_pop(a, b), var_pop(a) - var_pop(b)) / 2 AS t FROM v),
+axes AS (SELECT ma, mb, cos(t) * s1 AS xa, sin(t) * s1 AS xb, -sin(t) * s2 AS ya, cos(t) * s2 AS yb FROM (
+  SELECT *, CASE WHEN (CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN cos(t) ELSE sin(t) END) < 0 THEN -1 ELSE 1 END AS s1,
+    CASE WHEN (CASE WHEN abs(sin(t)) >= abs(cos(t)) THEN -sin(t) ELSE cos(t) END) < 0 THEN -1 ELSE 1 END AS s2 FROM m))
+SELECT doc_id, round((a - ma) * xa + (b - mb) * xb, 6) AS x, round((a - ma) * ya + (b - mb) * yb, 6) AS y FROM v, axes""",
+)
+def coordinates_given(spark, d):
+    """In the plane the axes follow from one angle."""
+    flat = linkage.project(_given_vectors(spark, d).withColumn("vec", F.slice("vec", 1, 2)), "vec", 2)
+    return flat.select("doc_id", F.round(F.col("vec")[0], 6).alias("x"), F.round(F.col("vec")[1], 6).alias("y"))
+
+
 @query("sem07_nearest_in_common_space")
 def similar_rows(spark, d):
     rows = linkage.numeric_vectors(event_rows(spark, d), ["value", "user_id", "k"])
@@ -268,14 +302,49 @@ def cumulative(spark, d):
     return ml.principal_components(_lines(spark, d), NUMBERS, 3).values.select("component", "cumulative")
 
 
+# two standardised columns have the eigenvalues 1 + |r| and 1 - |r|, times n / (n - 1)
+TWO = """r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r, count(*) / CAST(count(*) - 1 AS DOUBLE) AS s FROM lineitem),
+two AS (SELECT 1 AS component, (1 + r) * s AS eigenvalue, (1 + r) * 50 AS percent, (1 + r) * 50 AS cumulative FROM r UNION ALL SELECT 2, (1 - r) * s, (1 - r) * 50, 100 FROM r)"""
+
+
+def _two_components(spark, d):
+    found = ml.principal_components(_lines(spark, d), NUMBERS[:2], 2).values
+    return found.select("component", *[F.round(c, 6).alias(c) for c in ("eigenvalue", "percent", "cumulative")])
+
+
+@query("ml08_two_components", f"WITH {TWO} SELECT component, round(eigenvalue, 6) AS eigenvalue, round(percent, 6) AS percent, round(cumulative, 6) AS cumulative FROM two")
+def two_components(spark, d):
+    return _two_components(spark, d)
+
+
+@query("win07_cumulative_of_two", f"WITH {TWO} SELECT component, round(cumulative, 6) AS cumulative FROM two")
+def cumulative_of_two(spark, d):
+    return _two_components(spark, d).select("component", "cumulative")
+
+
 @query("ml08_scores")
 def component_scores(spark, d):
     return ml.principal_components(_lines(spark, d), NUMBERS, 3).scores
 
 
-@query("ml09_linear_regression")
+# normal equations of three centred features, solved by Cramer's rule; q, d, t and y stand for the columns in turn
+NORMAL = """c AS (SELECT var_pop(q) AS qq, var_pop(d) AS dd, var_pop(t) AS tt, covar_pop(q, d) AS qd, covar_pop(q, t) AS qt, covar_pop(d, t) AS dt,
+  covar_pop(q, y) AS qy, covar_pop(d, y) AS dy, covar_pop(t, y) AS ty, avg(q) AS mq, avg(d) AS md, avg(t) AS mt, avg(y) AS my
+  FROM (SELECT l_quantity AS q, l_discount AS d, l_tax AS t, l_extendedprice AS y FROM lineitem)),
+b AS (SELECT *, (qy * (dd * tt - dt * dt) - qd * (dy * tt - dt * ty) + qt * (dy * dt - dd * ty)) / det AS bq,
+  (qq * (dy * tt - dt * ty) - qy * (qd * tt - dt * qt) + qt * (qd * ty - dy * qt)) / det AS bd,
+  (qq * (dd * ty - dy * dt) - qd * (qd * ty - dy * qt) + qy * (qd * dt - dd * qt)) / det AS bt
+  FROM (SELECT *, qq * (dd * tt - dt * dt) - qd * (qd * tt - dt * qt) + qt * (qd * dt - dd * qt) AS det FROM c))"""
+
+
+@query(
+    "ml09_linear_regression",
+    f"""WITH {NORMAL} SELECT 'l_quantity' AS feature, round(bq, 3) AS coefficient FROM b UNION ALL SELECT 'l_discount', round(bd, 3) FROM b
+UNION ALL SELECT 'l_tax', round(bt, 3) FROM b UNION ALL SELECT 'intercept', round(my - bq * mq - bd * md - bt * mt, 3) FROM b""",
+)
 def linear(spark, d):
-    return ml.regression(_lines(spark, d), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")[1]
+    told = ml.regression(_lines(spark, d), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")[1]
+    return told.withColumn("coefficient", F.round("coefficient", 3))
 
 
 @query("ml09_logistic_regression")
