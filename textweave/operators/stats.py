@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textweave.operators.filters import numeric_columns
@@ -86,6 +86,12 @@ def _named(found: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return names.join(found, "pair", "left").select("variable_1", "variable_2", "correlation")
 
 
+def _rank_level(total: str) -> Column:
+    """Total times the mean rank squared; a double, as the cube of some two million records is beyond a bigint."""
+    t = F.col(total).cast("double")
+    return t * (t + 1) * (t + 1) / 4
+
+
 def _spearman_by_pair(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Pearson on average ranks among the records that both columns of a pair have, all pairs in one job."""
     counted = _counted_pairs(df, pairs)
@@ -96,7 +102,7 @@ def _spearman_by_pair(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         ranked = salted_join(ranked, running_totals(values, c, "_m", ["pair"]).select("pair", c, rank), ["pair", c], ["x", "y"], counted=counted)
     n, x, y = F.col("n"), F.col("r_x"), F.col("r_y")
     sums = ranked.groupBy("pair").agg(F.sum("n").alias("t"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
-    level = F.col("t") * (F.col("t") + 1) * (F.col("t") + 1) / 4  # total * mean rank squared
+    level = _rank_level("t")
     scale = F.nullif(F.sqrt((F.col("xx") - level) * (F.col("yy") - level)), F.lit(0.0))
     return _named(sums.select("pair", ((F.col("xy") - level) / scale).alias("correlation")), pairs)
 
@@ -117,7 +123,7 @@ def _spearman_complete(df: DataFrame, columns: list[str]) -> DataFrame:
     r = lambda i: F.col(f"r_x{i}")
     sums = [F.sum(n * r(i) * r(j)).alias(f"s{i}_{j}") for i, j in [*pairs, *((i, i) for i in range(len(columns)))]]
     wide = counted.agg(F.sum("n").alias("total"), *sums)
-    level = F.col("total") * (F.col("total") + 1) * (F.col("total") + 1) / 4  # total * mean rank squared
+    level = _rank_level("total")
     spread = lambda i, j: F.col(f"s{i}_{j}") - level
     cells = [
         F.struct(
