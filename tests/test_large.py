@@ -1,9 +1,11 @@
 """Results and plans that only differ from the simple ones where tables are large."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from textweave.operators import stats
+from textweave.operators import linkage, stats
 
 
 def test_spearman_of_more_records_than_a_bigint_can_cube(spark):
@@ -22,3 +24,27 @@ def test_spearman_of_more_records_than_a_bigint_can_cube(spark):
         found = {(r["variable_1"], r["variable_2"]): r["correlation"] for r in stats.correlation_pairs(frame, ["a", "b", "c"], "spearman").collect()}
         assert len(found) == 3
         assert abs(found["a", "b"] - expected) < 1e-5
+
+
+def test_outcomes_through_hubs_meet_no_values(spark):
+    """Mean, first and commonest through keywords against the links one by one, for numbers and for mixed values."""
+    rng = random.Random(3)
+    values = {i: str(rng.randint(1, 400)) for i in range(300)} | {7: "many", 8: "many", 9: "1e2"}
+    docs = spark.createDataFrame([(str(i), {"m": v}) for i, v in values.items()], "id string, metadata map<string,string>")
+    words = [(str(i), rng.choice("abcdefgh")) for i in range(300) for _ in range(2)] + [("7", "rare"), ("8", "rare")]
+    keywords = spark.createDataFrame(words, "doc_id string, keyword string")
+    texts = [(r, " ".join(rng.sample("abcdefgh", 3))) for r in range(40)] + [(40, "rare"), (41, "rare a"), (42, "none")]
+    rows = spark.createDataFrame(texts, "row_id long, text string")
+    hubs = linkage.link_by_keyword(keywords, rows, "text")
+    one_by_one = hubs.pairs()
+    for how in ("mean", "first", "majority"):
+        told = {r.row_id: r.value for r in linkage.text_outcome(docs, hubs, "m", how).collect()}
+        assert told == {r.row_id: r.value for r in linkage.text_outcome(docs, one_by_one, "m", how).collect()}
+        assert set(told) == set(range(42)) and told[40] == "many"
+    numbers = docs.filter("metadata['m'] <> 'many'")
+    plan = linkage.text_outcome(numbers, hubs, "m", "mean")
+    # the rows meet one sum per hub: no record per row, hub and value is made
+    assert "_n" not in plan.columns and "value" in plan.columns
+    met = hubs.row_side.join(hubs.doc_side, "hub").count()
+    assert met > 20 * hubs.row_side.count()
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
