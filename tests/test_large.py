@@ -1,11 +1,12 @@
 """Results and plans that only differ from the simple ones where tables are large."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from textweave.operators import linkage, stats
+from textweave.operators import linkage, stats, words
 
 
 def test_spearman_of_more_records_than_a_bigint_can_cube(spark):
@@ -48,3 +49,29 @@ def test_outcomes_through_hubs_meet_no_values(spark):
     met = hubs.row_side.join(hubs.doc_side, "hub").count()
     assert met > 20 * hubs.row_side.count()
     assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_categories_and_baskets_count_what_can_matter(spark):
+    rng = random.Random(9)
+    lists = [(str(i), [rng.choice("aaaabbbccd") + rng.choice(["", "", "x", "yz"]) for _ in range(rng.randint(0, 40))]) for i in range(60)]
+    lists += [("0", ["a", "a", "a"]), ("empty", [])]
+
+    def grams(ws):
+        return [" ".join(ws[i : i + k]) for k in (1, 2, 3) for i in range(len(ws) - k + 1)]
+
+    def best(counted, n):
+        return sorted(((c, v) for c, v in counted.items()), key=lambda e: (-e[1], e[0]))[:n]
+
+    df = spark.createDataFrame(lists, "doc_id string, lemmas array<string>")
+    for rows in (lists, [*lists, ("blank", ["a b", "a b"] * 40)], [("one", ["a", "b", "a"])]):
+        every = Counter(g for _, ws in rows for g in grams(ws))
+        got = words.categories(spark.createDataFrame(rows, df.schema), 6).collect()
+        assert [(r.category, r.n) for r in got] == best(every, 6)
+        assert all(abs(r.weight - r.n / sum(every.values())) < 1e-12 for r in got)
+    per_record = [(d, best(Counter(grams(ws)), 99)) for d, ws in lists]
+    baskets = words.category_baskets(df, 5)
+    told = sorted((r.doc_id, r["rank"], r.n) for r in baskets.collect())
+    want = [(d, i + 1, -m) for d in {d for d, _ in lists} for i, (m, _) in enumerate(sorted((-v, c) for e, cs in per_record if e == d for c, v in cs)[:5])]
+    assert told == sorted(want)
+    plan = baskets._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in plan  # a record passes on its five best
