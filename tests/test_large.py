@@ -75,3 +75,19 @@ def test_categories_and_baskets_count_what_can_matter(spark):
     assert told == sorted(want)
     plan = baskets._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(" in plan  # a record passes on its five best
+
+
+def test_outcome_by_time_window_lists_no_links(spark):
+    """Against the links one by one, with repeated ids, shared instants and values that are no numbers."""
+    rng = random.Random(11)
+    at = lambda: f"2024-01-01 {rng.randint(0, 5):02d}:{rng.choice([0, 7, 30]):02d}:00"
+    docs = [(str(rng.randint(0, 70)), at(), {"m": str(rng.randint(1, 9))}) for _ in range(90)] + [("71", "2024-01-01 03:30:01", {"m": "many"}), ("72", None, {"m": "1"})]
+    documents = spark.createDataFrame(docs, "id string, ts string, metadata map<string,string>").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows = spark.createDataFrame([(rng.randint(0, 60), at()) for _ in range(80)], "row_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for how in ("mean", "majority"):
+        one_by_one = linkage.text_outcome(documents, linkage.link_by_time_window(documents, rows), "m", how)
+        told = linkage.outcome_by_time_window(documents, rows, "m", how)
+        assert sorted(told.collect()) == sorted(one_by_one.collect()) and told.count() > 20
+    once = documents.dropDuplicates(["id"])
+    first = linkage.outcome_by_time_window(once, rows, "m", "first")
+    assert sorted(first.collect()) == sorted(linkage.text_outcome(once, linkage.link_by_time_window(once, rows), "m", "first").collect())
