@@ -305,3 +305,21 @@ def test_keywords_given_as_comma_text(spark):
     members, edges = graph.temporal_subgraphs(built, dated, "M")  # an id that looks like a keyword is still a document
     assert {r.id for r in members.collect()} == {"keyword:odd", "keyword:k1", "keyword:k2", "cluster:0"}
     assert {(r.source, r.target) for r in edges.collect()} >= {("keyword:odd", "keyword:k1"), ("cluster:0", "keyword:k2")}
+
+
+def test_permuted_features_are_scored_by_place(spark, monkeypatch):
+    """As scoring every record for every feature and repeat; only different places between split points are scored."""
+    rng = np.random.default_rng(12)
+    rows = [(i, float(round(x, 1)), float(z), 0.5, int(x + z / 4 > 0)) for i, (x, z) in enumerate(rng.normal(size=(500, 2)))]
+    df = spark.createDataFrame(rows, "row_id bigint, x double, z double, idle double, c int")
+    classified, held_out = ml.random_forest(df, ["x", "z", "idle"], "c", trees=5)
+    arrays = held_out.select("row_id", "target", ml.vector_to_array("features").alias("x"), F.xxhash64("row_id", F.lit(1)).alias("_h"))
+    want = {r.f: r.shuffled for r in ml._shuffled_records(classified.model, arrays, [0, 1], 4, 1, "row_id").collect()}
+    points = ml.split_points(classified.model)
+    assert len(points) == 3 and len(points[0]) and not len(points[2])
+    for block in (64, 1 << 20):
+        assert {r.f: r.shuffled for r in ml._shuffled_places(classified.model, arrays, points, [0, 1], 4, 1, "row_id", block).collect()} == want
+    monkeypatch.setattr(ml, "_shuffled_records", None)
+    base = classified.scores.first().accuracy
+    told = {r.feature: r.importance for r in ml.permutation_importance(classified, held_out, ["x", "z", "idle"], repeats=4).collect()}
+    assert told == pytest.approx({"x": base - want[0], "z": base - want[1], "idle": 0})

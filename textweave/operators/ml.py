@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from inspect import signature
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -36,6 +39,9 @@ from textweave.operators.words import frequent_itemsets
 from textweave.plans.lineage import cut_lineage
 from textweave.plans.ordering import with_dense_index
 
+RECORDS_PER_BLOCK = 1 << 20  # numbered records that one task pairs with others
+PLACES = 1 << 40  # different places between split points that one number may tell
+
 
 @F.udf(returnType=VectorUDT())
 def _sparse(v):
@@ -175,36 +181,117 @@ def impurity_importance(model, columns: Sequence[str], df: DataFrame) -> DataFra
     return df.sparkSession.createDataFrame(pairs, "feature string, importance double")
 
 
+def split_points(model) -> list[np.ndarray] | None:
+    """Ascending split points of each feature in a tree or forest; None for other models and for splits by category."""
+    told = getattr(model, "toDebugString", None)
+    if not isinstance(told, str) or " in {" in told:
+        return None
+    found: list[set[float]] = [set() for _ in range(model.numFeatures)]
+    for f, point in re.findall(r"\(feature (\d+) <= ([^)]+)\)", told):
+        found[int(f)].add(float(point))
+    return [np.array(sorted(points)) for points in found]
+
+
 def permutation_importance(
     classified: Classified, held_out: DataFrame, columns: Sequence[str], repeats: int = 10, seed: int = 1, row_id: str = "row_id"
 ) -> DataFrame:
     """(feature, importance): mean loss of accuracy when a feature is taken from another record.
 
-    Records are numbered in hash order once; repeat r pairs record i with record i + shift(r), which is a permutation,
-    and all features and repeats are scored in one pass. Features that no tree splits on change nothing and are not scored.
+    Records are numbered in hash order once; repeat r pairs record i with record i + shift(r), which is a permutation.
+    Features that no tree splits on change nothing and are not scored. Trees only see between which split points a value
+    lies, so records become one number of these places, and each different mixed number is scored once with its count.
     """
     impurity = getattr(classified.model, "featureImportances", None)
     used = list(range(len(columns))) if impurity is None else [int(i) for i in np.flatnonzero(impurity.toArray())]
     arrays = held_out.select(row_id, "target", vector_to_array("features").alias("x"), F.xxhash64(row_id, F.lit(seed)).alias("_h"))
+    points = split_points(classified.model)
+    if points is not None and math.prod(len(t) + 1 for t in points) < PLACES:
+        per_feature = _shuffled_places(classified.model, arrays, points, used, repeats, seed, row_id)
+    else:
+        per_feature = _shuffled_records(classified.model, arrays, used, repeats, seed, row_id)
+    names = F.array(*[F.lit(c) for c in columns])
+    base = classified.scored.agg(F.avg((F.col("prediction") == F.col("target")).cast("double")).alias("base")).withColumn("_k", F.lit(1))
+    told = per_feature.withColumn("_k", F.lit(1)).join(F.broadcast(base), "_k").select(
+        F.get(names, F.col("f")).alias("feature"), (F.col("base") - F.col("shuffled")).alias("importance")
+    )
+    idle = [(c, 0.0) for i, c in enumerate(columns) if i not in used]
+    return told.unionByName(held_out.sparkSession.createDataFrame(idle, "feature string, importance double")) if idle else told
+
+
+def _shifts(n: int, repeats: int, seed: int) -> list[int]:
+    return [1 + (seed + r * 7919) % max(n - 1, 1) for r in range(repeats)]
+
+
+def _shuffled_records(model, arrays: DataFrame, used: Sequence[int], repeats: int, seed: int, row_id: str) -> DataFrame:
+    """(f, shuffled): accuracy with feature f of another record, every record scored for every feature and repeat."""
     numbered = with_dense_index(arrays, ["_h", row_id], "i").select("i", "target", "x")
     n = numbered.count()
-    shifts = [1 + (seed + r * 7919) % max(n - 1, 1) for r in range(repeats)]
-    shift = F.explode(F.array(*[F.lit(s) for s in shifts]))
+    shift = F.explode(F.array(*[F.lit(s) for s in _shifts(n, repeats, seed)]))
     asked = numbered.withColumn("shift", shift).withColumn("j", F.pmod(F.col("i") + F.col("shift"), F.lit(n)))
     other = numbered.select(F.col("i").alias("j"), F.col("x").alias("other"))
     feature = F.explode(F.array(*[F.lit(i) for i in used]).cast("array<int>")).alias("f")
     mixed = asked.join(other, "j").select("target", "x", "other", feature)
     swapped = F.transform("x", lambda v, k: F.when(k == F.col("f"), F.get("other", k)).otherwise(v))
-    scored = classified.model.transform(mixed.select("f", "target", array_to_vector(swapped).alias("features")))
-    hit = (F.col("prediction") == F.col("target")).cast("double")
-    names = F.array(*[F.lit(c) for c in columns])
-    base = classified.scored.agg(F.avg((F.col("prediction") == F.col("target")).cast("double")).alias("base")).withColumn("_k", F.lit(1))
-    per_feature = scored.groupBy("f").agg(F.avg(hit).alias("shuffled")).withColumn("_k", F.lit(1))
-    told = per_feature.join(F.broadcast(base), "_k").select(
-        F.get(names, F.col("f")).alias("feature"), (F.col("base") - F.col("shuffled")).alias("importance")
-    )
-    idle = [(c, 0.0) for i, c in enumerate(columns) if i not in used]
-    return told.unionByName(held_out.sparkSession.createDataFrame(idle, "feature string, importance double")) if idle else told
+    scored = model.transform(mixed.select("f", "target", array_to_vector(swapped).alias("features")))
+    return scored.groupBy("f").agg(F.avg((F.col("prediction") == F.col("target")).cast("double")).alias("shuffled"))
+
+
+def _shuffled_places(
+    model, arrays: DataFrame, points: list[np.ndarray], used: Sequence[int], repeats: int, seed: int, row_id: str, block: int | None = None
+) -> DataFrame:
+    """The same for trees. A block of numbered records gets the records its own are paired with and counts what they give."""
+    block = block or RECORDS_PER_BLOCK
+    radix = np.array([len(t) + 1 for t in points], np.int64)
+    unit = np.r_[1, np.cumprod(radix)[:-1]].astype(np.int64)
+    kind = dict(arrays.dtypes)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(points))
+            code = sum((np.searchsorted(t, x[:, f], "left") * unit[f] for f, t in enumerate(points)), np.zeros(batch.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(row_id), batch.column("target"), batch.column("_h"), pa.array(code)], [row_id, "target", "_h", "code"])
+
+    placed = arrays.mapInArrow(place, f"`{row_id}` {kind[row_id]}, target {kind['target']}, _h bigint, code bigint")
+    numbered = cut_lineage(with_dense_index(placed, ["_h", row_id], "i").select("i", F.col("target").cast("double").alias("target"), "code"))
+    n = numbered.count()
+    shifts = _shifts(n, repeats, seed)
+    asked_by = F.array_distinct(F.array(*[F.floor(F.pmod(F.col("i") - s, F.lit(n)) / block).cast("bigint") for s in (0, *shifts)]))
+
+    def count(records: pa.Table) -> pa.Table:
+        number = int(records.column("block")[0].as_py())
+        records = records.sort_by("i")
+        i, code = records.column("i").to_numpy(), records.column("code").to_numpy()
+        target, kind_of = np.unique(records.column("target").to_numpy(), return_inverse=True)
+        low, high = np.searchsorted(i, [number * block, (number + 1) * block])
+        own, kinds = code[low:high], kind_of[low:high]
+        told: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for f in used:
+            digit = code // unit[f] % radix[f]
+            rest = own - digit[low:high] * unit[f]
+            keys = [(rest + digit[np.searchsorted(i, (i[low:high] + s) % n)] * unit[f]) * len(target) + kinds for s in shifts]
+            told.append((f, *np.unique(np.concatenate(keys), return_counts=True)))
+        f = np.repeat([t[0] for t in told], [len(t[1]) for t in told]).astype(np.int32)
+        key, many = np.concatenate([t[1] for t in told]), np.concatenate([t[2] for t in told])
+        return pa.table([pa.array(f), pa.array(key // len(target)), pa.array(target[key % len(target)], from_pandas=True), pa.array(many.astype(np.int64))], ["f", "code", "target", "n"])
+
+    def stand_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A record for each number: the split points themselves, or what follows the last."""
+        ends = [np.r_[t, np.nextafter(t[-1], np.inf)] if len(t) else np.zeros(1) for t in points]
+        for batch in batches:
+            code = batch.column("code").to_numpy()
+            x = np.stack([e[code // u % r] for e, u, r in zip(ends, unit, radix)], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "x"])
+
+    empty = not n or not used
+    met = numbered.limit(0) if empty else numbered
+    counted = met.withColumn("block", F.explode(asked_by) if not empty else F.lit(0)).groupBy("block").applyInArrow(count, "f int, code bigint, target double, n bigint")
+    summed = counted.groupBy("f", "code", "target").agg(F.sum("n").alias("n"))
+    stood = summed.mapInArrow(stand_in, "f int, code bigint, target double, n bigint, x array<double>")
+    scored = model.transform(stood.select("f", "target", "n", array_to_vector("x").alias("features")))
+    valid = F.col("target").isNotNull()
+    hits = F.sum(F.when(F.col("prediction") == F.col("target"), F.col("n")).otherwise(0))
+    return scored.groupBy("f").agg((hits.cast("double") / F.sum(F.when(valid, F.col("n")))).alias("shuffled"))
 
 
 def top_features(importance: DataFrame, n: int = 5) -> DataFrame:
