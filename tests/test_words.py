@@ -67,3 +67,18 @@ def test_sequences(spark):
     got = {r.doc_id: r.sequence for r in features.token_sequences(docs, 2, 5).collect()}
     assert got == {"1": [2, 1, 2, 0, 0], "2": [0] * 5, "3": [0] * 5, "4": [1] * 5}
     assert docs.filter(F.col("text").isNull()).count() == 1
+
+
+def test_only_rare_elements_leave_their_row(spark, monkeypatch):
+    """With more entries than a task holds, elements of the held words are not joined."""
+    rows = [(i, ["the", "of", f"w{i}", None, "the", "odd" if i % 7 else "also"]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, t array<string>").repartition(5)
+    entries = spark.createDataFrame([("the", 1), ("of", None), ("also", 2), *[(f"w{i}", 10 + i) for i in range(0, 300, 2)]], "k string, n int")
+    seen = []
+    joined = type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, other, *a, **k: seen.append(self) or joined(self, other, *a, **k))
+    got = {r.id: r.n for r in lookup.with_lookup(df, "t", entries, "k", ["n"], 4).collect()}
+    table = dict(map(tuple, entries.collect()))
+    assert got == {i: [table.get(x) for x in t] for i, t in rows}
+    cells = [x for x in seen if "_pos" in x.columns]
+    assert len(cells) == 1 and cells[0].count() == 300
