@@ -140,3 +140,20 @@ def test_coherence_equals_listed_windows(spark, monkeypatch, hits):
         want_cv[topic] = np.mean([r @ v / (np.linalg.norm(r) * np.linalg.norm(v)) if r.any() else 0 for r in m])
     assert {r.topic: r.npmi for r in topics.coherence(words, df, 10).collect()} == pytest.approx(want_npmi)
     assert {r.topic: r.c_v for r in topics.coherence_cv(words, df, 10).collect()} == pytest.approx(want_cv)
+
+
+@pytest.mark.parametrize("held", [5, 1])
+def test_rare_terms_meet_their_documents(spark, monkeypatch, held):
+    """The same topics whether a task holds all weights or only those of the commonest terms; cells are not moved for the others."""
+    df, _ = corpus(spark)
+    both = df.unionByName(df.limit(7))  # some documents come in two records
+    want = lda.fit(both, topics=3, passes=3)
+    told = [(r.term, pytest.approx(r.weights, rel=1e-9)) for r in want.weights.orderBy("term").collect()]
+    gammas = {r.doc_id: pytest.approx(r.gamma, rel=1e-9) for r in want.document_weights().collect()}
+    counts = [r.n for r in want.vocabulary.orderBy("term").collect()]
+    assert want.rare is None and counts == sorted(counts, reverse=True)
+    monkeypatch.setattr(lda, "HELD", held)
+    got = lda.fit(both, topics=3, passes=3)
+    assert got.rare.count() == got.cells.filter(F.col("term") >= held).count() < got.cells.count()
+    assert [(r.term, r.weights) for r in got.weights.orderBy("term").collect()] == told
+    assert {r.doc_id: r.gamma for r in got.document_weights().collect()} == gammas
