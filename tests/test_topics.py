@@ -71,6 +71,19 @@ def test_passes_equal_plain_numpy(spark, monkeypatch, at_once):
     assert all(r.gamma == pytest.approx(gammas[r.doc_id], rel=1e-2, abs=2e-2) for r in rows)
 
 
+def test_a_common_term_is_told_once_by_a_core(spark, monkeypatch):
+    """However many splits the documents have, what a pass gives back grows with the cores; documents of any pass stay where they are."""
+    assert lda.HELD >= 1_000_000
+    told, real = [], lda.written
+    monkeypatch.setattr(lda, "written", lambda df, label: [told.append((label, df)), real(df, label)][1])
+    df, _ = corpus(spark)
+    fitted = lda.fit(df.repartition(40), topics=3, passes=1)
+    assert fitted.rare is None
+    (given,) = [d for label, d in told if label == "topic-weights"]
+    plan = given._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" in plan and "Join" not in plan
+
+
 def test_topics_are_found(spark):
     df, rows = corpus(spark, 120)
     model = topics.fit_topics(df, topics=3, passes=25)
