@@ -47,6 +47,39 @@ def test_tokens_by_either_way(spark, monkeypatch, most):
     assert words.coding_dictionary(by_sentence).count() == 0  # the only verb describes the nouns
 
 
+@pytest.mark.parametrize("many", [words.MANY, 0])
+def test_counts_meet_the_lexicon_once(spark, monkeypatch, many):
+    """The same as from coded text: forms are counted, or sentences picked, before the lexicon comes in."""
+    monkeypatch.setattr(words, "MANY", many)
+    docs = spark.createDataFrame([("1", "Cats see a dog. The cat saw dogs! Odd."), ("2", "A cat sees. That dog saw that"), ("3", None), ("4", "")], "id string, text string")
+    entries = [("cat", "cat", "NOUN"), ("cats", "cat", "NOUN"), ("dog", "dog", "NOUN"), ("dogs", "dog", "NOUN"), ("dogs", "hound", "VERB"), ("see", None, "VERB"),
+               ("sees", "see", "VERB"), ("saw", "see", "VERB"), ("saw", "see", None), ("the", "the", None), (None, "that", "NOUN"), ("odd", "odd", "ADJ"), ("a", "see", "VERB")]
+    lex = spark.createDataFrame(entries, "form string, lemma string, pos string")
+    by_sentence, plain = words.coded_sentences(docs, lex), words.sentence_forms(docs)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for tags in (None, words.NOUN, words.VERB):
+        for by in ("frequency", "forms"):
+            assert rows(words.common_lemmas(plain, 3, tags, by, lex)) == rows(words.common_lemmas(by_sentence, 3, tags, by))
+    for lemma in ("see", "that", "cat", "hound", "a", "missing"):
+        assert rows(words.sentences_with_lemma(plain, lemma, lex)) == rows(words.sentences_with_lemma(by_sentence, lemma))
+        assert rows(words.attributes(plain, lemma, 3, lex)) == rows(words.attributes(by_sentence, lemma))
+        assert rows(words.dimensions(plain, lemma, 3, lex)) == rows(words.dimensions(by_sentence, lemma))
+    assert rows(words.coding_dictionary(plain, 2, 3, lex)) == rows(words.coding_dictionary(by_sentence, 2, 3))
+    listed = words.token_table(docs, lex).groupBy("tag", "pos").agg(F.count(F.lit(1)).alias("n"), F.max("lemma").alias("last_lemma"))
+    assert rows(words.tokens_by_place(docs, lex)) == rows(listed) != []
+    plan = words.common_lemmas(plain, 3, words.NOUN, lexicon=lex)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
+def test_wide_rows_are_not_sorted(spark):
+    """Rows that meet their rare words again are neither sorted nor wider than their words."""
+    df = spark.createDataFrame([(i, ["the", f"w{i}"]) for i in range(50)], "id bigint, t array<string>")
+    entries = spark.createDataFrame([("the", 1), *[(f"w{i}", i) for i in range(50)]], "k string, n int")
+    got = lookup.with_lookup(df, "t", entries, "k", ["n"], 3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=shuffle_hash" in plan and {r.id: r.n for r in got.collect()} == {i: [1, i] for i in range(50)}
+
+
 def exchanges(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return plan.count("Exchange "), plan.count("Scan parquet")
