@@ -58,6 +58,9 @@ def sentiment_scores(
         "doc_id", "raw", F.transform("raw", F.lower).alias("low"), F.size("raw").alias("n_tokens"),
         ((n_capital > 0) & (n_capital < F.size("raw"))).alias("mixed"), marks("!").alias("n_excl"), marks("?").alias("n_quest"),
     ).withColumn("but_at", F.array_position("low", F.lit(contrast)) - 1)
+    # looked up before what is worked out per word, so that a row that has to move is no wider than its words
+    entries = lexicon.filter(F.col("valence") != 0).select("form", F.col("valence").cast("double").alias("valence"))
+    base = with_lookup(base, "low", entries, "form", ["valence"])
     lift = lambda t, i: F.coalesce(F.try_element_at(boost_of, t), F.lit(0.0))
     base = base.withColumns(
         {"caps": F.transform("raw", lambda t: _is_capital(t) & F.col("mixed")),
@@ -65,9 +68,6 @@ def sentiment_scores(
          "lifts": F.transform("low", lift)}
     )
 
-    entries = lexicon.filter(F.col("valence") != 0).select("form", F.col("valence").cast("double").alias("valence"))
-    base = with_lookup(base, "low", entries, "form", ["valence"])
-
     def moved(lift: Column, turn: Column):
         return lambda x: (x + lift * F.when(x < 0, F.lit(-1.0)).otherwise(F.lit(1.0))) * turn
 

@@ -15,7 +15,7 @@ from textweave.plans.lineage import cut_lineage, written
 from textweave.plans.skew import ROWS_PER_SALT, salted_join
 from textweave.session import ship
 
-ENTRIES = 1_000_000  # entries that every task holds; of a larger table the commonest, the others are joined
+ENTRIES = 4_000_000  # entries that every task holds; of a larger table the commonest, the others are joined
 
 
 def with_lookup(df: DataFrame, column: str, entries: DataFrame, key: str, fields: Sequence[str], most: int | None = None) -> DataFrame:
@@ -47,7 +47,14 @@ def with_lookup(df: DataFrame, column: str, entries: DataFrame, key: str, fields
 def _places(lists: pa.Array, known: pa.ChunkedArray) -> tuple[pa.Array, pa.Array]:
     """Where each list begins, and the place of every element in ``known``, null if it is not there."""
     size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    return pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pc.index_in(lists.flatten(), known.combine_chunks())
+    coded = pc.dictionary_encode(lists.flatten())
+    # the few words of a batch are hashed, the many known ones only pass by
+    met = pc.index_in(known.combine_chunks(), coded.dictionary)
+    there = np.flatnonzero(np.asarray(pc.is_valid(met)))
+    place = np.full(len(coded.dictionary) + 1, -1)
+    place[pc.drop_null(met).to_numpy()] = there
+    at = place[pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy(zero_copy_only=False)]
+    return pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(at, pa.int64(), mask=at < 0)
 
 
 def _taken(values: pa.ChunkedArray, place: pa.Array) -> pa.Array:
@@ -94,7 +101,8 @@ def _partly_held(df: DataFrame, column: str, entries: DataFrame, key: str, field
     met = cells.join(known, key) if least <= ROWS_PER_SALT else salted_join(cells, known, [key], ["_row", "_pos"])
     gathered = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", *fields))).alias("_back"))
     schema = T.StructType([*df.schema.fields, *[T.StructField(f, T.ArrayType(entries.schema[f].dataType)) for f in fields]])
-    return rows.join(gathered, "_row", "left").mapInArrow(add, schema)
+    # the wide rows are not sorted for it, only what comes back is hashed
+    return rows.join(gathered.hint("shuffle_hash"), "_row", "left").mapInArrow(add, schema)
 
 
 def _least(counted: DataFrame, most: int) -> int:
