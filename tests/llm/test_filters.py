@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -114,3 +116,27 @@ def test_line_digests_match_contract(spark, small):
     source = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     want = {i: (n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in kept_lines(source)}
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in op9(spark, small).collect()} == want
+
+
+def test_common_words_are_counted_without_the_long_ones(spark):
+    """Exact counts, and a text that is searched for every common word holds no longer word."""
+    common = ["the", "a", "né", "𝄞𝄞𝄞𝄞", "x"]
+    texts = ["the then the\tthe\n\nother a a", "  né néné 𝄞𝄞𝄞𝄞 𝄞𝄞𝄞𝄞𝄞 ", "the", "", None, "lengthy\x0bthe the the  the", " \t ", "a" * 5 + " a a a " + "b" * 9]
+    docs = spark.createDataFrame([(t, common) for t in texts], "text string, common array<string>")
+    counted = quality.word_counts(docs, "text", "common", 4)
+    split = [[w for w in re.split(r"[ \x09-\x0D]+", t or "") if w] for t in texts]
+    assert [r["_counts"] for r in counted.collect()] == [[ws.count(c) for c in common[:4]] for ws in split]
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "{5,}" in plan
+
+
+def test_character_classes_are_a_partition(spark):
+    texts = ["Plain text, with  two blanks\tand\nlines 12½ É é é #$ (x)", "", None, "   𝄞 ǅ ß", "ABC def\x0b\x0c\r", "ünü bér"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r, t in zip(quality.char_classes(docs, "text").collect(), [t or "" for t in texts]):
+        kind = [unicodedata.category(c) for c in t]
+        assert r["_all"] == len(t) == sum(r[f"_{c}"] for c in quality.CLASSES)
+        assert r["_white"] == sum(c in " \t\n\x0b\x0c\r" for c in t)
+        assert r["_upper"] == kind.count("Lu") and r["_number"] == sum(k[0] == "N" for k in kind)
+        assert r["_letter"] == sum(k[0] in "LM" and k != "Lu" for k in kind)
+        assert r["_mark"] == sum(c in ".,;:!?'\"()-" for c in t) and r["_n_symbols"] == sum(c in "#*$%&|<>" for c in t)

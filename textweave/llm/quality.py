@@ -27,6 +27,9 @@ CLASSES = ["upper", "letter", "number", "white", "mark", "rest"]
 NOT_WHITE = r"[^ \x09-\x0D]+"
 
 
+LONG_WORD = r"[^ \x09-\x0D]{%d,}+" % (COMMON_WORD_LENGTH + 1)
+
+
 def _left(text: Column, removed: str) -> Column:
     return F.length(F.regexp_replace(text, removed, ""))
 
@@ -34,17 +37,18 @@ def _left(text: Column, removed: str) -> Column:
 def char_classes(docs: DataFrame, text: str) -> DataFrame:
     """Adds _<class> for each of CLASSES: code points of that class (a partition of the text), and _n_symbols."""
     body = F.coalesce(F.col(text), F.lit(""))
-    # most of a text is plain lower case: one pass removes that, the other classes are counted in what is left
-    out = docs.withColumns({"_all": F.length(body), "_mid": F.regexp_replace(body, "[a-z]+", "")})
-    out = out.withColumns({"_letters": _left(F.col("_mid"), r"[^\p{L}\p{M}]+"), "_rests": F.regexp_replace("_mid", r"[\p{L}\p{M}]+", "")})
+    # most of a text is plain lower case and blanks: one pass removes that, the other classes are counted in what is left
+    blanks = F.octet_length(body) - F.octet_length(F.replace(body, F.lit(" "), F.lit("")))
+    out = docs.withColumns({"_all": F.length(body), "_blanks": blanks, "_mid": F.regexp_replace(body, "[a-z ]++", "")})
+    out = out.withColumn("_rests", F.regexp_replace("_mid", r"[\p{L}\p{M}]+", ""))
     return out.withColumns({
         "_upper": _left(F.col("_mid"), r"[^\p{Lu}]+"),
         "_number": _left(F.col("_rests"), r"[^\p{N}]+"),
-        "_white": _left(F.col("_rests"), NOT_WHITE),
+        "_white": F.col("_blanks") + _left(F.col("_rests"), NOT_WHITE),
         "_mark": _left(F.col("_rests"), r"[^.,;:!?'\"()-]+"),
         "_rest": _left(F.col("_rests"), r"[\p{N} \x09-\x0D.,;:!?'\"()-]+"),
         "_n_symbols": _left(F.col("_rests"), "[^#*$%&|<>]+").cast("bigint"),
-    }).withColumn("_letter", F.col("_all") - F.length("_rests") - F.col("_upper")).drop("_mid", "_letters", "_rests")
+    }).withColumn("_letter", F.col("_all") - F.col("_blanks") - F.length("_rests") - F.col("_upper")).drop("_mid", "_blanks", "_rests")
 
 
 def base_measures(docs: DataFrame, text: str) -> DataFrame:
@@ -52,7 +56,8 @@ def base_measures(docs: DataFrame, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({"_w": words(F.col(text)), "_lines": F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^ \x09-\x0D]"))})
     n = F.size("_w")
-    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(WINDOW)]))
+    out = out.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))  # a word is hashed once, not in every window
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)]))
     out = out.withColumns({
         "_n_words": n.cast("bigint"),
         "_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
@@ -67,14 +72,17 @@ def base_measures(docs: DataFrame, text: str) -> DataFrame:
     out = out.withColumn("_starts", F.sort_array(F.transform(repeated, lambda x: x["i"])))
     covered = F.transform("_starts", lambda v, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_starts"), k + 1) - v, F.lit(WINDOW))))
     out = out.withColumn("_n_repeat_words", F.aggregate(covered, F.lit(0), lambda a, x: a + x).cast("bigint"))
-    return out.drop("_w", "_lines", "_hashes", "_placed", "_starts")
+    return out.drop("_w", "_h", "_lines", "_hashes", "_placed", "_starts")
 
 
 def word_counts(docs: DataFrame, text: str, common: str, most: int) -> DataFrame:
-    """Adds _counts: how often each of the at most ``most`` words of the list ``common`` occurs in the text."""
-    trimmed = F.coalesce(F.btrim(F.col(text), F.lit(WHITE_CHARS)), F.lit(""))
+    """Adds _counts: how often each of the at most ``most`` words of the list ``common`` occurs in the text.
+
+    None of them is longer than COMMON_WORD_LENGTH: longer words are taken out once, not passed by for each of the list.
+    """
+    few = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), LONG_WORD, "")
     # every word between blanks of its own, so that removing " word " counts it exactly
-    out = docs.withColumn("_spaced", F.concat(F.lit(" "), F.regexp_replace(trimmed, WHITE_PATTERN, "  "), F.lit(" ")))
+    out = docs.withColumn("_spaced", F.concat(F.lit(" "), F.regexp_replace(few, WHITE_PATTERN, "  "), F.lit(" ")))
     counts = []
     for k in range(most):
         word = F.concat(F.lit(" "), F.coalesce(F.get(common, F.lit(k)), F.lit("")), F.lit(" "))
