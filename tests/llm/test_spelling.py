@@ -113,3 +113,14 @@ def test_decomposition_is_kept_by_edits_elsewhere():
 
 def test_query_equals_a_plain_version(spark, small):
     assert found(op12(spark, small)) == expected(plain_counts(documents(spark, small)))
+
+
+def test_no_side_of_a_join_is_broadcast(spark, monkeypatch):
+    """Entries are many times a word's record, so the size of the words' table must not lead to a broadcast."""
+    plans, real = [], spelling.written
+    monkeypatch.setattr(spelling, "written", lambda df, label: [plans.append(df), real(df, label)][1])
+    df = spark.createDataFrame([(f"w{i:05d}", 3 + i % 50) for i in range(300)], "word string, n bigint")
+    out = spelling.variants(df)
+    assert out.filter("n_near > 0").count() == 300
+    told = [p._jdf.queryExecution().executedPlan().toString() for p in [*plans, out]]
+    assert sum("Join" in p for p in told) >= 3 and not any("Broadcast" in p for p in told)

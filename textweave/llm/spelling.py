@@ -197,7 +197,8 @@ def near_words(words: DataFrame, share: int = SHARE) -> DataFrame:
     lacks = lambda a, b: F.bit_count(F.col(f"{a}.grams").bitwiseAND(F.bitwise_not(f"{b}.grams"))) <= F.col(f"{a}.bound")
     later = F.struct(F.length("i.word"), "i.word") > F.struct(F.length("p.word"), "p.word")
     one = F.levenshtein("p.word", "i.word", 1) == 1
-    found = looked.join(listed, (F.col("p.key") == F.col("i.key")) & later & lacks("p", "i") & lacks("i", "p") & one)
+    # a word has many entries on both sides, of which its table's size tells nothing: neither side is broadcast
+    found = looked.join(listed.hint("merge"), (F.col("p.key") == F.col("i.key")) & later & lacks("p", "i") & lacks("i", "p") & one)
     pairs = found.select(F.col("p.word").alias("a"), F.col("p.n").alias("an"), F.col("i.word").alias("b"), F.col("i.n").alias("bn")).distinct()
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("an").alias("n"), F.col("b").alias("other"), F.col("bn").alias("other_n")),
                              F.struct(F.col("b").alias("word"), F.col("bn").alias("n"), F.col("a").alias("other"), F.col("an").alias("other_n"))))
@@ -209,7 +210,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         up = at.select(F.col("word").alias("root"), F.col("root").alias("above"))
-        stepped = written(at.join(up, "root", "left").select("word", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
+        stepped = written(at.join(up.hint("merge"), "root", "left").select("word", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
         at = stepped.select("word", "root")
         if stepped.filter("moved").isEmpty():
             return at
@@ -225,7 +226,7 @@ def variants(words: DataFrame, ratio: int = RATIO, share: int = SHARE) -> DataFr
     best = near_words(words, share).groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("other"))).alias("best")
     )
-    known = words.join(best, "word", "left").withColumn("form_n", -F.col("best.less"))
+    known = words.join(best.hint("merge"), "word", "left").withColumn("form_n", -F.col("best.less"))
     judged = known.withColumn("formed", F.col("form_n") >= ratio * F.col("n"))
     near = written(
         judged.select(
@@ -235,4 +236,4 @@ def variants(words: DataFrame, ratio: int = RATIO, share: int = SHARE) -> DataFr
         "near-words",
     )
     ends = roots(near.filter(F.col("form").isNotNull()))
-    return near.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return near.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
