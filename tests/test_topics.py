@@ -84,6 +84,54 @@ def test_a_common_term_is_told_once_by_a_core(spark, monkeypatch):
     assert "Coalesce" in plan and "Join" not in plan
 
 
+def test_tasks_tell_blocks_of_terms(spark, monkeypatch):
+    """What a pass gives back is a row per task and block of terms, not one per term; words are counted outside the JVM."""
+    told, real = [], lda.written
+    monkeypatch.setattr(lda, "written", lambda df, label: [told.append((label, df)), real(df, label)][1])
+    df, _ = corpus(spark)
+    lda.fit(df, topics=3, passes=1)
+    plans = {label: d._jdf.queryExecution().executedPlan().toString() for label, d in told}
+    assert "FlatMapGroupsInArrow" in plans["topic-weights"] and "HashAggregate" not in plans["topic-weights"]
+    assert "MapInArrow" in plans["counted-words"] and "sort_array" not in plans["counted-words"]
+
+
+def test_words_are_counted_as_before(spark):
+    rows = [("a", ["x", None, "y", "x"]), ("a", ["z"]), ("b", None), ("c", []), (None, ["x", "x"]), ("d", [None])]
+    got = lda.fit(spark.createDataFrame(rows, "doc_id string, lemmas array<string>"), topics=2, passes=1)
+    words = {r.term: r.word for r in got.vocabulary.collect()}
+    assert {(r.doc_id, words[r.term], r.n) for r in got.cells.collect()} == {("a", "x", 2), ("a", "y", 1), ("a", "z", 1), (None, "x", 2)}
+
+
+@pytest.mark.parametrize("sizes", [[3, 900, 1, 1, 40, 41, 42], [1] * 300, [7000, 2]])
+def test_shares_equal_one_document_at_a_time(sizes):
+    rng = np.random.default_rng(len(sizes))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    beta, n = rng.gamma(0.3, 1, (len(owner), 4)), rng.integers(1, 4, len(owner)).astype(float)
+    gamma, theta, norm = lda.fitted_shares(beta, n, owner, len(sizes), 0.25)
+    for d in range(len(sizes)):
+        own = owner == d
+        got = lda.fitted_shares(beta[own], n[own], np.zeros(own.sum(), int), 1, 0.25)
+        assert gamma[d] == pytest.approx(got[0][0], rel=2e-2, abs=1e-1)
+        assert norm[own] == pytest.approx(beta[own] @ theta[d], rel=1e-9)
+
+
+@pytest.mark.parametrize("sizes", [[80, 90, 100], [1, 2, 1, 3] * 20])
+def test_sums_by_term(sizes):
+    rng = np.random.default_rng(1)
+    term = np.concatenate([np.sort(rng.choice(120, s, replace=False)) for s in sizes])
+    share, want, got = rng.random((len(term), 3)), np.zeros((120, 3)), np.zeros((120, 3))
+    np.add.at(want, term, share)
+    lda._add(got, term, share, np.repeat(np.arange(len(sizes)), sizes))
+    assert got == pytest.approx(want)
+    back = np.zeros((120, 3))
+    for batch in lda._told(*lda._summed(term, share), 50):
+        (block,), (t,), (g,) = (c.to_pylist() for c in batch.columns)
+        t = np.frombuffer(t, np.int64)
+        assert (t // 50 == block).all()
+        back[t] += np.frombuffer(g).reshape(-1, 3)
+    assert back == pytest.approx(want)
+
+
 def test_topics_are_found(spark):
     df, rows = corpus(spark, 120)
     model = topics.fit_topics(df, topics=3, passes=25)
