@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textweave.functions.text import chunks, remove_words, sentences
 from textweave.functions.time import parse_timestamp
 from textweave.operators import ballmapper, features, filters, graph, linkage, ml, network, sentiment, stats, temporal, topics
+from textweave.plans.lineage import written
 from textweave.sources.ingest import as_documents
 
 
@@ -323,3 +324,25 @@ def test_permuted_features_are_scored_by_place(spark, monkeypatch):
     base = classified.scores.first().accuracy
     told = {r.feature: r.importance for r in ml.permutation_importance(classified, held_out, ["x", "z", "idle"], repeats=4).collect()}
     assert told == pytest.approx({"x": base - want[0], "z": base - want[1], "idle": 0})
+
+
+@pytest.mark.parametrize("held", [graph.HELD, 1])
+def test_links_are_not_shuffled_for_their_rows(spark, monkeypatch, held):
+    """Links grow with documents times rows; only the rows that have a node move to them, unless these are very many."""
+    monkeypatch.setattr(graph, "HELD", held)
+    monkeypatch.setattr(graph, "written", lambda df, label: [labels.append(label), written(df, label)][1])
+    labels = []
+    docs = spark.createDataFrame([("1", "a", "x", {"lang": "en"}, "k"), ("2", "b", "y", {}, None)], "id string, name string, text string, metadata map<string,string>, keywords string")
+    rows = spark.createDataFrame([(1, 1, 5), (2, 2, None), (3, None, 7), (3, 9, 8), (None, 4, 2)], "row_id int, id int, q int")
+    built = graph.build_graph(docs, rows, require_keywords=False)
+    assert labels == ["graph-core", "graph-nodes", "graph-edges"]
+    links = spark.createDataFrame([("1", 1, "w", 2.0), ("2", 1, "w", None), ("1", 2, "w", 1.0), ("2", 3, "w", 4.0), ("2", None, "w", 4.0)], "doc_id string, row_id int, link_type string, gap double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = graph.temporal_edges(built, links, rows)
+        got = sorted((r.source, r.target, r.properties["time_gap"]) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("1", "metadata:1", "2.0"), ("2", "metadata:1", "0.0"), ("2", "metadata:9", "4.0")]
+    assert ("hashpartitioning(row_id" in plan) == (held == 1)
